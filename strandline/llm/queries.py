@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strandline.llm import simhash
+from strandline.llm import reshard, simhash, warc
 
 
 def queries():
     return {
+        "op1_warc": warc.op1,
+        "op9_reshard": reshard.op9,
         "op10_simhash": simhash.op10,
     }
 
