@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Input bytes that one bucket (one reduce task) is meant to get.
-BUCKET_BYTES = 12 << 20
+#: Input bytes that one bucket (one reduce task) is meant to get: from the first to the second as the input grows.
+BUCKET_BYTES = 12 << 20, 256 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,8 +57,9 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
-def bucket_count(n_bytes: int, per_bucket: int = BUCKET_BYTES) -> int:
-    return int(min(100_000, max(8, -(-n_bytes // per_bucket))))
+def bucket_count(n_bytes: int) -> int:
+    per_bucket = min(BUCKET_BYTES[1], max(BUCKET_BYTES[0], n_bytes // 2000))
+    return max(8, -(-n_bytes // per_bucket))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandline.llm import reshard, simhash, warc
+from strandline.llm import reshard, simhash, suffix, warc
 
 
 def queries():
     return {
         "op1_warc": warc.op1,
+        "op2_suffix_dedup": suffix.op2,
         "op9_reshard": reshard.op9,
         "op10_simhash": simhash.op10,
     }
