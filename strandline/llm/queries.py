@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import quality, reshard, simhash, suffix, warc
+from strandline.llm import langid, quality, reshard, simhash, suffix, warc
 
 
 def queries():
     return {
         "op1_warc": warc.op1,
         "op2_suffix_dedup": suffix.op2,
+        "op3_language_id": langid.op3,
         "op4_quality_rules": quality.op4,
         "op9_reshard": reshard.op9,
         "op10_simhash": simhash.op10,
