@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, langid, quality, reshard, simhash, suffix, warc
+from strandline.llm import decontaminate, langid, packing, quality, reshard, simhash, suffix, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_language_id": langid.op3,
         "op4_quality_rules": quality.op4,
         "op7_decontamination": decontaminate.op7,
+        "op8_packing": packing.op8,
         "op9_reshard": reshard.op9,
         "op10_simhash": simhash.op10,
     }
