@@ -145,6 +145,15 @@ def find_leaks(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id long, distance int"
+    out = None
+    for block in item_blocks(benchmark, item_col, item_text_col):
+        found = rows.mapInArrow(_search(block, bytes_per_error, pa.int64()), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> list[list[tuple[int, bytes]]]:
+    """Normal forms of the benchmark in blocks of at most ``BLOCK_BYTES`` (a longer item alone); at least one block."""
     blocks: list[list[tuple[int, bytes]]] = [[]]
     size = 0
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null").distinct()
@@ -157,11 +166,21 @@ def find_leaks(
             size = 0
         blocks[-1].append((r.i, item))
         size += len(item)
-    out = None
-    for block in blocks:
-        found = rows.mapInArrow(_search(block, bytes_per_error, pa.int64()), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return blocks
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, bytes_per_error: int = 25, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all of their columns, that hold no benchmark item; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    for block in item_blocks(benchmark):
+
+        def keep(batches, block=block):
+            matcher = Matcher(block, bytes_per_error)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op7(spark, root):

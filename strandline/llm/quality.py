@@ -225,6 +225,20 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_judge(refs, rules), f"doc_id {kind}, {OUT}")
 
 
+def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all of their columns, that the rules keep; nothing is shuffled but word counts."""
+    run = _judge(references(docs, rules, lang_col, text_col), rules)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            row = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+            for judged in run([row]):
+                yield batch.filter(judged.column("kept"))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4(spark, root):
     """Query op4_quality_rules: base counts and the verdict on each document."""
     return judge(spark.read.parquet(f"{root}/documents.parquet"))

@@ -53,7 +53,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """The unsigned fingerprint of one text."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; zero for none."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)

@@ -16,8 +16,6 @@ the same offset: two windows are equal exactly if their anchors' suffixes and th
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -489,20 +487,30 @@ def digests(docs: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_removed) for each document: its text without bytes that a repeated 100-byte string covers.
+def changed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, kept, n_removed) of each document that loses bytes: its text without what repeated 100-byte strings cover.
 
     A string is repeated if it also starts earlier: in a document with a smaller id or before in the same one; strings
-    are judged on the input. Nothing is shorter than 100 bytes is removed, and matches never cross documents. A cut
-    inside of a character drops what is left of that character. A null text counts as empty, rows that repeat an id are
-    one document (see ``one_row_per_id``), a null id is the least. Other columns are not read.
+    are judged on the input. No shorter string is removed, and matches never cross documents. What a cut inside of a
+    character leaves of it goes too. A null text counts as empty, rows that repeat an id are one document (see
+    ``one_row_per_id``), a null id is the least. Other columns are not read.
     """
-    one = one_row_per_id(docs, id_col, text_col)
-    spans, texts = repeated_spans(one)
-    cut = cut_out(texts, spans)
-    cut = cut.select(F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.try_validate_utf8(F.decode("kept", "UTF-8")).alias("kept"), (F.col("n_bytes") - F.length("kept")).alias("n_removed"))
-    both = one.join(cut, one["doc_id"].eqNullSafe(cut["doc_id"]), "left").drop(cut["doc_id"])
-    return both.select("doc_id", F.coalesce("kept", "text").alias("text"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+    spans, texts = repeated_spans(one_row_per_id(docs, id_col, text_col))
+
+    def decode(batches):
+        for batch in batches:
+            kept = [x.as_py().decode("utf-8", "ignore") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], ["doc_id", "kept", "n_removed"])
+
+    cut = cut_out(texts, spans).select("doc_id", "kept", (F.col("n_bytes") - F.length("kept")).alias("n_removed"))
+    return cut.mapInArrow(decode, "doc_id long, kept string, n_removed long").withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with shorter texts (see ``changed_texts``); a null text stays null."""
+    changed = changed_texts(docs, id_col, text_col).select(F.col("doc_id").alias("_changed_id"), F.col("kept").alias("_changed_text"))
+    both = docs.join(changed, docs[id_col].eqNullSafe(changed["_changed_id"]), "left")
+    return both.withColumn(text_col, F.coalesce("_changed_text", text_col)).drop("_changed_id", "_changed_text")
 
 
 def op2(spark, root):
