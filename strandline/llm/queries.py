@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import chunks, decontaminate, langid, packing, quality, reshard, simhash, suffix, warc
+from strandline.llm import chunks, decontaminate, langid, packing, perspectives, quality, reshard, simhash, suffix, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_suffix_dedup": suffix.op2,
         "op3_language_id": langid.op3,
         "op4_quality_rules": quality.op4,
+        "op5_perspectives": perspectives.op5,
         "op6_chunk_dedup": chunks.op6,
         "op7_decontamination": decontaminate.op7,
         "op8_packing": packing.op8,
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op5_perspectives": perspectives.SQL}
