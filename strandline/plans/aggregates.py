@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import reports as R
 from strandline.operators import stats as S
+from strandline.operators.joins import offsets
 from strandline.plans.common import FRAMES, frames
 from strandline.sources.tables import table
 
@@ -130,8 +131,7 @@ def normaliser(spark, root):
 def ranges(spark, root):
     """[from, to) of each order's lines in file order (order, line)."""
     per = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    ends = F.sum("n").over(Window.orderBy("l_orderkey"))
-    return per.select("l_orderkey", (ends - c("n")).alias("from_index"), ends.alias("to_index"))
+    return offsets(per, "l_orderkey", "n").select("l_orderkey", c("start").alias("from_index"), c("stop").alias("to_index"))
 
 
 def group_indices(spark, root):
