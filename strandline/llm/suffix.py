@@ -469,7 +469,8 @@ def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "kept", "spans"],
             )
 
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # by the hint the plan is the same at every size: texts move once, spans are never broadcast
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).hint("merge")
     return texts.join(by_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
