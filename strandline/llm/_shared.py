@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Input bytes that one bucket (one reduce task) is meant to get: from the first to the second as the input grows.
 BUCKET_BYTES = 12 << 20, 256 << 20
+#: Most rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session cut to ``BATCH_ROWS`` rows at most.
+
+    Rows that carry whole texts are large: at the usual 10,000 a batch alone may take hundreds of megabytes on both
+    sides of a Python worker's pipe.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with each id once.
 

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import bucket_count, one_row_per_id, row_chunks, split_blobs, text_bytes, utf8, written
+from strandline.llm._shared import bucket_count, lean, one_row_per_id, row_chunks, split_blobs, text_bytes, utf8, written
 from strandline.llm.suffix import BLOBS, PLACE, SPAN, _blob_batch, _earliest, _merge_spans, _read_blobs, _records, _table, cut_out, digests, span_batches
 
 GEAR = np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 32, 256, dtype=np.uint32)
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 @dataclass(frozen=True)
@@ -160,9 +160,9 @@ def repeated_chunks(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     id once."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     n = bucket_count(text_bytes(docs))
-    spans = docs.mapInArrow(_chunk(n, cuts), BLOBS).repartition(n, "bucket").mapInArrow(_later_places, "doc_id long, start long, end long")
+    spans = docs.transform(lean).mapInArrow(_chunk(n, cuts), BLOBS).repartition(n, "bucket").transform(lean).mapInArrow(_later_places, "doc_id long, start long, end long")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return written(by_doc.mapInArrow(_long_runs(cuts.min_run), "doc_id long, start long, end long"), "chunk-spans")
+    return written(by_doc.transform(lean).mapInArrow(_long_runs(cuts.min_run), "doc_id long, start long, end long"), "chunk-spans")
 
 
 def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

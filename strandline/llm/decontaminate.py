@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm._shared import lean
+
 #: Benchmark bytes that one pass over the documents searches for; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 
@@ -147,7 +149,7 @@ def find_leaks(
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id long, distance int"
     out = None
     for block in item_blocks(benchmark, item_col, item_text_col):
-        found = rows.mapInArrow(_search(block, bytes_per_error, pa.int64()), schema)
+        found = rows.transform(lean).mapInArrow(_search(block, bytes_per_error, pa.int64()), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -179,7 +181,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, bytes_per_error: int = 25,
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.transform(lean).mapInArrow(keep, docs.schema)
     return docs
 
 

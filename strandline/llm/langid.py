@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import group_starts, row_chunks, utf8
+from strandline.llm._shared import group_starts, lean, row_chunks, utf8
 
 #: Hash buckets of the trigram distributions; a model is languages x BUCKETS numbers.
 BUCKETS = 1 << 14
@@ -74,7 +74,7 @@ def _count(batches):
 def train(labelled: DataFrame, settings: Settings = Settings(), lang_col: str = "lang", text_col: str = "text") -> Model:
     """Count trigrams of all rows with a language; only the counts (languages x BUCKETS at most) reach the driver."""
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.transform(lean).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counted.column("lang").to_pylist()))
     hist = np.full((len(languages), BUCKETS), settings.smoothing)
     if languages:
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: Model, settings: Settings = Settings(), id_c
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(model, settings), f"doc_id {kind}, lang_pred string, score double")
+    return rows.transform(lean).mapInArrow(_predict(model, settings), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import written
+from strandline.llm._shared import lean, written
 
 CAPACITY, END_ID = 1024, 2
 #: Words whose ids one worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Rows of a rank group (length and salt), and the most salts.
 GROUP_ROWS, MOST_SALTS = 50_000, 4096
 
@@ -117,7 +117,7 @@ def token_pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, cap
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", input_ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(lean).mapInArrow(run, schema)
 
 
 def exact_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -250,7 +250,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn("place", F.row_number().over(place) - 1).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).cast("long").alias("rank"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(_assign(slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.transform(lean).mapInArrow(_assign(slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op8(spark, root):

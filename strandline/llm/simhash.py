@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import utf8, written
+from strandline.llm._shared import lean, utf8, written
 from strandline.llm.graph import connected_components
 
 BITS = 64
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(lean).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def local_stars(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     sizes = members.groupBy("t", "k").count().filter("count > 1")
     shared = written(members.join(sizes, ["t", "k"]), "buckets")
     small = shared.filter(F.col("count") <= SMALL).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
-    near = small.select("fps").mapInArrow(_stars(radius), "u long, v long")
+    near = small.select("fps").transform(lean).mapInArrow(_stars(radius), "u long, v long")
     large = shared.filter(F.col("count") > SMALL).select("fp").distinct()
     steps = [0] + [_signed(1 << i) for i in range(BITS)]
     around = large.select("fp", F.explode(F.array(*[F.lit(s) for s in steps])).alias("s")).select("fp", F.col("fp").bitwiseXOR(F.col("s")).alias("z"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import bucket_count, group_starts, one_row_per_id, row_chunks, split_blobs, text_bytes, utf8, written
+from strandline.llm._shared import bucket_count, group_starts, lean, one_row_per_id, row_chunks, split_blobs, text_bytes, utf8, written
 
 LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM  # the farthest that an anchor lies behind its window's start
@@ -41,7 +41,7 @@ CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("lo", "u1"),
 PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("n", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 DONE = 128  # flag in ``lo``: the entry is a candidate already
-FLUSH = 2_000_000
+FLUSH = 800_000
 
 
 def _power(base: int, n: int) -> np.uint64:
@@ -416,7 +416,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_bytes = text_bytes(docs)
     n = bucket_count(n_bytes)
     every = max(1, n_bytes // 31 // SAMPLE)
-    found = docs.mapInArrow(_find_anchors(n, every), BLOBS).repartition(n, "bucket").mapInArrow(_pick_candidates, "kind int, doc long, h long, pos int, reach int")
+    found = docs.transform(lean).mapInArrow(_find_anchors(n, every), BLOBS).repartition(n, "bucket").transform(lean).mapInArrow(_pick_candidates, "kind int, doc long, h long, pos int, reach int")
     found = written(found, "candidates")
     cands = found.filter("kind = 1")
     total = cands.count()
@@ -426,7 +426,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     splitters = heads[np.linspace(0, len(heads) - 1, n + 1).astype(int)[1:-1]] if len(heads) else heads
     by_doc = cands.groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "reach")).alias("cands"))
     chosen = written(docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "cands"), "candidate-docs")
-    spans = chosen.mapInArrow(_send_contexts(splitters, hot, n), BLOBS).repartition(n, "bucket").mapInArrow(_sort_buckets, SPANS)
+    spans = chosen.transform(lean).mapInArrow(_send_contexts(splitters, hot, n), BLOBS).repartition(n, "bucket").transform(lean).mapInArrow(_sort_buckets, SPANS)
     return spans, chosen.select("doc_id", "text")
 
 
@@ -471,7 +471,7 @@ def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
     # by the hint the plan is the same at every size: texts move once, spans are never broadcast
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).hint("merge")
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    return texts.join(by_doc, "doc_id").select("doc_id", "text", "spans").transform(lean).mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def digests(docs: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
@@ -504,7 +504,7 @@ def changed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], ["doc_id", "kept", "n_removed"])
 
     cut = cut_out(texts, spans).select("doc_id", "kept", (F.col("n_bytes") - F.length("kept")).alias("n_removed"))
-    return cut.mapInArrow(decode, "doc_id long, kept string, n_removed long").withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    return cut.transform(lean).mapInArrow(decode, "doc_id long, kept string, n_removed long").withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import fresh_path, written
+from strandline.llm._shared import fresh_path, lean, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = b"\r\n\r\n"
@@ -173,7 +173,7 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
                     ["header", "payload", "has_body"],
                 )
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "header binary, payload binary, has_body boolean")
+    return spark.read.format("binaryFile").load(path).select("content").transform(lean).mapInArrow(run, "header binary, payload binary, has_body boolean")
 
 
 def op1(spark, root):
