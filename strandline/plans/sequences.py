@@ -10,8 +10,11 @@ from strandline.plans.common import FRAMES, frames
 from strandline.sources.tables import table
 
 c = F.col
-w = W.in_order("episode", "frame")
-SECONDS = "epoch(ts)"
+
+
+def w():
+    """An episode's frames in order."""
+    return W.in_order("episode", "frame")
 
 
 def seconds(df):
@@ -32,18 +35,18 @@ def chained(spark, root):
 
 
 def gathered(spark, root):
-    g = W.gather(frames(spark, root), w, "episode", "frame", "value", [-2, -1, 0, 3])
+    g = W.gather(frames(spark, root), w(), "episode", "frame", "value", [-2, -1, 0, 3])
     return g.select("event_id", listed("gathered").alias("values"), F.array_join(F.transform("is_pad", lambda p: p.cast("int").cast("string")), "").alias("pad"))
 
 
 def chunked(spark, root):
-    return frames(spark, root).select("event_id", listed(W.future_chunk("value", w, 5)).alias("chunk"))
+    return frames(spark, root).select("event_id", listed(W.future_chunk("value", w(), 5)).alias("chunk"))
 
 
 def history(spark, root):
     """Past 4 with mask and future 3; the episode ends 3 frames early."""
-    past, mask = W.past_chunk("value", w, 4)
-    rows = frames(spark, root).select("event_id", "frame", F.count("*").over(Window.partitionBy("episode")).alias("n"), past.alias("p"), mask.alias("m"), F.collect_list("value").over(w.rowsBetween(0, 3)).alias("f"))
+    past, mask = W.past_chunk("value", w(), 4)
+    rows = frames(spark, root).select("event_id", "frame", F.count("*").over(Window.partitionBy("episode")).alias("n"), past.alias("p"), mask.alias("m"), F.collect_list("value").over(w().rowsBetween(0, 3)).alias("f"))
     rows = rows.filter(c("frame") < c("n") - 3)
     return rows.select("event_id", listed("p").alias("past"), F.array_join(F.transform("m", lambda x: x.cast("int").cast("string")), "").alias("mask"), listed("f").alias("future"))
 
@@ -56,21 +59,21 @@ def padded_starts(spark, root):
 
 
 def changes(spark, root):
-    return frames(spark, root).select("event_id", F.round(W.step_change("value", w, 50.0), 6).alias("change"), F.round(W.next_or_self("value", w), 6).alias("action"))
+    return frames(spark, root).select("event_id", F.round(W.step_change("value", w(), 50.0), 6).alias("change"), F.round(W.next_or_self("value", w()), 6).alias("action"))
 
 
 def differences(spark, root):
-    d = frames(spark, root).select("event_id", (F.lead("value").over(w) - c("value")).alias("d"))
+    d = frames(spark, root).select("event_id", (F.lead("value").over(w()) - c("value")).alias("d"))
     return d.filter("d is not null").select("event_id", F.round("d", 6).alias("d"))
 
 
 def gripper(spark, root):
     decided = F.when(c("value") > 40, 1.0).when(c("value") < 5, 0.0)
-    return frames(spark, root).select("event_id", F.round(W.from_next_decided(decided, c("value"), w), 6).alias("state"), F.round(W.from_last_sign(F.when(c("value") > 60, 1.0).when(c("value") < 2, -1.0).otherwise(0.0), w), 1).alias("absolute"))
+    return frames(spark, root).select("event_id", F.round(W.from_next_decided(decided, c("value"), w()), 6).alias("state"), F.round(W.from_last_sign(F.when(c("value") > 60, 1.0).when(c("value") < 2, -1.0).otherwise(0.0), w()), 1).alias("absolute"))
 
 
 def velocities(spark, root):
-    return seconds(frames(spark, root)).select("event_id", F.round(W.velocity("value", "t", w), 6).alias("velocity"))
+    return seconds(frames(spark, root)).select("event_id", F.round(W.velocity("value", "t", w()), 6).alias("velocity"))
 
 
 def keyframes(spark, root):
@@ -89,7 +92,7 @@ def gridded(spark, root):
 
 def moved_first(spark, root):
     """First frame whose value differs from the first by more than 10; else the last frame."""
-    f = frames(spark, root).withColumn("v0", F.first("value").over(w))
+    f = frames(spark, root).withColumn("v0", F.first("value").over(w()))
     return f.groupBy("episode").agg(F.coalesce(F.min(F.when(F.abs(c("value") - c("v0")) > 10, c("frame"))), F.max("frame")).alias("frame"))
 
 
@@ -100,7 +103,7 @@ def latest_run(spark, root):
 
 
 def moving(spark, root):
-    m = w.rowsBetween(-9, 0)
+    m = w().rowsBetween(-9, 0)
     return frames(spark, root).select("event_id", F.round(F.avg("value").over(m), 6).alias("mean"), F.max("value").over(m).alias("most"))
 
 
@@ -137,8 +140,8 @@ def memory_map(spark, root):
 
 def idle(spark, root):
     """Frames that are no no-ops: a small step and the same type as before is one; a first frame is one by its size."""
-    small = F.abs(c("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0))) < 8
-    same = F.coalesce(F.lag("event_type").over(w) == c("event_type"), F.lit(True))
+    small = F.abs(c("value") - F.coalesce(F.lag("value").over(w()), F.lit(0.0))) < 8
+    same = F.coalesce(F.lag("event_type").over(w()) == c("event_type"), F.lit(True))
     f = frames(spark, root).withColumn("noop", small & same)
     return f.filter("not noop").select("event_id")
 
@@ -169,7 +172,7 @@ def stride(spark, root):
 
 def relative_chunk(spark, root):
     """Row 0 is the state, rows 1..4 are changes against it."""
-    chunk = W.future_chunk("value", w, 5)
+    chunk = W.future_chunk("value", w(), 5)
     return frames(spark, root).select("event_id", listed(F.transform(chunk, lambda v, i: F.when(i == 0, v).otherwise(v - F.get(chunk, F.lit(0))))).alias("chunk"))
 
 

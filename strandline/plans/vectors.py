@@ -9,8 +9,6 @@ from strandline.operators import stats as S
 from strandline.plans.common import VECTORS
 from strandline.sources.tables import table
 
-Q = F.array(F.lit(0.01), F.lit(0.99))
-
 
 def _with_stats(spark, root):
     rows = table(spark, root, "embeddings").withColumn("x", V.doubles(F.col("embedding")))
@@ -32,7 +30,10 @@ def _sql(expr, more=""):
 
 c = F.col
 CLIP = "greatest(least({0}, 1.0), -1.0)"
-MASK = V.bool_mask(48, -16)
+
+
+def mask():
+    return V.bool_mask(48, -16)
 
 
 def stats_query(spark, root):
@@ -117,13 +118,13 @@ def deltas(spark, root):
     w = Window.partitionBy("label").orderBy("vec_id")
     rows = table(spark, root, "embeddings").withColumn("x", V.doubles(c("embedding")))
     rows = rows.withColumn("p", F.coalesce(F.lag("x").over(w), c("x")))
-    return _out(rows.select("vec_id", V.minus_where(c("x"), c("p"), MASK).alias("v")), c("v"))
+    return _out(rows.select("vec_id", V.minus_where(c("x"), c("p"), mask()).alias("v")), c("v"))
 
 
 def delta_back(spark, root):
     rows = table(spark, root, "embeddings").withColumn("x", V.doubles(c("embedding")))
     half = F.transform("x", lambda v: v / 2)
-    return _out(rows.select("vec_id", V.plus_where(V.minus_where(c("x"), half, MASK), half, MASK).alias("v")), c("v"))
+    return _out(rows.select("vec_id", V.plus_where(V.minus_where(c("x"), half, mask()), half, mask()).alias("v")), c("v"))
 
 
 def angles(spark, root):
@@ -153,7 +154,7 @@ QUERIES = [
     ("m02_quantile_norm", _scaled(lambda: V.quantile_norm(c("x"), c("q01"), c("q99"))), _sql("(x - q01) / (q99 - q01 + 1e-6) * 2 - 1")),
     ("m03_inverse_zscore", round_trip("z"), PLAIN),
     ("m03_inverse_quantile", round_trip("q"), PLAIN),
-    ("m04_bounds", _scaled(lambda: V.bounded(c("x"), c("min"), c("max"), MASK)), _sql("CASE WHEN dim < 48 THEN CASE WHEN lo = hi THEN 0.0 ELSE " + CLIP.format("2 * (x - lo) / (hi - lo + 1e-8) - 1") + " END ELSE x END")),
+    ("m04_bounds", _scaled(lambda: V.bounded(c("x"), c("min"), c("max"), mask())), _sql("CASE WHEN dim < 48 THEN CASE WHEN lo = hi THEN 0.0 ELSE " + CLIP.format("2 * (x - lo) / (hi - lo + 1e-8) - 1") + " END ELSE x END")),
     ("m04_bounds_q99", _scaled(lambda: V.bounded(c("x"), c("q01"), c("q99"))), _sql(CLIP.format("2 * (x - q01) / (q99 - q01 + 1e-8) - 1"))),
     ("m05_minmax", _scaled(lambda: V.minmax(c("x"), c("min"), c("max"))), _sql("2 * (x - lo) / (hi - lo) - 1")),
     ("m05_inverse_minmax", round_trip("m"), PLAIN),
