@@ -27,8 +27,8 @@ LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM  # the farthest that an anchor lies behind its window's start
 #: Places of one gram from which its windows are compared one by one, and the most such grams (the broadcast list).
 HOT, MOST_HOT = 2000, 10_000
-#: Expected number of sampled heads that the splitters are taken from.
-SAMPLE = 20_000
+#: Expected number of grams whose heads are sampled; the splitters are taken from those among them that are candidates.
+SAMPLE = 100_000
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -178,6 +178,7 @@ def _pick_candidates(batches):
     found = np.concatenate([found[found["lo"] < DONE], _records(held, 1, ENTRY)])
     heads = _records(held, 2, HEAD)
     heads = heads[np.unique(heads["h"], return_index=True)[1]]
+    heads = heads[np.isin(heads["h"], found["h"])]
     n, m = len(found), len(heads)
     for at in range(0, n, 100_000):
         f = found[at : at + 100_000]
@@ -270,8 +271,8 @@ def _send_contexts(splitters: np.ndarray, hot: np.ndarray, n_buckets: int):
             h, pos, lo, hi = h.view(np.uint64), pos.astype(np.int64), reach >> 8, reach & 255
             padded = np.r_[np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)]
             is_hot = np.isin(h, hot)
-            for at in range(0, len(h), 20_000):
-                pick = slice(at, at + 20_000)
+            for at in range(0, len(h), 5_000):
+                pick = slice(at, at + 5_000)
                 base = offs[doc[pick]] + pos[pick]
                 ctx = padded[base[:, None] + np.arange(REACH + LENGTH)]
                 cols = np.arange(-REACH, LENGTH)
@@ -356,7 +357,7 @@ def repeats_in_bucket(c: np.ndarray) -> np.ndarray:
     out = []
     at = 0
     while at < len(c):
-        end = int(np.searchsorted(gid, gid[min(at + 100_000, len(c)) - 1], "right"))
+        end = int(np.searchsorted(gid, gid[min(at + 30_000, len(c)) - 1], "right"))
         out.append(_repeats_of_groups(c[at:end], gid[at:end]))
         at = end
     return _merge_spans(_table(out, SPAN))
@@ -367,9 +368,9 @@ def _repeats_of_groups(c: np.ndarray, gid: np.ndarray) -> np.ndarray:
     c, gid = c[order], gid[order].astype(np.uint64)
     row, o = _unfold(c["lo"], c["hi"])
     key = np.empty(len(row), np.uint64)
-    for r0 in range(0, len(c), 20_000):
-        a, b = np.searchsorted(row, (r0, r0 + 20_000))
-        key[a:b] = _window_hashes(c["ctx"][r0 : r0 + 20_000], TABLE, BASE)[row[a:b] - r0, o[a:b]]
+    for r0 in range(0, len(c), 5_000):
+        a, b = np.searchsorted(row, (r0, r0 + 5_000))
+        key[a:b] = _window_hashes(c["ctx"][r0 : r0 + 5_000], TABLE, BASE)[row[a:b] - r0, o[a:b]]
     key = (key ^ (key >> U(31))) * MIX + (gid[row] * U(64) + o.astype(np.uint64)) * U(BASE)
     by = np.argsort(key, kind="stable")
     again = np.zeros(len(row), bool)
@@ -422,7 +423,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = cands.count()
     limit = max(HOT, total // MOST_HOT)
     hot = np.array([r.h for r in cands.groupBy("h").count().filter(F.col("count") > limit).select("h").collect()], np.int64).view(np.uint64)  # at most MOST_HOT
-    heads = np.sort(np.array([r.doc for r in found.filter("kind = 2").select("doc").collect()], np.int64).view(np.uint64))  # about SAMPLE
+    heads = np.sort(np.array([r.doc for r in found.filter("kind = 2").select("doc").collect()], np.int64).view(np.uint64))  # at most about SAMPLE
     splitters = heads[np.linspace(0, len(heads) - 1, n + 1).astype(int)[1:-1]] if len(heads) else heads
     by_doc = cands.groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "reach")).alias("cands"))
     chosen = written(docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "cands"), "candidate-docs")
