@@ -264,4 +264,17 @@ def axis_angle(q: Column) -> Column:
     return F.transform(v, lambda c: F.when(n < 1e-12, 2 * c).otherwise(c / n * angle))
 
 
+def slerp(a: Column, b: Column, t: Column) -> Column:
+    """Spherical interpolation of unit quaternions along the shorter arc; nearly equal ones by a normalised line."""
+    raw = dot(a, b)
+    cosine = F.least(F.abs(raw), F.lit(1.0))
+    sign = F.when(raw < 0, -1.0).otherwise(1.0)
+    angle = F.acos(cosine)
+    near = cosine > 0.9995
+    wa = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
+    wb = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
+    mixed = F.zip_with(a, b, lambda x, y: x * wa + y * wb)
+    return F.transform(mixed, lambda v: v / norm(mixed))
+
+
 PI = math.pi
