@@ -72,3 +72,18 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what is there into a Parquet table: each batch appends, or in complete mode replaces the last state.
+
+    Batches go to folders by their number, so that a batch that runs again after a failure replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = df.sparkSession.read.parquet(path)
+    return found if mode == "complete" else found.drop("batch")
