@@ -15,6 +15,8 @@ def _state(edges: DataFrame) -> tuple:
 def _hang(edges: DataFrame, only_larger: bool) -> DataFrame:
     """Hang each neighbour v of u on the least of u and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written, so that both sides of the join are plain exchanges and Spark can split the partition of a hub
+    least = written(least, "least")
     joined = edges.join(least, "u")
     if only_larger:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -449,8 +449,12 @@ def without_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, kept binary, spans) of the documents that have a span; the spans are merged."""
+def cut_out(texts: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, kept, spans) of the documents that have a span; the spans are merged.
+
+    ``kept`` is binary, or with ``as_text`` a string without what a cut left of a character.
+    """
+    kind = "string" if as_text else "binary"
 
     def run(batches):
         for batch in batches:
@@ -466,13 +470,13 @@ def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 merged.append([{"start": a, "end": b} for a, b in s])
                 kept.append(without_spans(raw[offs[i] : offs[i + 1]], s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offs)), pa.array(kept, pa.binary()), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [batch.column(0), pa.array(np.diff(offs)), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["doc_id", "n_bytes", "kept", "spans"],
             )
 
     # by the hint the plan is the same at every size: texts move once, spans are never broadcast
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).hint("merge")
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "spans").transform(lean).mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    return texts.join(by_doc, "doc_id").select("doc_id", "text", "spans").transform(lean).mapInArrow(run, f"doc_id long, n_bytes long, kept {kind}, spans array<struct<start:long,end:long>>")
 
 
 def digests(docs: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
@@ -498,14 +502,8 @@ def changed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``one_row_per_id``), a null id is the least. Other columns are not read.
     """
     spans, texts = repeated_spans(one_row_per_id(docs, id_col, text_col))
-
-    def decode(batches):
-        for batch in batches:
-            kept = [x.as_py().decode("utf-8", "ignore") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], ["doc_id", "kept", "n_removed"])
-
-    cut = cut_out(texts, spans).select("doc_id", "kept", (F.col("n_bytes") - F.length("kept")).alias("n_removed"))
-    return cut.transform(lean).mapInArrow(decode, "doc_id long, kept string, n_removed long").withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut_out(texts, spans, True).select(F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "kept", removed.alias("n_removed"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
