@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_perspectives": perspectives.SQL}
+    return {"op1_warc": warc.SQL, "op5_perspectives": perspectives.SQL}

@@ -181,3 +181,21 @@ def op1(spark, root):
     path = fresh_path(spark, "warc")
     archive_pages(spark.read.parquet(f"{root}/pages.parquet"), path)
     return read_pages(spark, path)
+
+
+SQL = """
+WITH stored AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), first_of AS (
+  SELECT payload AS same, min(page_id) AS least FROM stored GROUP BY 1
+), spelled AS (
+  SELECT page_id, payload, array_to_string(list_transform(range(32), lambda i:
+           substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                     ((CAST('0x' || substring(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest
+  FROM stored
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM spelled JOIN first_of ON payload = same
+"""

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import duckdb
+import pandas as pd
 import pytest
 
 from strandline.llm import warc
@@ -25,6 +27,9 @@ def test_pages_round_trip(spark, tmp_path, least):
     got = sorted(tuple(r) for r in warc.read_pages(spark, str(tmp_path / "a")).collect())
     assert got == sorted(want(ROWS, least), key=lambda r: r[0])
     assert warc.payloads(spark, str(tmp_path / "a")).count() == 4
+    if least == 0:
+        pages = pd.DataFrame(ROWS, columns=["page_id", "url", "html"])  # noqa: F841
+        assert sorted(duckdb.connect().execute(warc.SQL).fetchall()) == got
 
 
 def test_records_come_back_byte_for_byte(spark, tmp_path):
