@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from strandline.llm import neardup, simhash
 
@@ -66,3 +67,32 @@ def test_fingerprint_is_that_of_the_operator():
 
 def test_empty(spark):
     assert neardup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_nearest_lesser_matches_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 300, 700):
+        ids = rng.permutation(10 * n)[:n].astype(np.int64)
+        prints = rng.integers(0, 1 << 6, n).astype(np.int64) - 20
+        u, v = neardup.nearest_lesser(ids, prints)
+        known = dict(zip(ids.tolist(), prints.tolist()))
+        want = {x: min((bin((known[x] ^ known[y]) & (1 << 64) - 1).count("1"), y) for y in known if y < x)[1] for x in known if x != min(known)}
+        assert dict(zip(u.tolist(), v.tolist())) == want
+
+
+def test_strangers_as_hubs_hide_no_pair(spark, monkeypatch):
+    """All documents share every bucket; only two in the middle are alike."""
+
+    def one_bucket(batches):
+        for batch in batches:
+            made = [neardup.sketch(t.as_py().encode(), 5) for t in batch.column(1)]
+            bands = pa.array([[7] * neardup.BANDS for _ in made], pa.list_(pa.int64()))
+            prints = pa.array([simhash._signed(f) for f, _, _ in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, bands, pa.array([s.tobytes() for _, _, s in made], pa.binary())], ["doc_id", "fp", "bands", "sketch"])
+
+    monkeypatch.setattr(neardup, "_sketches", lambda words: one_bucket)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"v{rng.randrange(900)}" for _ in range(120))) for i in range(9)]
+    rows[5] = (5, rows[4][1] + " more")
+    kept = {r.doc_id for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(9)) - {5}
