@@ -3,18 +3,24 @@
 Texts with a similarity (Jaccard, of sets of five-word shingles) of 0.8 have 64-bit SimHash fingerprints that differ in
 some ten bits; radius 2, which the covering tables guarantee, sees only the nearest of them. So that a similarity
 threshold can be kept, bands of min-wise hashes add candidates: with 12 bands of 4 hashes a pair at 0.8 is met with
-probability 0.998. In each bucket every document is compared with the bucket's least and greatest document and with the
-lesser document whose fingerprint is nearest to its own, never with all, so pairs stay linear in a bucket's size; a
-document is not missed because the least and the greatest of its bucket happen to be strangers. Nearest fingerprints are
-looked for among ``SMALL`` documents about; a larger bucket is dealt into such parts by document. Compared are bottom-k
-sketches, which are exact for documents of at most k distinct shingles.
+probability 0.998. Every pair at the threshold or above that shares a bucket is found:
+
+* In a bucket of up to ``PAIRS`` documents all pairs are compared.
+* In a larger one every document is first compared with the bucket's least and greatest document and with the lesser
+  document whose fingerprint is nearest to its own (among ``SMALL`` documents about). What these links leave apart is
+  joined exactly: shingles are ordered from the rarest to the commonest, and two sets of sizes a <= b at threshold t
+  share one among the first a - ceil(2ta/(1+t)) + 1 of the smaller and the first b - ceil(tb) + 1 of the larger; the
+  first one that they share leaves room for an overlap of t(a+b)/(1+t). A passage that a whole group shares comes last
+  in this order, so strangers of the group don't meet.
+
+Compared are bottom-k sketches, which are exact for documents of at most k distinct shingles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import simhash
@@ -22,8 +28,12 @@ from strandline.llm._shared import lean, utf8, written
 from strandline.llm.graph import connected_components
 
 BANDS, ROWS, SKETCH = 12, 4, 256
-#: Documents of a bucket among which one task looks for nearest fingerprints.
+#: Documents of a bucket all of whose pairs are compared.
+PAIRS = 32
+#: Documents of a larger bucket among which one task looks for nearest fingerprints.
 SMALL = 1024
+#: Shingle hashes in one batch of rows.
+POSTINGS = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(5))
 FACTORS = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -66,6 +76,17 @@ def _sketches(words: int):
     return run
 
 
+def _marked(run):
+    """``run`` on the first two columns, with the third column kept."""
+
+    def marked(batches):
+        for batch in batches:
+            for made in run(iter([batch.select([0, 1])])):
+                yield pa.RecordBatch.from_arrays([*made.columns, batch.column(2)], [*made.schema.names, "mark"])
+
+    return marked
+
+
 def _similar(threshold: float):
     def run(batches):
         for batch in batches:
@@ -76,6 +97,38 @@ def _similar(threshold: float):
     return run
 
 
+def _sets(words: int):
+    def run(batches):
+        for batch in batches:
+            data, offs = utf8(batch.column(1))
+            raw = data.tobytes()
+            found = [np.unique(simhash.shingle_hashes(raw[a:b], words)).tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "hashes"])
+
+    return run
+
+
+def _postings(batches):
+    for batch in batches:
+        for doc, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = np.frombuffer(hashes.as_py(), np.int64)
+            for at in range(0, len(found), POSTINGS):
+                part = found[at : at + POSTINGS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(found))), pa.array(part)], ["doc_id", "size", "s"])
+
+
+def _all_pairs(batches):
+    for batch in batches:
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, cuts = batch.column(0).flatten().to_numpy(), np.r_[0, np.cumsum(batch.column(0).value_lengths().to_numpy())]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            members = np.sort(ids[a:b])
+            more, less = np.tril_indices(len(members), -1)
+            us.append(members[more])
+            vs.append(members[less])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+
 def nearest_lesser(ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(id, lesser id with the nearest fingerprint, the least of equals) of all but the least of distinct ids."""
     order = np.argsort(ids, kind="stable")
@@ -102,13 +155,37 @@ def _nearest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
+def _apart(sets: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """(u, v), u > v, of different components: all pairs of ``sets`` (doc_id, hashes) that can reach the threshold."""
+    posts = sets.transform(lean).mapInArrow(_postings, "doc_id long, size long, s long")
+    shared = posts.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    document = Window.partitionBy("doc_id")
+    # a document's shingles that no other one has come before those shared
+    at = F.col("size") - F.count("*").over(document) + F.row_number().over(document.orderBy("n", "s")) - 1
+    first = posts.join(shared, "s").withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9))
+    labels = components.select(F.col("node").alias("doc_id"), "component")
+    first = first.join(labels, "doc_id", "left").select("doc_id", "size", "s", "at", F.coalesce("component", "doc_id").alias("c"))
+    first = written(first, "prefixes")
+    mixed = written(first.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("s"), "mixed")
+    first = first.join(mixed, "s")
+    share = 2 * threshold / (1 + threshold)
+    less = first.filter(F.col("at") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9)).select("s", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "size", "at", "c")))
+    smaller = F.struct("size_a", "doc_id_a") < F.struct("size", "doc_id")
+    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size") - F.col("at")) >= share / 2 * (F.col("size_a") + F.col("size")) - 1e-9
+    met = less.join(first, "s").filter((F.col("c_a") != F.col("c")) & smaller & (F.col("size_a") >= threshold * F.col("size") - 1e-9) & room)
+    return met.select(F.greatest("doc_id_a", "doc_id").alias("u"), F.least("doc_id_a", "doc_id").alias("v")).distinct()
+
+
 def near_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(twins, links), both (u, v) with u > v: documents with the sketch of a lesser one, and pairs of other documents
-    with ``threshold`` similarity or more (see the module on recall)."""
+    """(twins, links), both (u, v) with u > v: documents with the shingles of a lesser one, and pairs of other documents
+    with ``threshold`` similarity or more, enough of them to connect all that share a bucket (see the module)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
-    made = written(rows.transform(lean).mapInArrow(_sketches(words), "doc_id long, fp long, bands array<long>, sketch binary"), "sketches")
-    # documents with one sketch, band keys and fingerprint are alike as far as any comparison here can tell
-    alike = made.withColumn("same", F.sha2(F.concat("sketch", F.to_binary(F.hex("fp"), F.lit("hex"))), 256))
+    rows = rows.withColumn("mark", F.unhex(F.sha2("text", 256)))
+    made = rows.transform(lean).mapInArrow(_marked(_sketches(words)), "doc_id long, fp long, bands array<long>, sketch binary, mark binary")
+    made = written(made, "sketches")
+    # documents with one sketch and fingerprint are alike if the sketch is their whole set or the text is the same
+    whole = F.when(F.octet_length("sketch") < 4 * SKETCH, F.lit(b"")).otherwise(F.col("mark"))
+    alike = made.withColumn("same", F.sha2(F.concat("sketch", F.to_binary(F.hex("fp"), F.lit("hex")), whole), 256))
     groups = alike.groupBy("same").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1")
     # written, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
     groups = written(groups.select("same", "v"), "alike")
@@ -120,14 +197,28 @@ def near_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
     keys = kept.select("doc_id", "fp", F.explode(F.array(*cover, *bands)).alias("b")).select("doc_id", "fp", "b.t", "b.k")
     hubs = keys.groupBy("t", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("n > 1")
     members = written(keys.join(hubs, ["t", "k"]), "members")
-    met = members.select("doc_id", F.explode(F.array("least", "most")).alias("hub")).filter("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v"))
-    # of three documents the least and the greatest have met every other one
+    few = members.filter(F.col("n") <= PAIRS).groupBy("t", "k").agg(F.collect_list("doc_id").alias("ids"))
+    many = members.filter(F.col("n") > PAIRS)
+    met = many.select("doc_id", F.explode(F.array("least", "most")).alias("hub")).filter("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v"))
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / SMALL))
-    dealt = members.filter("n > 3").groupBy("t", "k", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "fp")).alias("docs"))
-    pairs = written(met.unionByName(dealt.select("docs").transform(lean).mapInArrow(_nearest, "u long, v long")).distinct(), "pairs")
-    left, right = kept.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), kept.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
-    compared = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").transform(lean).mapInArrow(_similar(threshold), "u long, v long")
-    return twins, compared
+    dealt = many.groupBy("t", "k", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "fp")).alias("docs"))
+    near = dealt.select("docs").transform(lean).mapInArrow(_nearest, "u long, v long")
+    pairs = met.unionByName(near).unionByName(few.select("ids").transform(lean).mapInArrow(_all_pairs, "u long, v long")).distinct()
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        texts = rows.join(kept.select("doc_id", "mark").join(ids, "doc_id"), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
+        return written(texts.select("doc_id", "text").transform(lean).mapInArrow(_sets(words), "doc_id long, hashes binary"), name)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        left, right = kept.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), kept.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
+        compared = written(pairs, "pairs").join(left, "u").join(right, "v").select("u", "v", "a", "b")
+        return written(compared.transform(lean).mapInArrow(_similar(threshold), "u long, v long"), "links")
+
+    links = judged(pairs)
+    crowd = written(many.select("doc_id").distinct(), "crowd")
+    if not crowd.isEmpty():
+        links = links.unionByName(judged(_apart(sets_of(crowd, "crowd-sets"), connected_components(links), threshold)))
+    return twins, links
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,3 +96,39 @@ def test_strangers_as_hubs_hide_no_pair(spark, monkeypatch):
     rows[5] = (5, rows[4][1] + " more")
     kept = {r.doc_id for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(9)) - {5}
+
+
+def groups_of(n_docs, passage, own, seed):
+    """Documents with one long passage (strangers stay under 0.8); every tenth is a near copy of one further on."""
+    rng = random.Random(seed)
+    shared = [f"p{i}" for i in range(passage)]
+    rows = [(i, shared + [f"d{i}x{k}" for k in range(own)]) for i in range(n_docs)]
+    for i in range(0, n_docs // 2, 10):
+        j = n_docs // 2 + rng.randrange(n_docs // 20) * 10 + 5
+        rows[j] = (j, rows[i][1][:-3] + [f"e{j}", f"f{j}", f"g{j}"])
+    return [(i, " ".join(words)) for i, words in rows]
+
+
+def test_pairs_of_a_template_group(spark):
+    """Hundreds of strangers share buckets by a common passage; near copies among them are found all the same."""
+    for seed, (passage, own) in enumerate([(150, 25), (150, 19)]):
+        rows = groups_of(400, passage, own, seed)
+        assert 0.6 < jaccard(rows[1][1], rows[2][1]) < 0.8
+        gone = {j for j, b in rows for i, a in rows if i % 10 == 0 and i < 200 <= j and j % 10 == 5 and jaccard(a, b) >= 0.8}
+        assert len(gone) > 10
+        kept = {r.doc_id for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {i for i, _ in rows} - kept == gone
+
+
+def test_prefix_join_matches_brute_force(spark, monkeypatch):
+    """With every bucket taken for a large one the groups are those of all pairs."""
+    monkeypatch.setattr(neardup, "PAIRS", 1)
+    test_groups_match_brute_force(spark)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(base[: rng.randrange(40, 61)] + [f"o{rng.randrange(40)}" for _ in range(rng.randrange(0, 14))]) for _ in range(60)]
+    sets = {i: np.unique(simhash.shingle_hashes(t.encode(), 5)) for i, t in enumerate(texts)}
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "doc_id long, hashes binary")
+    met = {(r.u, r.v) for r in neardup._apart(frame, spark.createDataFrame([], "node long, component long"), 0.8).collect()}
+    want = {(i, j) for i in sets for j in sets if i > j and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert want and want <= met
