@@ -13,7 +13,8 @@ probability 0.998. Every pair at the threshold or above that shares a bucket is
   first one that they share leaves room for an overlap of t(a+b)/(1+t). A passage that a whole group shares comes last
   in this order, so strangers of the group don't meet.
 
-Compared are bottom-k sketches, which are exact for documents of at most k distinct shingles.
+Bottom-k sketches decide pairs of sets that they hold whole. Of larger sets they only drop pairs ``MARGIN`` below the
+threshold (six deviations); the others are decided on all shingle hashes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BANDS, ROWS, SKETCH = 12, 4, 256
 PAIRS = 32
 #: Documents of a larger bucket among which one task looks for nearest fingerprints.
 SMALL = 1024
+#: How far below the threshold a sketch of a larger set must be to drop a pair.
+MARGIN = 0.15
 #: Shingle hashes in one batch of rows.
 POSTINGS = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -88,10 +91,29 @@ def _marked(run):
 
 
 def _similar(threshold: float):
+    """Pairs that may be similar; ``open`` where a sketch doesn't hold its whole set, so that more has to decide."""
+
+    def run(batches):
+        for batch in batches:
+            good, more = [], []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
+                more.append(max(len(a), len(b)) >= SKETCH)
+                good.append(similarity(a, b) >= threshold - MARGIN * more[-1])
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, pa.bool_())], ["u", "v", "open"])
+            yield found.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _same_sets(threshold: float):
     def run(batches):
         for batch in batches:
-            pairs = zip(batch.column(2), batch.column(3))
-            good = [similarity(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)) >= threshold for a, b in pairs]
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both / max(1, len(a) + len(b) - both) >= threshold)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -212,7 +234,12 @@ def near_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
     def judged(pairs: DataFrame) -> DataFrame:
         left, right = kept.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), kept.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
         compared = written(pairs, "pairs").join(left, "u").join(right, "v").select("u", "v", "a", "b")
-        return written(compared.transform(lean).mapInArrow(_similar(threshold), "u long, v long"), "links")
+        compared = written(compared.transform(lean).mapInArrow(_similar(threshold), "u long, v long, open boolean"), "compared")
+        undecided = compared.filter("open").select("u", "v")
+        sets = sets_of(undecided.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "sets")
+        left, right = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b"))
+        decided = undecided.join(left, "u").join(right, "v").select("u", "v", "a", "b").transform(lean).mapInArrow(_same_sets(threshold), "u long, v long")
+        return written(compared.filter("not open").select("u", "v").unionByName(decided), "links")
 
     links = judged(pairs)
     crowd = written(many.select("doc_id").distinct(), "crowd")
