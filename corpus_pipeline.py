@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their sequence and offset."""
-    return packing.pack(packing.token_pieces(docs))
+    return packing.pack(packing.token_pieces(docs, added=packing.default_added()))
 
 
 STAGES = [

@@ -10,6 +10,7 @@ rank among pieces of that length alone, so the assignment needs no group, no dri
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -30,12 +31,12 @@ GROUP_ROWS, MOST_SALTS = 50_000, 4096
 class ByteBpe:
     """Token ids of a byte-level BPE vocabulary as packed little-endian unsigned 32-bit numbers.
 
-    The vocabulary's rank file gives the same ids as its JSON form. Pre-tokens never span a single space between
-    other characters, so such texts are encoded word by word through a bounded memory of words; special-token strings
-    are ordinary text.
+    The vocabulary's rank file gives the same ids as its JSON form without added tokens. Pre-tokens never span a single
+    space between other characters, so such texts are encoded word by word through a bounded memory of words. Texts are
+    cut at the strings of ``added`` first, which get their own ids; other special-token strings are ordinary text.
     """
 
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, rank_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(rank_file, "rb") as lines:
@@ -43,6 +44,9 @@ class ByteBpe:
         self._encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._spaces = re.compile(r"\s\s|^\s|\s$")
         self._known: dict[str, bytes] = {}
+        self._added = {text: np.array([i], "<u4").tobytes() for text, i in added}
+        # of strings that begin at one place the longest is taken, as the JSON form does
+        self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
 
     def _fresh(self, text: str) -> bytes:
         return np.array(self._encode(text), "<u4").tobytes()
@@ -56,20 +60,25 @@ class ByteBpe:
         return found
 
     def encode(self, text: str) -> bytes:
+        if not self._added or not self._cuts.search(text):
+            return self._plain(text)
+        return b"".join(self._added.get(part) or self._plain(part) for part in self._cuts.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         if self._spaces.search(text):
             return self._fresh(text)
         first, *rest = text.split(" ")
         return b"".join([self._fresh(first), *map(self._word, rest)])
 
 
-_loaded: dict[tuple[str, str], ByteBpe] = {}
+_loaded: dict[tuple, ByteBpe] = {}
 
 
-def tokenizer(rank_file: str, pattern: str) -> ByteBpe:
+def tokenizer(rank_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> ByteBpe:
     """One tokenizer for each worker process and vocabulary."""
-    if (rank_file, pattern) not in _loaded:
-        _loaded[rank_file, pattern] = ByteBpe(rank_file, pattern)
-    return _loaded[rank_file, pattern]
+    if (rank_file, pattern, added) not in _loaded:
+        _loaded[rank_file, pattern, added] = ByteBpe(rank_file, pattern, added)
+    return _loaded[rank_file, pattern, added]
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -79,15 +88,27 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def token_pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def default_added() -> tuple[tuple[str, int], ...]:
+    """(string, id) of the added tokens of that vocabulary's JSON form."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match their exact string are known")
+    return tuple((t["content"], t["id"]) for t in tokens)
+
+
+def token_pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, input_ids]): each document's ids and ``end_id``, cut from the end into
-    pieces of ``capacity``; the first may be shorter. A null text is empty and gives one piece of one token."""
+    pieces of ``capacity``; the first may be shorter. A null text is empty and gives one piece of one token. Strings of
+    ``added`` get their ids (``default_added()``: as the JSON form does); without it they are ordinary text."""
     rank_file, pattern = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["input_ids"] * keep_ids
 
     def run(batches):
-        encode = tokenizer(rank_file, pattern).encode
+        encode = tokenizer(rank_file, pattern, added).encode
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -255,4 +276,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def op8(spark, root):
     """Query op8_packing: all documents in sequences of at most 1024 tokens."""
-    return pack(token_pieces(spark.read.parquet(f"{root}/documents.parquet")))
+    return pack(token_pieces(spark.read.parquet(f"{root}/documents.parquet"), added=default_added()))

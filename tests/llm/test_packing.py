@@ -79,3 +79,19 @@ def test_least_squares_fits_exact_mixtures():
 
 def test_empty(spark):
     assert packing.pack(packing.token_pieces(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_added_tokens_get_the_ids_of_the_untouched_json_form(spark, tmp_path):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", " ", "a", " river", "<|", "|>", "\n", "é", "endoftext", "  "]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|> ", None, ""]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    by_doc = defaultdict(list)
+    for r in packing.op8(spark, str(tmp_path)).collect():
+        by_doc[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(texts):
+        ids = np.array(reference.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        assert sum(n for _, n, _ in by_doc[i]) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in by_doc[i])
