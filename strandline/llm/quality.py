@@ -4,12 +4,15 @@ References come from the corpus: for each language the histogram of character cl
 its commonest words with their shares. A document is compared with every reference by Jensen-Shannon distance (base 2,
 square root, so 0 to 1) and judged by the nearest. A histogram of few draws is far from anything by chance, so each
 comparison has a minimum length; below it the document passes that comparison.
+
+A language of few words gives a reference as well, but only for its own documents, and with more tolerance the fewer
+words there are: its reference is a draw itself.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import count
 
 import numpy as np
@@ -36,9 +39,10 @@ for _chars, _c in ((SPACES, 1), (b"0123456789", 4), (STOPS, 5), (SYMBOLS, 6)):
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the verdict. A language needs ``reference_words`` words to give a reference.
+    """Thresholds of the verdict. A language needs ``reference_words`` words to give a reference for all documents.
 
-    A distance may reach its base plus what chance adds, which falls with the root of the length.
+    A distance may reach its base plus what chance adds, which falls with the root of the length (of the document, and
+    of the reference where that is of fewer words).
     """
 
     common_words: int = 100
@@ -137,13 +141,15 @@ class References:
     classes: np.ndarray
     words: list[list[bytes]]
     shares: np.ndarray
+    #: Language of few words -> (class shares, rank of each common word, word shares, words, characters).
+    few: dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray, int, int]] = field(default_factory=dict)
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> References:
     """Class and common-word shares per language over all documents.
 
     Every word is counted; each task adds up its own words before the shuffle. Only the commonest words of each
-    language come to the driver. Without a language of enough words the whole corpus is the one reference.
+    language come to the driver. Without a language of enough words the whole corpus is the reference for all documents.
     """
     counted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).transform(lean).mapInArrow(_count, "lang string, word binary, cls int, n long")
     counts = written(counted.groupBy("lang", "word", "cls").agg(F.sum("n").alias("n")), "quality-counts")
@@ -153,44 +159,74 @@ def references(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang",
     for r in counts.filter("word is null").collect():
         hist.setdefault(r.lang, np.zeros(N_CLASSES, np.int64))[r.cls] = r.n
     kept = sorted(lang for lang, n in totals.items() if lang is not None and n >= rules.reference_words)
-    if kept:
-        top = words.filter(F.col("lang").isin(kept)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    else:
-        kept, totals, hist = ["all"], {"all": sum(totals.values())}, {"all": sum(hist.values(), np.zeros(N_CLASSES, np.int64))}
-        top = words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("all")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    common = top.filter(F.col("rank") <= rules.common_words).select("lang", "word", "n", "rank").collect()
-    lists, shares = [], np.zeros((len(kept), rules.common_words + 1))
-    for k, lang in enumerate(kept):
-        rows = sorted((r for r in common if r.lang == lang), key=lambda r: r.rank)
-        lists.append([bytes(r.word) for r in rows])
-        shares[k, 1 : len(rows) + 1] = [r.n / max(1, totals[lang]) for r in rows]
-        shares[k, 0] = 1 - shares[k].sum()
-    classes = np.array([hist[lang] for lang in kept], float)
-    classes[:, 0] = 0  # continuation bytes
-    return References(classes / np.maximum(classes.sum(1, keepdims=True), 1), lists, shares)
+    few = sorted(lang for lang, n in totals.items() if lang is not None and 0 < n < rules.reference_words)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = words.filter("lang is not null").select("lang", "word", "n").withColumn("rank", rank).filter(F.col("rank") <= rules.common_words)
+    common = defaultdict(list)
+    for r in sorted(top.collect(), key=lambda r: r.rank):
+        common[r.lang].append(r)
+    if not kept:
+        # under null, which no language of ``common`` has
+        kept, totals[None], hist[None] = [None], sum(totals.values()), sum(hist.values(), np.zeros(N_CLASSES, np.int64))
+        pooled = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(rules.common_words)
+        common[None] = sorted(pooled.collect(), key=lambda r: (-r.n, bytes(r.word)))
+
+    def shares_of(lang):
+        found = [r.n / max(1, totals[lang]) for r in common[lang]]
+        return np.r_[1 - sum(found), found, np.zeros(rules.common_words - len(found))]
+
+    def classes_of(lang):
+        counts = hist[lang].astype(float)
+        counts[0] = 0  # continuation bytes
+        return counts / max(counts.sum(), 1)
+
+    small = {
+        lang: (classes_of(lang), {bytes(r.word): i + 1 for i, r in enumerate(common[lang])}, shares_of(lang), totals[lang], int(hist[lang][2:].sum())) for lang in few
+    }
+    return References(np.array([classes_of(x) for x in kept]), [[bytes(r.word) for r in common[x]] for x in kept], np.array([shares_of(x) for x in kept]), small)
 
 
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
+def distance_to_few(hist: np.ndarray, words: list[bytes], few: tuple, rules: Rules) -> tuple[float, float, float, float]:
+    """(class distance, its further tolerance, word distance, its further tolerance) by a reference of few words."""
+    classes, rank, shares, n_words, n_chars = few
+    hist = np.r_[0, hist[1:]]
+    found = Counter(words)
+    row = np.zeros(len(shares))
+    for w in found.keys() & rank.keys():
+        row[rank[w]] = found[w]
+    row[0] = found.total() - row.sum()
+    # nothing at the bound, where the language gives a reference for all
+    lack = max(0.0, 1 - (n_words / rules.reference_words) ** 0.5)
+    class_d, word_d = distances(hist[None, :], classes[None, :])[0], distances(row[None, :], shares[None, :])[0]
+    return class_d, rules.class_noise * lack / max(1, n_chars) ** 0.5, word_d, rules.word_noise * lack / max(1, n_words) ** 0.5
+
+
 def _judge(refs: References, rules: Rules):
     ranks = [{w: i + 1 for i, w in enumerate(words)} for words in refs.words]
 
     def run(batches):
         for batch in batches:
             data, offs = utf8(batch.column(1))
+            langs = batch.column(2).to_pylist() if refs.few else []
             parts = []
             for a, b in row_chunks(offs):
                 part = data[offs[a] : offs[b]]
                 local = offs[a : b + 1] - offs[a]
                 hist = class_counts(part, local)
                 raw = part.tobytes()
+                own = np.full((b - a, 4), (np.inf, 0, np.inf, 0))  # distance and tolerance by the document's language of few words
                 base, shares = np.zeros((b - a, 3), np.int64), np.zeros((len(ranks), b - a, refs.shares.shape[1]))
                 for i in range(b - a):
                     text = raw[local[i] : local[i + 1]]
                     words = text.split()
                     lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
                     base[i] = len(words), len(lines) - len(set(lines)), repeated_words(words)
+                    few = refs.few.get(langs[a + i]) if refs.few else None
+                    if few:
+                        own[i] = distance_to_few(hist[i], plain_words(text), few, rules)
                     if len(words) >= rules.word_min_words:
                         found = Counter(plain_words(text))
                         n = found.total()
@@ -205,7 +241,10 @@ def _judge(refs: References, rules: Rules):
                 failed = (base[:, 0] < 50) | (100 * base[:, 2] > 50 * base[:, 0])
                 class_most = rules.class_distance + rules.class_noise / np.sqrt(np.maximum(chars, 1))
                 word_most = rules.word_distance + rules.word_noise / np.sqrt(np.maximum(base[:, 0], 1))
-                good = ~failed & ((chars < rules.class_min_chars) | (class_d <= class_most)) & ((base[:, 0] < rules.word_min_words) | (word_d <= word_most))
+                class_good = (class_d <= class_most) | (own[:, 0] <= class_most + own[:, 1])
+                word_good = (word_d <= word_most) | (own[:, 2] <= word_most + own[:, 3])
+                class_d, word_d = np.minimum(class_d, own[:, 0]), np.minimum(word_d, own[:, 2])
+                good = ~failed & ((chars < rules.class_min_chars) | class_good) & ((base[:, 0] < rules.word_min_words) | word_good)
                 parts.append((base[:, 0], chars, hist[:, 6], base[:, 1], base[:, 2], failed, good, class_d, word_d))
             columns = [pa.array(np.concatenate(c)) for c in zip(*parts)] if parts else None
             if columns:
@@ -222,17 +261,18 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
     """
     refs = refs or references(docs, rules, lang_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(lean).mapInArrow(_judge(refs, rules), f"doc_id {kind}, {OUT}")
+    lang = F.col(lang_col) if refs.few else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")).transform(lean).mapInArrow(_judge(refs, rules), f"doc_id {kind}, {OUT}")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all of their columns, that the rules keep; nothing is shuffled but word counts."""
     run = _judge(references(docs, rules, lang_col, text_col), rules)
-    at = docs.columns.index(text_col)
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def keep(batches):
         for batch in batches:
-            row = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+            row = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at), batch.column(lang_at)], ["doc_id", "text", "lang"])
             for judged in run([row]):
                 yield batch.filter(judged.column("kept"))
 

@@ -63,3 +63,25 @@ def test_distance_is_jensen_shannon():
 def test_empty_and_repeated(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     assert quality.judge(spark.createDataFrame([(1, "a b", None), (1, "a b", None)], "doc_id long, text string, lang string")).count() == 2
+
+
+def test_rare_language_of_a_large_table(spark):
+    """Clean documents of a language with few words stay; noise under its name goes, and noise stays noise elsewhere."""
+    rng = random.Random(9)
+
+    def prose(stems, ends, n):
+        return " ".join(a + b for a, b in zip(rng.choices(stems, range(len(stems), 0, -1), k=n), rng.choices(ends, k=n)))
+
+    common = "the of and to in is that for it with as was on be by at".split()
+    rare = "der die und das nicht von sie ist des sich mit dem dass er es ein".split()
+    rows = [(i, prose(common, ["", "s", "ing", "er"], 400), "en") for i in range(60)]
+    rows += [(100 + i, prose(rare, ["", "en", "lich", "ung"], 150), "de") for i in range(12)]
+    noise = [" ".join(f"ZQ{rng.randrange(10**6)}X!!" for _ in range(300)) for _ in range(3)]
+    rows += [(200, noise[0], "de"), (201, noise[1], "en"), (202, noise[2], "xx"), (203, rows[60][1], "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert [i for i in range(100, 112) if not got[i].kept and not got[i].base_failed] == []
+    assert sum(got[i].kept for i in range(100, 112)) > 5 and got[203].kept == got[100].kept
+    assert not got[200].kept and not got[201].kept
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {i for i in got if got[i].kept}
