@@ -110,12 +110,25 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int, capacities: list[in
     return done.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot"))
 
 
-def rewrite(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
-    """Rewrite the files of affected shards only (those that lose or gain rows) under ``path``/shard=N; their numbers."""
+def rewrite(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """Rewrite the files of affected shards only (those that lose or gain rows) under ``path``/shard=N; their numbers.
+
+    Rows of one id (null is an id) are told apart by size and CRC-32 of their text; of those that agree in all three any
+    takes any of their places. Each row of ``docs`` is written once if ``assigned`` has a place for it.
+    """
     moved = assigned.filter("old_shard <> shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()})
-    keep = assigned.filter(F.col("shard").isin(touched)).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(keep, id_col).write.partitionBy("shard").option("compression", "zstd").mode("overwrite").parquet(path)
+    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    rows = docs.withColumns({"_size": (F.length(text) + 1).cast("long"), "_crc": F.crc32(text)})
+    places = assigned.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_size", "_crc").orderBy(F.xxhash64(*plain))))
+    places = places.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy("shard", "slot"))).filter(F.col("shard").isin(touched))
+    same = rows[id_col].eqNullSafe(places["_id"])
+    for c in ("_size", "_crc", "_nth"):
+        same &= rows[c] == places[c]
+    found = rows.join(places, same)
+    found.select(*(rows[c] for c in docs.columns), "shard", "slot").write.partitionBy("shard").option("compression", "zstd").mode("overwrite").parquet(path)
     return touched
 
 

@@ -46,6 +46,20 @@ def test_reshard_rows(spark, tmp_path):
     assert {r.shard for r in spark.read.parquet(files).select("shard").distinct().collect()} == set(touched) - {4}  # shard 4 is emptied
 
 
+def test_rewrite_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = [(i % 40 if i % 5 else None, "é" * (i % 23), "hot" if i % 3 else f"s{i % 7}") for i in range(300)] + [(1, None, "hot"), (1, "", "hot"), (1, "", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = reshard.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(5)), 4).collect()
+    files = str(tmp_path / "files")
+    touched = reshard.rewrite(docs, spark.createDataFrame(got), files)
+    assert touched == [0, 1, 2, 3, 4]
+    made = spark.read.parquet(files).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(((r.doc_id, r.text, r.source) for r in made), key=key) == sorted(rows, key=key)
+    place = lambda i, t, r: (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), r.shard, r.slot)
+    assert sorted((place(r.doc_id, r.text, r) for r in made), key=key) == sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=key)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert reshard.reshard(docs, F.lit(0), 4).count() == 0
