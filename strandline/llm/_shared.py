@@ -1,33 +1,43 @@
-"""What the operators share: written tables in the cluster's shared folder, Arrow access, hash buckets."""
+"""What the operators share: written tables in the cluster's shared folder, document keys, Arrow access, hash buckets."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Input bytes that one bucket (one reduce task) is meant to get: from the first to the second as the input grows.
 BUCKET_BYTES = 12 << 20, 256 << 20
-#: Most rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: The key of a null id: less than any other.
+NULL_KEY = -(1 << 63)
+#: Distinct (id, text) pairs of one block, where keys have to be ranked.
+KEY_ROWS = 1_000_000
+
+_local_dirs: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder and a cluster the warehouse.
+    Where it is unset, a session of one machine gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="strandline-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dirs.get(context.applicationId) or tempfile.mkdtemp(prefix="strandline-")
+        _local_dirs[context.applicationId] = base
     return base.rstrip("/")
 
 
@@ -38,33 +48,73 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives the loss of any executor."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    scopes = getattr(_scopes, "open", None)
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of its session cut to ``BATCH_ROWS`` rows at most.
-
-    Rows that carry whole texts are large: at the usual 10,000 a batch alone may take hundreds of megabytes on both
-    sides of a Python worker's pipe.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, BATCH_ROWS)
-    return df
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) with each id once.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that the block writes are deleted at its end, but for those written by the function that it yields.
 
-    Rows that repeat an id stand for one document; if their texts differ, the least text (null first) is that
-    document's. The check for repeats moves ids only; texts move only if it finds some.
+    What leaves the block must be such a table, or nothing that still reads one of the others.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if not docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        return docs
-    return docs.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    scopes = _scopes.__dict__.setdefault("open", [])
+    made: list[str] = []
+    scopes.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        path = made.pop()
+        if len(scopes) > 1:
+            scopes[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        remove(spark, made)
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "_key") -> tuple[DataFrame, bool]:
+    """(``docs`` with a long ``name``, whether rows share one): a key for each document, in order of id (null first), then
+    of its text's digest.
+
+    Rows that agree in id and text (null counts as empty) are one document and share the key; rows that repeat an id
+    with another text are documents of their own. Integer ids without repeats are keys themselves; the check for
+    repeats moves ids only. Otherwise (id, digest) pairs are ranked and joined to the rows.
+    """
+    ident = F.col(id_col)
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        own = F.coalesce(ident.cast("long"), F.lit(NULL_KEY))
+        if docs.select(own.alias("k")).groupBy("k").count().filter("count > 1").isEmpty():
+            return docs.withColumn(name, own), False
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    with scratch(docs.sparkSession) as keep:
+        pairs = written(docs.groupBy(ident.alias("_id"), digest.alias("_digest")).agg(F.count("*").alias("_rows")), "pairs")
+        repeated = not pairs.filter("_rows > 1").isEmpty()
+        parts = max(1, -(-pairs.count() // KEY_ROWS))
+        order = [F.asc_nulls_first("_id"), F.asc("_digest")]
+        dealt = written(pairs.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "pairs-by-range")
+        # one row for each KEY_ROWS pairs
+        sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+        bases = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+        keys = dealt.withColumn("_place", place).join(bases, "_part").select("_id", "_digest", (F.col("_base") + F.col("_place")).cast("long").alias(name))
+        keys = keep(keys, "keys")
+    rows = docs.withColumn("_own_digest", digest)
+    same = rows[id_col].eqNullSafe(keys["_id"]) & (rows["_own_digest"] == keys["_digest"])
+    return rows.join(keys.hint("merge"), same).select(*(rows[c] for c in docs.columns), keys[name]), repeated
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -77,6 +127,11 @@ def bucket_count(n_bytes: int) -> int:
     return max(8, -(-n_bytes // per_bucket))
 
 
+def by_bucket(blobs: DataFrame, n: int, column: str | Column = "bucket") -> DataFrame:
+    """Bucket i in partition i: no task holds two buckets at once."""
+    return blobs.repartitionById(n, F.col(column) if isinstance(column, str) else column)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column (nulls are empty) and the n + 1 offsets of its values."""
     if column.null_count:

@@ -4,8 +4,8 @@ A gear hash rolls over each text; a chunk ends where the hash is the least withi
 (leftmost of equals) and after ``longest`` bytes at the latest. The hash sees the last 32 bytes only and the rule looks
 no farther than ``reach``, so an insertion moves the cuts next to it and no others, and two copies of a passage cut
 alike from their first bytes on (a threshold on the hash with a least chunk size falls into step later).
-Chunks meet by a 128-bit digest of their bytes; the earliest (document, start) keeps its bytes. Repeated chunks are
-removed where a run of them reaches ``min_run`` bytes, so that a stock phrase alone costs a document nothing.
+Chunks meet by a 128-bit digest of their bytes; the earliest (document, start) keeps its bytes and all others go. With
+``min_run`` set, runs of repeated chunks under so many bytes stay.
 """
 
 from __future__ import annotations
@@ -18,21 +18,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import bucket_count, lean, one_row_per_id, row_chunks, split_blobs, text_bytes, utf8, written
-from strandline.llm.suffix import BLOBS, PLACE, SPAN, _blob_batch, _earliest, _merge_spans, _read_blobs, _records, _table, cut_out, digests, span_batches
+from strandline.llm._shared import bucket_count, by_bucket, row_chunks, split_blobs, text_bytes, utf8, written
+from strandline.llm.suffix import BLOBS, SPAN, SPANS, _blob_batch, _merge_spans, _read_blobs, _records, _spans_of, _table, cut_out, digests, keyed, span_batches, union_of_spans
 
 GEAR = np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 32, 256, dtype=np.uint32)
+PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("n", "<u4")])
 FLUSH = 500_000
 
 
 @dataclass(frozen=True)
 class Cuts:
     """Chunks have more than ``reach`` bytes (but at a text's ends), 2 * reach + 1 on average; runs of repeats under
-    ``min_run`` bytes stay."""
+    ``min_run`` bytes stay (0: none)."""
 
-    reach: int = 16
-    longest: int = 256
-    min_run: int = 100
+    reach: int = 48
+    longest: int = 512
+    min_run: int = 0
+
+
+def _earliest(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """True where no row with the same key (a, b) has a lesser (doc, pos)."""
+    order = np.lexsort((pos, doc, b, a))
+    first = np.ones(len(a), bool)
+    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    out = np.empty(len(a), bool)
+    out[order] = first
+    return out
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -81,15 +92,13 @@ def text_chunks(data: np.ndarray, offs: np.ndarray, cuts: Cuts) -> list[list[int
 
 
 def _chunk(n_buckets: int, cuts: Cuts):
-    """(doc_id, text) -> blobs by digest: 1 the first place of each chunk in this task, 2 its later places."""
+    """(key, text) -> blobs by digest: 1 the first place of each chunk in this task, 2 its later places."""
 
     def flush(parts):
         p = _table(parts, PLACE)
         first = _earliest(p["a"], p["b"], p["doc"], p["pos"])
         k = p[~first]
-        s = np.empty(len(k), SPAN)
-        s["doc"], s["start"], s["end"] = k["doc"], k["pos"], k["pos"] + k["n"]
-        s = _merge_spans(s)
+        s = _merge_spans(_spans_of(k["doc"], k["pos"], k["pos"] + k["n"]))
         rows = [(b, 1, blob) for b, blob in split_blobs((p["a"][first] % np.uint64(n_buckets)).astype(np.int64), p[first])]
         rows += [(b, 2, blob) for b, blob in split_blobs(s["doc"] % n_buckets, s)]
         if rows:
@@ -132,15 +141,12 @@ def _later_places(batches):
     held = _read_blobs(batches)
     p = _records(held, 1, PLACE)
     k = p[~_earliest(p["a"], p["b"], p["doc"], p["pos"])]
-    s = np.empty(len(k), SPAN)
-    s["doc"], s["start"], s["end"] = k["doc"], k["pos"], k["pos"] + k["n"]
+    s = _spans_of(k["doc"], k["pos"], k["pos"] + k["n"])
     yield from span_batches(_merge_spans(np.concatenate([s, _records(held, 2, SPAN)])))
 
 
 def _long_runs(min_run: int):
     """Spans of each document, merged, without runs under ``min_run`` bytes."""
-    from strandline.llm.suffix import union_of_spans
-
     def run(batches):
         for batch in batches:
             ids, starts, ends = [], [], []
@@ -150,32 +156,33 @@ def _long_runs(min_run: int):
                         ids.append(doc)
                         starts.append(a)
                         ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc", "start", "end"])
 
     return run
 
 
-def repeated_chunks(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
-    """Spans (doc_id, start, end) of repeated chunks in runs of ``min_run`` bytes or more, for (doc_id, text) with each
-    id once."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    n = bucket_count(text_bytes(docs))
-    spans = docs.transform(lean).mapInArrow(_chunk(n, cuts), BLOBS).repartition(n, "bucket").transform(lean).mapInArrow(_later_places, "doc_id long, start long, end long")
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return written(by_doc.transform(lean).mapInArrow(_long_runs(cuts.min_run), "doc_id long, start long, end long"), "chunk-spans")
+def repeated_chunks(rows: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
+    """Spans (doc, start, end) of repeated chunks in runs of ``min_run`` bytes or more, for (doc, text), ``doc`` a key as
+    of ``with_key`` that is there once."""
+    n = bucket_count(text_bytes(rows))
+    spans = by_bucket(rows.mapInArrow(_chunk(n, cuts), BLOBS), n).mapInArrow(_later_places, SPANS)
+    if cuts.min_run:
+        spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_long_runs(cuts.min_run), SPANS)
+    return written(spans, "chunk-spans")
 
 
 def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n_bytes, kept, spans) of the changed documents, (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of all).
+    """((doc, n_bytes, kept, spans) of the changed documents, (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of all rows).
 
-    The earliest place of a chunk is the one with the least id, then the least start. Null texts are empty; rows that
-    repeat an id are one document (see ``one_row_per_id``); a null id is the least; empty tables give empty results;
-    other columns are not read.
+    The earliest place of a chunk is the one in the first document, there the least start. Documents come in order of id
+    (a null id first). Rows that repeat an id with another text are documents of their own, in order of their texts'
+    digests; rows that agree in id and text are one document and get a result each. Null texts are empty and have no
+    chunk. A text of any length is one row of a task and is cut in one piece. Empty tables give empty results; other
+    columns are not read, so their names can't clash.
     """
-    one = one_row_per_id(docs, id_col, text_col)
-    spans = repeated_chunks(one, cuts)
-    texts = one.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    return cut_out(texts, spans), digests(one, spans, texts)
+    rows, once = keyed(docs, id_col, text_col)
+    spans = repeated_chunks(once, cuts)
+    return cut_out(once, spans), digests(rows, spans, once)
 
 
 def op6(spark, root):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import written
+from strandline.llm._shared import scratch, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written, and their number and checksum, taken by the same job."""
+    seen = Observation()
+    state = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("check")
+    table = written(edges.observe(seen, *state), "edges")
+    return table, (seen.get["n"], seen.get["check"])
 
 
 def _hang(edges: DataFrame, only_larger: bool) -> DataFrame:
@@ -28,22 +32,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): component is the least node that it can reach.
 
     Nodes without an edge are not in the result. Loops and repeated edges are allowed; an empty table gives an
-    empty result. The rounds grow with the logarithm of the longest path; each ends in a written table.
+    empty result. The rounds grow with the logarithm of the longest path; each ends in a written table, and only the
+    last one is left behind.
     """
     flat = edges.select("u", "v").filter("u <> v")
-    now = written(flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hang(both, True).distinct()
-        now = written(_hang(large, False).distinct(), "edges")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    with scratch(edges.sparkSession) as keep:
+        now, before = _counted(flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        for _ in range(max_rounds):
+            if not before[0]:
+                break
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = _hang(both, True).distinct()
+            now, after = _counted(_hang(large, False).distinct())
+            if after == before:
+                break
+            before = after
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

@@ -19,13 +19,15 @@ threshold (six deviations); the others are decided on all shingle hashes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import simhash
-from strandline.llm._shared import lean, utf8, written
+from strandline.llm._shared import scratch, utf8, with_key, written
 from strandline.llm.graph import connected_components
 
 BANDS, ROWS, SKETCH = 12, 4, 256
@@ -68,28 +70,19 @@ def _sketches(words: int):
             data, offs = utf8(batch.column(1))
             raw = data.tobytes()
             found = [sketch(raw[a:b], words) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            marks = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
             columns = [
                 batch.column(0),
                 pa.array([simhash._signed(f) for f, _, _ in found], pa.int64()),
                 pa.array([k for _, k, _ in found], pa.list_(pa.int64())),
                 pa.array([s.tobytes() for _, _, s in found], pa.binary()),
+                pa.array(marks, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "bands", "sketch", "mark"])
 
     return run
 
 
-def _marked(run):
-    """``run`` on the first two columns, with the third column kept."""
-
-    def marked(batches):
-        for batch in batches:
-            for made in run(iter([batch.select([0, 1])])):
-                yield pa.RecordBatch.from_arrays([*made.columns, batch.column(2)], [*made.schema.names, "mark"])
-
-    return marked
-
-
 def _similar(threshold: float):
     """Pairs that may be similar; ``open`` where a sketch doesn't hold its whole set, so that more has to decide."""
 
@@ -179,7 +172,7 @@ def _nearest(batches):
 
 def _apart(sets: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
     """(u, v), u > v, of different components: all pairs of ``sets`` (doc_id, hashes) that can reach the threshold."""
-    posts = sets.transform(lean).mapInArrow(_postings, "doc_id long, size long, s long")
+    posts = sets.mapInArrow(_postings, "doc_id long, size long, s long")
     shared = posts.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
     document = Window.partitionBy("doc_id")
     # a document's shingles that no other one has come before those shared
@@ -198,13 +191,12 @@ def _apart(sets: DataFrame, components: DataFrame, threshold: float) -> DataFram
     return met.select(F.greatest("doc_id_a", "doc_id").alias("u"), F.least("doc_id_a", "doc_id").alias("v")).distinct()
 
 
-def near_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(twins, links), both (u, v) with u > v: documents with the shingles of a lesser one, and pairs of other documents
-    with ``threshold`` similarity or more, enough of them to connect all that share a bucket (see the module)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
-    rows = rows.withColumn("mark", F.unhex(F.sha2("text", 256)))
-    made = rows.transform(lean).mapInArrow(_marked(_sketches(words)), "doc_id long, fp long, bands array<long>, sketch binary, mark binary")
-    made = written(made, "sketches")
+def near_links(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(twins, links), both (u, v) with u > v, for (doc_id long, text) with each id once: documents with the shingles of a
+    lesser one, and pairs of other documents with ``threshold`` similarity or more, enough of them to connect all that
+    share a bucket (see the module)."""
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    made = written(rows.mapInArrow(_sketches(words), "doc_id long, fp long, bands array<long>, sketch binary, mark binary"), "sketches")
     # documents with one sketch and fingerprint are alike if the sketch is their whole set or the text is the same
     whole = F.when(F.octet_length("sketch") < 4 * SKETCH, F.lit(b"")).otherwise(F.col("mark"))
     alike = made.withColumn("same", F.sha2(F.concat("sketch", F.to_binary(F.hex("fp"), F.lit("hex")), whole), 256))
@@ -213,7 +205,7 @@ def near_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
     groups = written(groups.select("same", "v"), "alike")
     twins = alike.select("doc_id", "same").join(groups, "same").filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
     twins = written(twins, "twins")
-    kept = written(made.join(twins, made["doc_id"] == twins["u"], "left_anti").dropDuplicates(["doc_id"]), "firsts")
+    kept = written(made.join(twins, made["doc_id"] == twins["u"], "left_anti"), "firsts")
     cover = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(simhash._signed(m))).alias("k")) for i, m in enumerate(simhash.masks(2))]
     bands = [F.struct(F.lit(100 + i).alias("t"), F.col("bands")[i].alias("k")) for i in range(BANDS)]
     keys = kept.select("doc_id", "fp", F.explode(F.array(*cover, *bands)).alias("b")).select("doc_id", "fp", "b.t", "b.k")
@@ -224,21 +216,20 @@ def near_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
     met = many.select("doc_id", F.explode(F.array("least", "most")).alias("hub")).filter("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v"))
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / SMALL))
     dealt = many.groupBy("t", "k", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "fp")).alias("docs"))
-    near = dealt.select("docs").transform(lean).mapInArrow(_nearest, "u long, v long")
-    pairs = met.unionByName(near).unionByName(few.select("ids").transform(lean).mapInArrow(_all_pairs, "u long, v long")).distinct()
+    near = dealt.select("docs").mapInArrow(_nearest, "u long, v long")
+    pairs = met.unionByName(near).unionByName(few.select("ids").mapInArrow(_all_pairs, "u long, v long")).distinct()
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        texts = rows.join(kept.select("doc_id", "mark").join(ids, "doc_id"), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
-        return written(texts.select("doc_id", "text").transform(lean).mapInArrow(_sets(words), "doc_id long, hashes binary"), name)
+        return written(rows.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, hashes binary"), name)
 
     def judged(pairs: DataFrame) -> DataFrame:
         left, right = kept.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), kept.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
         compared = written(pairs, "pairs").join(left, "u").join(right, "v").select("u", "v", "a", "b")
-        compared = written(compared.transform(lean).mapInArrow(_similar(threshold), "u long, v long, open boolean"), "compared")
+        compared = written(compared.mapInArrow(_similar(threshold), "u long, v long, open boolean"), "compared")
         undecided = compared.filter("open").select("u", "v")
         sets = sets_of(undecided.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "sets")
         left, right = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b"))
-        decided = undecided.join(left, "u").join(right, "v").select("u", "v", "a", "b").transform(lean).mapInArrow(_same_sets(threshold), "u long, v long")
+        decided = undecided.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_same_sets(threshold), "u long, v long")
         return written(compared.filter("not open").select("u", "v").unionByName(decided), "links")
 
     links = judged(pairs)
@@ -249,13 +240,23 @@ def near_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group of linked documents the one with the least id stays.
+    """The rows of ``docs`` without near-duplicates: of each group of linked documents the first one stays.
 
-    Null texts are empty; texts without words are alike. Rows with a null id stay. Rows that repeat an id all stay or
-    all go. An empty table gives an empty result.
+    Documents come in order of id (a null id first). Rows that repeat an id with another text are documents of their
+    own, in order of their texts' digests; of rows that agree in id and text the one with the least hash of all columns
+    stays. Null texts are empty; texts without words are alike. Whole texts of any length are read. An empty table gives
+    an empty result. Other columns are kept as they are, whatever their names, except ``_key`` and ``_own_digest``.
     """
-    twins, links = near_links(docs, words, threshold, id_col, text_col)
-    # a twin goes whatever becomes of the lesser document, so only the others need components
-    found = connected_components(links).filter("node <> component").select(F.col("node").alias("_gone"))
-    gone = written(found.unionByName(twins.select(F.col("u").alias("_gone"))).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    rows, repeated = with_key(docs, id_col, text_col)
+    with scratch(docs.sparkSession) as keep:
+        once = rows.select(F.col("_key").alias("doc_id"), F.col(text_col).alias("text"))
+        twins, links = near_links(once.dropDuplicates(["doc_id"]) if repeated else once, words, threshold)
+        # a twin goes whatever becomes of the lesser document, so only the others need components
+        found = connected_components(links).filter("node <> component").select(F.col("node").alias("_key"))
+        gone = found.unionByName(twins.select(F.col("u").alias("_key"))).distinct()
+        if not repeated:
+            gone = keep(gone, "gone")
+            return rows.join(gone, "_key", "left_anti").select(docs.columns)
+        plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+        left = rows.join(gone, "_key", "left_anti").groupBy("_key").agg(F.min_by(F.struct(docs.columns), F.xxhash64(*plain)).alias("_row"))
+        return keep(left, "kept").select("_row.*")

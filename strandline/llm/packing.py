@@ -1,9 +1,9 @@
 """Sequence packing by length patterns and non-negative least squares.
 
 Documents become token pieces of at most ``capacity`` tokens. Only the histogram of piece lengths (at most ``capacity``
-numbers) reaches the driver. Patterns of two or three lengths that fill a sequence exactly are fitted to it by
-non-negative least squares, their repeat counts are rounded down, and what they leave is packed best fit, longest
-first. The plan is a list of patterns with repeat counts; a piece finds its sequence and offset from its length and its
+numbers) reaches the driver. Patterns of one to three lengths that fill a sequence as far as they can are fitted to it
+by non-negative least squares, a share of their repeat counts is rounded down, and what they leave (short pieces among
+it, as fill) is packed best fit, longest first. The plan is a list of patterns with repeat counts; a piece finds its sequence and offset from its length and its
 rank among pieces of that length alone, so the assignment needs no group, no driver and no order between tasks.
 """
 
@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import lean, written
+from strandline.llm._shared import written
 
 CAPACITY, END_ID = 1024, 2
+#: Weight of the unused capacity in the fit, and the share of the fitted repeats that is taken.
+UNUSED_WEIGHT, SHARE = 3.0, 0.8
 #: Words whose ids one worker remembers.
 CACHE_WORDS = 100_000
 #: Rows of a rank group (length and salt), and the most salts.
@@ -101,8 +103,10 @@ def default_added() -> tuple[tuple[str, int], ...]:
 
 def token_pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, input_ids]): each document's ids and ``end_id``, cut from the end into
-    pieces of ``capacity``; the first may be shorter. A null text is empty and gives one piece of one token. Strings of
-    ``added`` get their ids (``default_added()``: as the JSON form does); without it they are ordinary text."""
+    pieces of ``capacity``; the first may be shorter. A null text is empty and gives one piece of one token; so does an
+    empty one. A text of any length is encoded whole by one task, its pieces leave in bounded batches. Repeated rows give
+    their pieces each; a null id is an id. Strings of ``added`` get their ids (``default_added()``: as the JSON form
+    does); without it they are ordinary text. Other columns are not read; an empty table gives an empty result."""
     rank_file, pattern = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["input_ids"] * keep_ids
@@ -138,42 +142,84 @@ def token_pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, cap
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", input_ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(lean).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def exact_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """All patterns of two or three of the lengths that add up to the capacity; rows of three, 0 for none."""
-    there = np.zeros(capacity + 1, bool)
-    there[lengths[lengths < capacity]] = True
-    a = np.flatnonzero(there)
-    two = a[(2 * a <= capacity) & there[capacity - a]]
-    rows = [np.stack([two, capacity - two, np.zeros_like(two)], 1)]
+def length_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """All patterns of one to three of the lengths that the last piece fills as far as any length can; rows of three in
+    rising order, 0 for none."""
+    a = np.unique(lengths)
+    rows = [np.stack([np.zeros_like(a), np.zeros_like(a), a], 1)]
+    last = np.searchsorted(a, capacity - a, "right") - 1
+    good = (last >= 0) & (a[last] >= a)
+    rows.append(np.stack([np.zeros_like(a[good]), a[good], a[last[good]]], 1))
     for x in a[3 * a <= capacity]:
         y = a[(a >= x) & (2 * a <= capacity - x)]
-        y = y[there[capacity - x - y]]
-        rows.append(np.stack([np.full_like(y, x), y, capacity - x - y], 1))
+        z = a[np.searchsorted(a, capacity - x - y, "right") - 1]
+        y, z = y[z >= y], z[z >= y]
+        rows.append(np.stack([np.full_like(y, x), y, z], 1))
     return np.concatenate(rows)
 
 
-def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Non-negative repeat counts x that bring the patterns' lengths close to the histogram (least squares), by
-    multiplicative updates."""
-    weight = (patterns > 0).astype(float)
-    flat = patterns.ravel()
+def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, capacity: int, tolerance: float = 5e-3, most_rounds: int = 400) -> np.ndarray:
+    """Non-negative repeat counts x that bring the patterns' lengths close to the histogram: least squares with one more
+    row, the capacity that is left unused, whose target is 0.
 
-    def lengths_of(x):
-        got = np.bincount(flat, (weight * x[:, None]).ravel(), minlength=len(histogram))
-        got[0] = 0
-        return got
-
-    def gather(v):
-        return (v[patterns] * weight).sum(1)
-
-    target = gather(histogram.astype(float))
-    x = np.full(len(patterns), histogram.sum() / max(1, 3 * len(patterns)))
-    for _ in range(rounds):
-        x *= target / np.maximum(gather(lengths_of(x)), 1e-9)
-    return x
+    An active-set method: each round lets in patterns whose gradient is positive, such that no two of them share a
+    length, solves for all that are in and drops those that would be negative, until no gradient exceeds ``tolerance``
+    (of the greatest count). The result uses about as many patterns as there are lengths.
+    """
+    weight = patterns > 0
+    unused = UNUSED_WEIGHT * (1 - patterns.sum(1) / capacity)
+    target = np.r_[histogram.astype(float), 0.0]
+    scale = max(1.0, target.max())
+    target /= scale
+
+    def columns(cols):
+        made = np.zeros((len(target), len(cols)))
+        for k in range(patterns.shape[1]):
+            np.add.at(made, (patterns[cols, k], np.arange(len(cols))), weight[cols, k])
+        made[-1] = unused[cols]
+        return made
+
+    inside, x, matrix = np.zeros(0, np.int64), np.zeros(0), np.zeros((len(target), 0))
+    left, least, several = target, np.inf, True
+    for _ in range(most_rounds):
+        gradient = np.where(weight, left[patterns], 0).sum(1) + unused * left[-1]
+        gradient[inside] = 0
+        order = np.argsort(-gradient, kind="stable")[:2000]
+        taken, new = np.zeros(len(target), bool), []
+        for p in order[gradient[order] > tolerance]:
+            parts = patterns[p][weight[p]]
+            if not taken[parts].any():
+                taken[parts] = True
+                new.append(p)
+        if not new:
+            break
+        new = np.array(new)
+        inside, x, matrix = np.r_[inside, new], np.r_[x, np.zeros(len(new))], np.concatenate([matrix, columns(new)], 1)
+        while True:
+            gram = matrix.T @ matrix
+            gram[np.diag_indices(len(gram))] += 1e-9
+            found = np.linalg.solve(gram, matrix.T @ target)
+            bad = found <= 1e-12
+            if not bad.any():
+                break
+            if several:
+                drop = bad
+            else:  # go as far as the first that reaches 0
+                x = np.maximum(x + np.min(x[bad] / np.maximum(x[bad] - found[bad], 1e-300)) * (found - x), 0)
+                drop = bad & (x <= 1e-9)
+            inside, matrix, x = inside[~drop], matrix[:, ~drop], x[~drop]
+        x = found
+        left = target - matrix @ x
+        error = float(left @ left)
+        # dropping several at once is fast, but only single steps are sure to come to an end
+        several &= error < least * 0.9999
+        least = min(least, error)
+    out = np.zeros(len(patterns))
+    out[inside] = x
+    return out * scale
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -201,27 +247,28 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int,
 
 
 def make_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns with repeats for all pieces; ``histogram[n]`` is the number of pieces of n tokens."""
-    plain = best_fit(histogram, capacity)
-    patterns = exact_patterns(np.flatnonzero(histogram), capacity)
-    if not len(patterns):
-        return plain
-    repeats = fit_repeats(patterns, histogram)
+    """Patterns with repeats for all pieces; ``histogram[n]`` is the number of pieces of n tokens.
+
+    Pieces that fill a sequence are patterns of their own; the others are fitted. ``SHARE`` of each repeat count is
+    rounded down and taken as far as there are pieces for it, the largest counts first; the rest is packed best fit.
+    """
     left, plan = histogram.copy(), []
-    for p in np.argsort(-repeats, kind="stable"):
-        if repeats[p] < 1:
-            break
-        parts: dict[int, int] = {}
-        for length in patterns[p].tolist():
-            if length:
-                parts[length] = parts.get(length, 0) + 1
-        n = min([int(repeats[p]), *(int(left[length]) // count for length, count in parts.items())])
-        if n:
-            for length, count in parts.items():
-                left[length] -= n * count
-            plan.append((n, list(parts.items())))
-    plan += best_fit(left, capacity)
-    return min(plan, plain, key=lambda x: sum(n for n, _ in x))
+    if left[capacity]:
+        plan.append((int(left[capacity]), [(capacity, 1)]))
+        left[capacity] = 0
+    present = np.flatnonzero(left)
+    if len(present):
+        patterns = length_patterns(present, capacity)
+        repeats = fit_repeats(patterns, left, capacity)
+        for p in np.argsort(-repeats, kind="stable"):
+            if repeats[p] * SHARE < 1:
+                break
+            lengths, counts = np.unique(patterns[p][patterns[p] > 0], return_counts=True)
+            n = int(min(repeats[p] * SHARE, (left[lengths] // counts).min()))
+            if n:
+                left[lengths] -= n * counts
+                plan.append((n, list(zip(lengths.tolist(), counts.tolist()))))
+    return plan + best_fit(left, capacity)
 
 
 def slots_of(plan) -> np.ndarray:
@@ -255,8 +302,9 @@ def _assign(slots: np.ndarray):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``.
 
-    Every row is packed, repeated ones as well. Offsets are gapless from 0 in each sequence. An empty table gives an
-    empty result.
+    Every row is packed, repeated ones and those of a null id as well; rows that agree in all columns take any of their
+    places. Offsets are gapless from 0 in each sequence. An empty table gives an empty result; other columns are not
+    read, so their names can't clash.
     """
     rows = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
     salts = int(min(MOST_SALTS, max(32, rows.count() // GROUP_ROWS)))
@@ -271,7 +319,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn("place", F.row_number().over(place) - 1).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).cast("long").alias("rank"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.transform(lean).mapInArrow(_assign(slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(_assign(slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op8(spark, root):

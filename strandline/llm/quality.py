@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import lean, row_chunks, utf8, written
+from strandline.llm._shared import row_chunks, utf8, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -151,7 +151,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang",
     Every word is counted; each task adds up its own words before the shuffle. Only the commonest words of each
     language come to the driver. Without a language of enough words the whole corpus is the reference for all documents.
     """
-    counted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).transform(lean).mapInArrow(_count, "lang string, word binary, cls int, n long")
+    counted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, word binary, cls int, n long")
     counts = written(counted.groupBy("lang", "word", "cls").agg(F.sum("n").alias("n")), "quality-counts")
     words = counts.filter("word is not null")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -262,7 +262,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
     refs = refs or references(docs, rules, lang_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     lang = F.col(lang_col) if refs.few else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")).transform(lean).mapInArrow(_judge(refs, rules), f"doc_id {kind}, {OUT}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")).mapInArrow(_judge(refs, rules), f"doc_id {kind}, {OUT}")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -276,7 +276,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", t
             for judged in run([row]):
                 yield batch.filter(judged.column("kept"))
 
-    return docs.transform(lean).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4(spark, root):

@@ -5,40 +5,38 @@ of equals) is its *anchor*. The choice looks at nothing but the window's bytes,
 the same offset: two windows are equal exactly if their anchors' suffixes and the few bytes before them agree.
 
 1. Anchors of all documents meet by hash in buckets; only those whose gram occurs twice or more go on (*candidates*).
-2. A bounded sample of suffix heads gives splitters, which range-partition the candidate suffixes by their leading
-   bytes; of equal contexts in one task, only the earliest travels. Suffixes with one gram never straddle a boundary:
-   a head too common for one bucket is divided by the hash of its gram, which is equal for equal grams.
-3. A bucket sorts its suffixes by multikey quicksort over eight-byte characters, and within runs of one gram finds for
-   each window the earliest place (document, start) that has the same bytes. All later places are repeats.
-4. Grams that occur in very many places (``HOT``) would make one bucket large. Their windows are instead compared one by
-   one under a 128-bit hash of the whole window, which spreads over all buckets.
+2. A bounded sample of candidate suffixes gives splitters, which range-partition all of them by their leading bytes; of
+   equal contexts in one task, only the earliest travels. Suffixes that agree in all of their bytes and fill several
+   buckets are dealt among those.
+3. A bucket sorts its suffixes by multikey quicksort over eight-byte characters, and the bytes before them likewise.
+   Neighbours are compared byte by byte: for each offset of a window in its anchor's context, the neighbours that agree
+   far enough to the right and to the left are one string. All but its earliest place (document, start) are repeats.
+4. Where a bucket's splitter agrees with a suffix as far as a window reaches, that window may occur in other buckets.
+   Its earliest place in the bucket is compared across the boundaries, under a BLAKE2b digest of its bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import bucket_count, group_starts, lean, one_row_per_id, row_chunks, split_blobs, text_bytes, utf8, written
+from strandline.llm._shared import bucket_count, by_bucket, group_starts, row_chunks, scratch, split_blobs, text_bytes, utf8, with_key, written
 
 LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM  # the farthest that an anchor lies behind its window's start
-#: Places of one gram from which its windows are compared one by one, and the most such grams (the broadcast list).
-HOT, MOST_HOT = 2000, 10_000
-#: Expected number of grams whose heads are sampled; the splitters are taken from those among them that are candidates.
-SAMPLE = 100_000
+#: Suffixes sampled for each splitter, and the most of them (100 bytes each reach the driver).
+PER_SPLITTER, MOST_SAMPLED = 32, 1_000_000
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-TABLE2 = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE, BASE2, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, U(0xBF58476D1CE4E5B9)
+BASE, MIX = 0x9E3779B97F4A7C15, U(0xBF58476D1CE4E5B9)
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
-HEAD = np.dtype([("h", "<u8"), ("lead", "<u8")])
-CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", (REACH + LENGTH,))])
-PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("n", "<u4")])
+CONTEXT = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", (REACH + LENGTH,))])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 DONE = 128  # flag in ``lo``: the entry is a candidate already
 FLUSH = 800_000
@@ -101,10 +99,10 @@ def _blob_batch(rows):
 BLOBS = "bucket int, kind int, blob binary"
 
 
-def _find_anchors(n_buckets: int, sample_every: int):
-    """(doc_id, text) -> blobs: 0 entries by hash, 1 candidates known here, 2 sampled heads."""
+def _find_anchors(n_buckets: int):
+    """(key, text) -> blobs by hash: 0 entries, 1 candidates known here."""
 
-    def flush(parts, heads):
+    def flush(parts):
         e = _table(parts, ENTRY)
         e = e[np.argsort(e["h"], kind="stable")]
         first = group_starts(e["h"])
@@ -112,17 +110,16 @@ def _find_anchors(n_buckets: int, sample_every: int):
         again[:-1] |= ~first[1:]
         ends = e[first].copy()
         ends["lo"] |= np.where(again[first], DONE, 0).astype(np.uint8)
-        head = _table(heads, HEAD)
         rows = []
-        for kind, rec in ((0, ends), (1, e[again]), (2, head)):
+        for kind, rec in ((0, ends), (1, e[again])):
             rows += [(b, kind, blob) for b, blob in split_blobs((rec["h"] % U(n_buckets)).astype(np.int64), rec)]
         if rows:
             yield _blob_batch(rows)
 
     def run(batches):
-        parts, heads, held = [], [], 0
+        parts, held = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             all_data, all_offs = utf8(batch.column(1))
             for r0, r1 in row_chunks(all_offs, 1 << 19):
                 offs = all_offs[r0 : r1 + 1] - all_offs[r0]
@@ -132,28 +129,17 @@ def _find_anchors(n_buckets: int, sample_every: int):
                     continue
                 doc = np.searchsorted(offs, a, "right") - 1
                 e = np.empty(len(a), ENTRY)
-                e["h"], e["doc"], e["pos"], e["lo"], e["hi"] = h, ids[r0 + doc], a - offs[doc], lo, hi
+                e["h"], e["doc"], e["pos"], e["lo"], e["hi"] = h, keys[r0 + doc], a - offs[doc], lo, hi
                 parts.append(e)
                 held += len(e)
-                pick = a[h % U(sample_every) == 0]
-                s = np.empty(len(pick), HEAD)
-                s["h"] = h[h % U(sample_every) == 0]
-                s["lead"] = _words(data, pick, 1)[:, 0]
-                heads.append(s)
-            if held >= FLUSH:
-                yield from flush(parts, heads)
-                parts, heads, held = [], [], 0
-        yield from flush(parts, heads)
+                if held >= FLUSH:
+                    yield from flush(parts)
+                    parts, held = [], 0
+        yield from flush(parts)
 
     return run
 
 
-def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """``n`` big-endian eight-byte characters from each place of ``data``."""
-    idx = at[:, None] + np.arange(8 * n)
-    return np.ascontiguousarray(data[idx]).view(">u8").astype(np.uint64)
-
-
 def _read_blobs(batches) -> dict[int, list[bytes]]:
     held: dict[int, list[bytes]] = {}
     for batch in batches:
@@ -167,7 +153,7 @@ def _records(held: dict[int, list[bytes]], kind: int, dtype) -> np.ndarray:
 
 
 def _pick_candidates(batches):
-    """Blobs of one bucket -> candidate rows (kind 1) and one sampled head for each sampled gram (kind 2)."""
+    """Blobs of one bucket -> rows (doc, pos, reach) of the candidates."""
     held = _read_blobs(batches)
     e = _records(held, 0, ENTRY)
     order = np.argsort(e["h"], kind="stable")
@@ -175,22 +161,13 @@ def _pick_candidates(batches):
     again = ~first
     again[:-1] |= ~first[1:]
     found = e[order[again]]
-    found = np.concatenate([found[found["lo"] < DONE], _records(held, 1, ENTRY)])
-    heads = _records(held, 2, HEAD)
-    heads = heads[np.unique(heads["h"], return_index=True)[1]]
-    heads = heads[np.isin(heads["h"], found["h"])]
-    n, m = len(found), len(heads)
-    for at in range(0, n, 100_000):
-        f = found[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(f), np.int32)), pa.array(f["doc"].astype(np.int64)), pa.array(f["h"].astype(np.uint64).view(np.int64)), pa.array(f["pos"].astype(np.int32)), pa.array((f["lo"].astype(np.int32) & 127) << 8 | f["hi"])],
-            ["kind", "doc", "h", "pos", "reach"],
-        )
-    if m:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, 2, np.int32)), pa.array(heads["lead"].view(np.int64)), pa.array(heads["h"].view(np.int64)), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int32))],
-            ["kind", "doc", "h", "pos", "reach"],
-        )
+    for part in (found[found["lo"] < DONE], _records(held, 1, ENTRY)):
+        for at in range(0, len(part), 100_000):
+            f = part[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f["doc"].astype(np.int64)), pa.array(f["pos"].astype(np.int32)), pa.array((f["lo"].astype(np.int32) & 127) << 8 | f["hi"])],
+                ["doc", "pos", "reach"],
+            )
 
 
 def _merge_spans(rec: np.ndarray) -> np.ndarray:
@@ -211,67 +188,58 @@ def _merge_spans(rec: np.ndarray) -> np.ndarray:
     return out
 
 
-def _route(lead: np.ndarray, h: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """Range bucket by leading bytes; a head that fills several buckets is divided by its gram's hash."""
-    left, right = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
-    return left + ((h >> U(32)) * (right - left + 1).astype(np.uint64) >> U(32)).astype(np.int64)
+def _route(heads: np.ndarray, splitters: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Range bucket by all bytes of a suffix; one that fills several buckets is dealt among them by ``salt``."""
+    left, right = np.searchsorted(splitters, heads, "left"), np.searchsorted(splitters, heads, "right")
+    return left + (salt % (right - left + 1).astype(np.uint64)).astype(np.int64)
 
 
-def _earliest(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """True where no row with the same key (a, b) has a lesser (doc, pos)."""
-    order = np.lexsort((pos, doc, b, a))
-    first = np.ones(len(a), bool)
-    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    out = np.empty(len(a), bool)
-    out[order] = first
-    return out
+def _heads(c: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(c["ctx"][:, REACH:]).view(f"S{LENGTH}")[:, 0]
+
 
+def _spans_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    s = np.empty(len(doc), SPAN)
+    s["doc"], s["start"], s["end"] = doc, start, end
+    return s
 
-def _send_contexts(splitters: np.ndarray, hot: np.ndarray, n_buckets: int):
-    """(doc_id, text, cands) -> blobs: 0 contexts by range, 1 windows of hot grams by hash, 2 spans known here."""
-    key_a, key_b = _rng.integers(0, 1 << 63, (2, CONTEXT["ctx"].shape[0] // 8), dtype=np.uint64) * U(2) + U(1)
 
-    def flush(contexts, places):
-        rows, known = [], []
+def _send_contexts(splitters: np.ndarray, n_buckets: int):
+    """(key, text, cands) -> blobs: 0 contexts by range, 1 spans known here."""
+    mix = _rng.integers(0, 1 << 63, CONTEXT["ctx"].shape[0] // 8, dtype=np.uint64) * U(2) + U(1)
+
+    def flush(contexts):
         c = _table(contexts, CONTEXT)
-        if len(c):
-            words = np.ascontiguousarray(c["ctx"]).view(np.uint64)
-            edge = (c["lo"].astype(np.uint64) << U(8)) | c["hi"]
-            a, b = (words * key_a).sum(1, dtype=np.uint64) + edge, ((words ^ (words >> U(31))) * key_b).sum(1, dtype=np.uint64)
-            first = _earliest(a, b, c["doc"], c["pos"])
-            k = c[~first]
-            s = np.empty(len(k), SPAN)
-            s["doc"], s["start"], s["end"] = k["doc"], k["pos"] - k["hi"], k["pos"] - k["lo"] + np.uint32(LENGTH)
-            known.append(s)
-            c = c[first]
-            lead = np.ascontiguousarray(c["ctx"][:, REACH : REACH + 8]).view(">u8")[:, 0].astype(np.uint64)
-            rows += [(b, 0, blob) for b, blob in split_blobs(_route(lead, c["h"], splitters), c)]
-        p = _table(places, PLACE)
-        if len(p):
-            first = _earliest(p["a"], p["b"], p["doc"], p["pos"])
-            k = p[~first]
-            s = np.empty(len(k), SPAN)
-            s["doc"], s["start"], s["end"] = k["doc"], k["pos"], k["pos"] + k["n"]
-            known.append(s)
-            rows += [(b, 1, blob) for b, blob in split_blobs((p["a"][first] % U(n_buckets)).astype(np.int64), p[first])]
-        s = _merge_spans(_table(known, SPAN))
-        rows += [(b, 2, blob) for b, blob in split_blobs(s["doc"] % n_buckets, s)]
-        if rows:
-            yield _blob_batch(rows)
+        if not len(c):
+            return
+        words = np.ascontiguousarray(c["ctx"]).view(np.uint64)
+        key = ((words ^ (words >> U(31))) * mix).sum(1, dtype=np.uint64) * MIX
+        order = np.lexsort((c["pos"], c["doc"], key))
+        c, key = c[order], key[order]
+        # equal keys stand next to each other; only equal bytes count as equal
+        first = group_starts(key)
+        for name in ("lo", "hi"):
+            first[1:] |= c[name][1:] != c[name][:-1]
+        first[1:] |= (c["ctx"][1:] != c["ctx"][:-1]).any(1)
+        k = c[~first]
+        known = _merge_spans(_spans_of(k["doc"], k["pos"] - k["hi"], k["pos"] - k["lo"] + np.uint32(LENGTH)))
+        c, key = c[first], key[first]
+        rows = [(b, 0, blob) for b, blob in split_blobs(_route(_heads(c), splitters, key >> U(20)), c)]
+        rows += [(b, 1, blob) for b, blob in split_blobs(known["doc"] % n_buckets, known)]
+        yield _blob_batch(rows)
 
     def run(batches):
-        contexts, places, held = [], [], 0
+        contexts, held = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             data, offs = utf8(batch.column(1))
             lists = batch.column(2)
             flat = lists.flatten()
-            doc = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
-            h, pos, reach = (flat.field(i).to_numpy() for i in range(3))
-            h, pos, lo, hi = h.view(np.uint64), pos.astype(np.int64), reach >> 8, reach & 255
+            doc = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy())
+            pos, reach = (flat.field(i).to_numpy() for i in range(2))
+            pos, lo, hi = pos.astype(np.int64), reach >> 8, reach & 255
             padded = np.r_[np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)]
-            is_hot = np.isin(h, hot)
-            for at in range(0, len(h), 5_000):
+            for at in range(0, len(pos), 5_000):
                 pick = slice(at, at + 5_000)
                 base = offs[doc[pick]] + pos[pick]
                 ctx = padded[base[:, None] + np.arange(REACH + LENGTH)]
@@ -279,48 +247,17 @@ def _send_contexts(splitters: np.ndarray, hot: np.ndarray, n_buckets: int):
                 # outside of the bytes that the anchor's windows cover nothing may count
                 ctx[(cols < -hi[pick][:, None]) | (cols >= LENGTH - lo[pick][:, None])] = 0
                 c = np.empty(len(base), CONTEXT)
-                c["h"], c["doc"], c["pos"], c["lo"], c["hi"], c["ctx"] = h[pick], ids[doc[pick]], pos[pick], lo[pick], hi[pick], ctx
-                hot_here = is_hot[pick]
-                if hot_here.any():
-                    places.append(_window_places(c[hot_here]))
-                    held += len(places[-1]) // 8
-                contexts.append(c[~hot_here])
-                held += len(contexts[-1])
+                c["doc"], c["pos"], c["lo"], c["hi"], c["ctx"] = keys[doc[pick]], pos[pick], lo[pick], hi[pick], ctx
+                contexts.append(c)
+                held += len(c)
                 if held >= FLUSH // 8:
-                    yield from flush(contexts, places)
-                    contexts, places, held = [], [], 0
-        yield from flush(contexts, places)
+                    yield from flush(contexts)
+                    contexts, held = [], 0
+        yield from flush(contexts)
 
     return run
 
 
-def _window_hashes(ctx: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
-    """For each context row and window offset 0..REACH a hash of the window's bytes."""
-    prefix = np.zeros((ctx.shape[1] + 1, len(ctx)), np.uint64)
-    step = U(base)
-    for i in range(ctx.shape[1]):
-        prefix[i + 1] = prefix[i] * step + table[ctx[:, i]]
-    o = np.arange(REACH + 1)
-    return (prefix[REACH + LENGTH - o] - prefix[REACH - o] * _power(base, LENGTH)).T
-
-
-def _unfold(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of each window, by row and rising offset."""
-    n = hi.astype(np.int64) - lo + 1
-    row = np.repeat(np.arange(len(n)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo.astype(np.int64)[row]
-
-
-def _window_places(c: np.ndarray) -> np.ndarray:
-    row, o = _unfold(c["lo"], c["hi"])
-    p = np.empty(len(row), PLACE)
-    for name, table, base in (("a", TABLE, BASE), ("b", TABLE2, BASE2)):
-        h = _window_hashes(c["ctx"], table, base)[row, o]
-        p[name] = (h ^ (h >> U(32))) * MIX
-    p["doc"], p["pos"], p["n"] = c["doc"][row], c["pos"][row] - o, LENGTH
-    return p
-
-
 def multikey_sort(words: np.ndarray) -> np.ndarray:
     """Order of rows of eight-byte characters: each round sorts by one character those that are still tied."""
     order = np.arange(len(words))
@@ -340,95 +277,147 @@ def multikey_sort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeats_in_bucket(c: np.ndarray) -> np.ndarray:
-    """Spans of windows that occur at an earlier (document, start) of the same bucket."""
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of bytes, how many leading ones agree."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
+
+
+def _sort_rows(rows: np.ndarray) -> np.ndarray:
+    """Order of rows of bytes by multikey quicksort over their eight-byte characters."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return multikey_sort(wide.view(">u8").astype(np.uint64))
+
+
+def repeats_in_bucket(c: np.ndarray, below: np.ndarray | None = None, above: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """Spans of windows that occur at an earlier (document, start) of the bucket, and (digests, document, start) of the
+    earliest places of windows that may occur in other buckets. ``below`` and ``above`` are the splitters on its sides."""
     if not len(c):
-        return np.zeros(0, SPAN)
-    right = np.zeros((len(c), LENGTH + 4), np.uint8)
-    right[:, :LENGTH] = c["ctx"][:, REACH:]
-    words = right.view(">u8").astype(np.uint64)
-    c = c[multikey_sort(words)]
-    grams = np.ascontiguousarray(c["ctx"][:, REACH : REACH + GRAM]).view(">u8")
-    new = np.ones(len(c), bool)
-    new[1:] = (grams[1:] != grams[:-1]).any(1)
-    gid = np.cumsum(new)
-    single = new & np.r_[new[1:], True]
-    c, gid = c[~single], gid[~single]
-    out = []
+        return np.zeros(0, SPAN), ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    c = c[_sort_rows(c["ctx"][:, REACH:])]
+    near = np.zeros(len(c), np.int64)  # bytes that the suffix shares with a splitter
+    for splitter in (below, above):
+        if splitter is not None:
+            near = np.maximum(near, agreement(c["ctx"][:, REACH:], np.broadcast_to(splitter, (len(c), LENGTH))))
+    shared = np.zeros(len(c), np.int64)  # bytes that the suffix shares with the one before
+    for at in range(1, len(c), 20_000):
+        end = min(len(c), at + 20_000)
+        shared[at:end] = agreement(c["ctx"][at:end, REACH:], c["ctx"][at - 1 : end - 1, REACH:])
+    new = shared < GRAM
+    group = np.cumsum(new)
+    alone = new & np.r_[new[1:], True] & (near < GRAM)
+    c, near, shared, group = c[~alone], near[~alone], shared[~alone], group[~alone]
+    spans, digests, docs, starts = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = 0
     while at < len(c):
-        end = int(np.searchsorted(gid, gid[min(at + 30_000, len(c)) - 1], "right"))
-        out.append(_repeats_of_groups(c[at:end], gid[at:end]))
+        end = int(np.searchsorted(group, group[min(at + 30_000, len(c)) - 1], "right"))
+        found, (more, doc, start) = _repeats_of_groups(c[at:end], near[at:end], shared[at:end])
+        spans.append(found)
+        digests += more
+        docs.append(doc)
+        starts.append(start)
         at = end
-    return _merge_spans(_table(out, SPAN))
-
-
-def _repeats_of_groups(c: np.ndarray, gid: np.ndarray) -> np.ndarray:
-    order = np.lexsort((c["pos"], c["doc"]))
-    c, gid = c[order], gid[order].astype(np.uint64)
-    row, o = _unfold(c["lo"], c["hi"])
-    key = np.empty(len(row), np.uint64)
-    for r0 in range(0, len(c), 5_000):
-        a, b = np.searchsorted(row, (r0, r0 + 5_000))
-        key[a:b] = _window_hashes(c["ctx"][r0 : r0 + 5_000], TABLE, BASE)[row[a:b] - r0, o[a:b]]
-    key = (key ^ (key >> U(31))) * MIX + (gid[row] * U(64) + o.astype(np.uint64)) * U(BASE)
-    by = np.argsort(key, kind="stable")
-    again = np.zeros(len(row), bool)
-    again[by] = ~group_starts(key[by])
-    row, o = row[again], o[again]
-    if not len(row):
-        return np.zeros(0, SPAN)
+    return _merge_spans(_table(spans, SPAN)), (digests, np.concatenate(docs), np.concatenate(starts))
+
+
+def _repeats_of_groups(c: np.ndarray, near: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """As ``repeats_in_bucket``, of suffixes in order; ``shared`` is each one's agreement with the one before."""
+    before = np.ascontiguousarray(c["ctx"][:, :REACH][:, ::-1])  # the bytes before the anchor, nearest first
+    by_left = _sort_rows(before)
+    shared_left = np.r_[0, agreement(before[by_left[1:]], before[by_left[:-1]])]
+    by_place = np.lexsort((c["pos"], c["doc"]))
+    lo, hi, pos = c["lo"].astype(np.int64), c["hi"].astype(np.int64), c["pos"].astype(np.int64)
+    left = np.empty(len(c), np.int64)
+    again_row, again_at, digests, open_row, open_at = [], [], [], [], []
+    for o in range(int(lo.min()), int(hi.max()) + 1):
+        right = np.cumsum(shared < LENGTH - o)  # one number for each string of LENGTH - o bytes from the anchor on
+        left[by_left] = np.cumsum(shared_left < o)  # and of o bytes before it
+        mine = by_place[(lo[by_place] <= o) & (o <= hi[by_place])]
+        string = right[mine] * (len(c) + 1) + left[mine]
+        order = np.argsort(string, kind="stable")
+        first = group_starts(string[order])
+        rows = mine[order[~first]]
+        again_row.append(rows)
+        again_at.append(np.full(len(rows), o))
+        rows = mine[order[first]]
+        rows = rows[near[rows] >= LENGTH - o]
+        open_row.append(rows)
+        open_at.append(np.full(len(rows), o))
+        windows = np.ascontiguousarray(c["ctx"][rows, REACH - o : REACH - o + LENGTH])
+        digests += [hashlib.blake2b(w, digest_size=16).digest() for w in windows]
+    row, o = np.concatenate(again_row), np.concatenate(again_at)
+    order = np.lexsort((o, row))
+    row, o = row[order], o[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (o[1:] != o[:-1] + 1)
     at = np.flatnonzero(new)
-    last = np.r_[at[1:], len(row)] - 1
-    pos = c["pos"].astype(np.int64)
-    s = np.empty(len(at), SPAN)
-    s["doc"], s["start"], s["end"] = c["doc"][row[at]], pos[row[at]] - o[last], pos[row[at]] - o[at] + LENGTH
-    return s
-
-
-def repeats_among_places(p: np.ndarray) -> np.ndarray:
-    k = p[~_earliest(p["a"], p["b"], p["doc"], p["pos"])]
-    s = np.empty(len(k), SPAN)
-    s["doc"], s["start"], s["end"] = k["doc"], k["pos"], k["pos"] + k["n"]
-    return _merge_spans(s)
+    last = np.r_[at[1:], len(row)][: len(at)] - 1
+    spans = _spans_of(c["doc"][row[at]], pos[row[at]] - o[last], pos[row[at]] - o[at] + LENGTH)
+    row, o = np.concatenate(open_row), np.concatenate(open_at)
+    return spans, (digests, c["doc"][row].astype(np.int64), pos[row] - o)
 
 
 def span_batches(spans: np.ndarray):
     for at in range(0, len(spans), 100_000):
         s = spans[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(s["doc"].astype(np.int64)), pa.array(s["start"].astype(np.int64)), pa.array(s["end"].astype(np.int64))], ["doc_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(s["doc"].astype(np.int64)), pa.array(s["start"].astype(np.int64)), pa.array(s["end"].astype(np.int64))], ["doc", "start", "end"])
 
 
-SPANS = "doc_id long, start long, end long"
+SPANS = "doc long, start long, end long"
 
 
-def _sort_buckets(batches):
-    held = _read_blobs(batches)
-    found = [repeats_in_bucket(_records(held, 0, CONTEXT)), repeats_among_places(_records(held, 1, PLACE)), _records(held, 2, SPAN)]
-    yield from span_batches(_merge_spans(np.concatenate(found)))
-
-
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For (doc_id, text) with each id once: spans (doc_id, start, end) of bytes that a repeated window covers (they may
-    overlap), and (doc_id, text) of at least all documents that have one."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    n_bytes = text_bytes(docs)
-    n = bucket_count(n_bytes)
-    every = max(1, n_bytes // 31 // SAMPLE)
-    found = docs.transform(lean).mapInArrow(_find_anchors(n, every), BLOBS).repartition(n, "bucket").transform(lean).mapInArrow(_pick_candidates, "kind int, doc long, h long, pos int, reach int")
-    found = written(found, "candidates")
-    cands = found.filter("kind = 1")
-    total = cands.count()
-    limit = max(HOT, total // MOST_HOT)
-    hot = np.array([r.h for r in cands.groupBy("h").count().filter(F.col("count") > limit).select("h").collect()], np.int64).view(np.uint64)  # at most MOST_HOT
-    heads = np.sort(np.array([r.doc for r in found.filter("kind = 2").select("doc").collect()], np.int64).view(np.uint64))  # at most about SAMPLE
-    splitters = heads[np.linspace(0, len(heads) - 1, n + 1).astype(int)[1:-1]] if len(heads) else heads
-    by_doc = cands.groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "reach")).alias("cands"))
-    chosen = written(docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "cands"), "candidate-docs")
-    spans = chosen.transform(lean).mapInArrow(_send_contexts(splitters, hot, n), BLOBS).repartition(n, "bucket").transform(lean).mapInArrow(_sort_buckets, SPANS)
-    return spans, chosen.select("doc_id", "text")
+def _sort_buckets(splitters: np.ndarray):
+    """Blobs of one bucket -> its spans (digest null) and its places to compare across boundaries."""
+    bounds = np.frombuffer(splitters.tobytes(), np.uint8).reshape(-1, LENGTH)
+
+    def run(batches):
+        held, bucket = {}, 0
+        for batch in batches:
+            for b, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                held.setdefault(kind, []).append(blob.as_py())
+                bucket = b
+        known = _records(held, 1, SPAN)
+        below = bounds[bucket - 1] if 0 < bucket <= len(bounds) else None
+        above = bounds[bucket] if bucket < len(bounds) else None
+        spans, (digests, doc, start) = repeats_in_bucket(_records(held, 0, CONTEXT), below, above)
+        for found in span_batches(_merge_spans(np.concatenate([spans, known]))):
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.binary())], ["doc", "start", "end", "digest"])
+        for at in range(0, len(doc), 100_000):
+            d, s = doc[at : at + 100_000], start[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(s + LENGTH), pa.array(digests[at : at + 100_000], pa.binary())], ["doc", "start", "end", "digest"])
+
+    return run
+
+
+def _splitters(chosen: DataFrame, total: int, n: int) -> np.ndarray:
+    """n - 1 suffixes that cut the candidates of ``chosen`` into ranges of like size, from a bounded sample."""
+    every = max(1, total // min(MOST_SAMPLED, PER_SPLITTER * n))
+    picked = F.filter("cands", lambda x: F.pmod(F.xxhash64("doc", x["pos"]), F.lit(every)) == 0)
+    some = chosen.select(F.encode("text", "UTF-8").alias("data"), picked.alias("cands")).filter(F.size("cands") > 0)
+    some = some.select("data", F.explode("cands").alias("x"))
+    # zero where no window of the anchor reaches, as in a context
+    head = F.substring(F.col("data"), F.col("x.pos") + 1, LENGTH - F.shiftright("x.reach", 8))
+    heads = np.sort(np.array([bytes(r.head) for r in some.select(head.alias("head")).collect()], f"S{LENGTH}"))
+    return heads[np.linspace(0, len(heads) - 1, n + 1).astype(int)[1:-1]] if len(heads) else heads
+
+
+def repeated_spans(rows: DataFrame, n_buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """For (doc, text), ``doc`` a key as of ``with_key``: spans (doc, start, end) of bytes that a repeated window covers
+    (they may overlap), and (doc, text) of at least all documents that have one. Each key is there once."""
+    n = n_buckets or bucket_count(text_bytes(rows))
+    with scratch(rows.sparkSession) as keep:
+        found = by_bucket(rows.mapInArrow(_find_anchors(n), BLOBS), n).mapInArrow(_pick_candidates, "doc long, pos int, reach int")
+        found = written(found, "candidates")
+        by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("pos", "reach")).alias("cands"))
+        chosen = keep(rows.join(by_doc.hint("merge"), "doc").select("doc", "text", "cands"), "candidate-docs")
+        splitters = _splitters(chosen, found.count(), n)
+        results = by_bucket(chosen.mapInArrow(_send_contexts(splitters, n), BLOBS), n).mapInArrow(_sort_buckets(splitters), f"{SPANS}, digest binary")
+        results = keep(results, "bucket-results")
+    # a digest is open once in a bucket, so its rows are as many as buckets that it may occur in
+    later = F.row_number().over(Window.partitionBy("digest").orderBy("doc", "start"))
+    across = results.filter("digest is not null").withColumn("nth", later).filter("nth > 1").select("doc", "start", "end")
+    return results.filter("digest is null").select("doc", "start", "end").unionByName(across), chosen.select("doc", "text")
 
 
 def union_of_spans(pairs) -> list[tuple[int, int]]:
@@ -450,7 +439,7 @@ def without_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def cut_out(texts: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, kept, spans) of the documents that have a span; the spans are merged.
+    """(doc, n_bytes, kept, spans) of the documents that have a span; the spans are merged.
 
     ``kept`` is binary, or with ``as_text`` a string without what a cut left of a character.
     """
@@ -471,50 +460,55 @@ def cut_out(texts: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFr
                 kept.append(without_spans(raw[offs[i] : offs[i + 1]], s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offs)), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_bytes", "kept", "spans"],
+                ["doc", "n_bytes", "kept", "spans"],
             )
 
     # by the hint the plan is the same at every size: texts move once, spans are never broadcast
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).hint("merge")
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "spans").transform(lean).mapInArrow(run, f"doc_id long, n_bytes long, kept {kind}, spans array<struct<start:long,end:long>>")
+    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")).hint("merge")
+    return texts.join(by_doc, "doc").select("doc", "text", "spans").mapInArrow(run, f"doc long, n_bytes long, kept {kind}, spans array<struct<start:long,end:long>>")
 
 
-def digests(docs: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each id of ``docs`` from its spans.
+def digests(rows: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of (doc_id, text, doc) from its document's spans.
 
     Texts without a span are digested where they are read; only the others move.
     """
-    whole = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("whole_sha256"))
-    cut = cut_out(texts, spans).select("doc_id", F.length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("spans"), F.sha2("kept", 256).alias("sha"))
-    cut = cut.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
-    both = whole.join(cut, whole["doc_id"].eqNullSafe(cut["doc_id"]), "left").drop(cut["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    whole = rows.select("doc_id", "doc", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("whole_sha256"))
+    cut = cut_out(texts, spans).select("doc", F.length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("spans"), F.sha2("kept", 256).alias("sha"))
+    both = whole.join(cut, "doc", "left")
     return both.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole_sha256").alias("kept_sha256")
     )
 
 
-def changed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kept, n_removed) of each document that loses bytes: its text without what repeated 100-byte strings cover.
-
-    A string is repeated if it also starts earlier: in a document with a smaller id or before in the same one; strings
-    are judged on the input. No shorter string is removed, and matches never cross documents. What a cut inside of a
-    character leaves of it goes too. A null text counts as empty, rows that repeat an id are one document (see
-    ``one_row_per_id``), a null id is the least. Other columns are not read.
-    """
-    spans, texts = repeated_spans(one_row_per_id(docs, id_col, text_col))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return cut_out(texts, spans, True).select(F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "kept", removed.alias("n_removed"))
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, doc) of every row and (doc, text) of every document; ``doc`` is its key (see ``with_key``)."""
+    rows, repeated = with_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), name="doc")
+    once = rows.select("doc", "text")
+    return rows, once.dropDuplicates(["doc"]) if repeated else once
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with shorter texts (see ``changed_texts``); a null text stays null."""
-    changed = changed_texts(docs, id_col, text_col).select(F.col("doc_id").alias("_changed_id"), F.col("kept").alias("_changed_text"))
-    both = docs.join(changed, docs[id_col].eqNullSafe(changed["_changed_id"]), "left")
-    return both.withColumn(text_col, F.coalesce("_changed_text", text_col)).drop("_changed_id", "_changed_text")
+    """All rows and columns of ``docs``, texts without what repeated 100-byte strings cover.
+
+    A string is repeated if it also starts earlier: in a document that comes before or before in the same one; strings
+    are judged on the input. No shorter string is removed, and matches never cross documents. What a cut inside of a
+    character leaves of it goes too. Documents come in order of id (a null id first). Rows that repeat an id with
+    another text are documents of their own, in order of their texts' digests; rows that agree in id and text are one
+    document and end up alike. A null text has no bytes and stays null, an empty text stays empty. A text of any length
+    is one row of a task and is worked on in one piece. An empty table gives an empty result. Other columns are kept as
+    they are, whatever their names, except ``_key``, ``_own_digest`` and ``_kept``.
+    """
+    rows, repeated = with_key(docs, id_col, text_col)
+    once = rows.select(F.col("_key").alias("doc"), F.col(text_col).alias("text"))
+    spans, texts = repeated_spans(once.dropDuplicates(["doc"]) if repeated else once)
+    changed = cut_out(texts, spans, True).select(F.col("doc").alias("_key"), F.col("kept").alias("_kept"))
+    both = rows.join(changed, "_key", "left")
+    return both.withColumn(text_col, F.coalesce("_kept", text_col)).select(docs.columns)
 
 
 def op2(spark, root):
     """Query op2_suffix_dedup: bytes, removed bytes and spans, and the digest of what is left, of each document."""
-    docs = one_row_per_id(spark.read.parquet(f"{root}/documents.parquet"))
-    spans, texts = repeated_spans(docs)
-    return digests(docs, spans, texts)
+    rows, once = keyed(spark.read.parquet(f"{root}/documents.parquet"))
+    return digests(rows, *repeated_spans(once))

@@ -47,7 +47,7 @@ def make_rows():
     return rows + [(60, rows[1][1]), (61, None), (62, ""), (63, "a" * 2000), (64, "short"), (65, "short"), (66, "x" + rows[3][1])]
 
 
-@pytest.mark.parametrize("cuts", [chunks.Cuts(), chunks.Cuts(8, 64, 1)])
+@pytest.mark.parametrize("cuts", [chunks.Cuts(), chunks.Cuts(8, 64), chunks.Cuts(16, 256, 100)])
 def test_matches_brute_force(spark, cuts):
     rows = make_rows()
     _, got = chunks.dedup(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int").repartition(4), cuts)
@@ -68,6 +68,25 @@ def test_an_insertion_moves_few_cuts():
 
 def test_empty_null_and_repeated_ids(spark):
     assert chunks.dedup(spark.createDataFrame([], "doc_id long, text string"))[1].count() == 0
-    text = "".join(random.Random(3).choices("abcdef ", k=600))
-    got = chunks.dedup(spark.createDataFrame([(None, text), (1, text), (1, text)], "doc_id long, text string"))[1].collect()
-    assert {r.doc_id: r.n_removed for r in got} == {None: 0, 1: 600}
+    text, other = ("".join(random.Random(k).choices("abcdef ", k=600)) for k in (3, 4))
+    rows = [(None, text), (1, text), (1, text), (2, text), (2, other), (3, None), (3, "")]
+    got = chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()
+    want = [(None, 600, 0), (1, 600, 600), (1, 600, 600), (2, 600, 600), (2, 600, 0), (3, 0, 0), (3, 0, 0)]
+    assert sorted(((r.doc_id or -1, r.n_bytes, r.n_removed) for r in got)) == sorted((i or -1, n, k) for i, n, k in want)
+
+
+def test_long_texts(spark):
+    """Over a megabyte: more than one chunk of rows; the shorter text starts inside of the longer one."""
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(200_000))
+    rows = [(0, long), (1, long[300_000:900_000]), (2, "other text " * 3)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+    assert got[0] == (len(long), 0) and got[1][0] == 600_000 and 599_000 < got[1][1] < 600_000
+
+
+def test_the_query(spark, tmp_path):
+    rows = make_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = chunks.op6(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == brute([(i, t or "") for i, t in rows], chunks.Cuts())

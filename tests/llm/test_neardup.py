@@ -65,6 +65,15 @@ def test_fingerprint_is_that_of_the_operator():
     assert len(neardup.sketch(b"", 5)[1]) == neardup.BANDS and isinstance(neardup.sketch(b"", 5)[2], np.ndarray)
 
 
+def test_repeated_ids_lose_no_text(spark):
+    long = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
+    rows = [(1, long[0], "a"), (2, long[0], "b"), (2, long[1], "c"), (2, long[1], "c"), (None, long[2], "d"), (None, long[3], "e"), (3, long[3], "f"), (4, None, "g"), (4, "", "g")]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, mark string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.mark) for r in kept) == sorted((i or 0, t or "", m) for i, t, m in [rows[0], rows[2], rows[4], rows[5], rows[7]])
+    kept = neardup.one_of_each(spark.createDataFrame(rows[:3], "doc_id long, text string, mark string")).collect()
+    assert sorted(r.mark for r in kept) == ["a", "c"]
+
+
 def test_empty(spark):
     assert neardup.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -88,7 +97,8 @@ def test_strangers_as_hubs_hide_no_pair(spark, monkeypatch):
             made = [neardup.sketch(t.as_py().encode(), 5) for t in batch.column(1)]
             bands = pa.array([[7] * neardup.BANDS for _ in made], pa.list_(pa.int64()))
             prints = pa.array([simhash._signed(f) for f, _, _ in made], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, bands, pa.array([s.tobytes() for _, _, s in made], pa.binary())], ["doc_id", "fp", "bands", "sketch"])
+            marks = pa.array([t.as_py().encode() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, bands, pa.array([s.tobytes() for _, _, s in made], pa.binary()), marks], ["doc_id", "fp", "bands", "sketch", "mark"])
 
     monkeypatch.setattr(neardup, "_sketches", lambda words: one_bucket)
     rng = random.Random(3)

@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from strandline.llm import suffix
-from strandline.llm._shared import one_row_per_id
 
 
 def brute(rows):
@@ -41,30 +40,93 @@ def rows_for_test():
     return rows
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "MOST_HOT", 10_000)
+def results(spark, rows, n_buckets=None):
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, n_bytes int, doc int").repartition(5)
+    keyed, once = suffix.keyed(docs)
+    return suffix.digests(keyed, *suffix.repeated_spans(once, n_buckets)).collect()
+
+
+@pytest.mark.parametrize("n_buckets", [None, 2, 60])
+def test_matches_brute_force(spark, n_buckets):
+    """With many buckets most runs of equal suffixes lie across boundaries."""
     rows = rows_for_test()
-    docs = one_row_per_id(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_bytes int").repartition(5))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(docs, *suffix.repeated_spans(docs)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in results(spark, rows, n_buckets)}
     assert got == brute(rows)
 
 
+def test_boundaries_hide_nothing():
+    """Contexts dealt over buckets by few splitters: local repeats and open places together give all repeats."""
+    rng = np.random.default_rng(7)
+    texts = ["".join("ab"[b] for b in rng.integers(0, 2, 30)) * 4 + "".join("ab"[b] for b in rng.integers(0, 2, 160)) for _ in range(3)]
+    texts = [texts[i % 3][i % 40 :] for i in range(60)]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    a, _, lo, hi = suffix.anchors(data, offs)
+    doc = np.searchsorted(offs, a, "right") - 1
+    c = np.zeros(len(a), suffix.CONTEXT)
+    c["doc"], c["pos"], c["lo"], c["hi"] = doc, a - offs[doc], lo, hi
+    padded = np.r_[np.zeros(60, np.uint8), data, np.zeros(100, np.uint8)]
+    for i, (at, low, high) in enumerate(zip(a, lo, hi)):
+        c["ctx"][i] = padded[at : at + 160]
+        c["ctx"][i][: 60 - high] = 0
+        c["ctx"][i][160 - low :] = 0
+    whole = suffix.repeats_in_bucket(c)[0]
+    for n in (1, 4, 30):
+        splitters = np.sort(rng.choice(suffix._heads(c), n))
+        bounds = np.frombuffer(splitters.tobytes(), np.uint8).reshape(-1, 100)
+        bucket = suffix._route(suffix._heads(c), splitters, rng.integers(0, 1 << 40, len(c)).astype(np.uint64))
+        spans, places = [], []
+        for b in range(n + 1):
+            found, (digests, docs, starts) = suffix.repeats_in_bucket(c[bucket == b], bounds[b - 1] if b else None, bounds[b] if b < n else None)
+            spans.append(found)
+            places += zip(digests, docs, starts)
+        first = {}
+        for d, i, s in sorted(places):
+            if d in first:
+                spans.append(suffix._spans_of(np.array([i]), np.array([s]), np.array([s + 100])))
+            first[d] = i
+        got = suffix._merge_spans(np.concatenate(spans))
+        assert got.tolist() == whole.tolist()
+
+
 def test_dedup_texts(spark):
     rows = rows_for_test()
     got = {r.doc_id: r.text for r in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == len(rows) and got[101] == "" and got[103] == "a" * 99 and got[106] is None
 
 
-def test_empty_repeated_and_null_ids(spark):
-    empty = one_row_per_id(spark.createDataFrame([], "doc_id long, text string"))
-    assert suffix.digests(empty, *suffix.repeated_spans(empty)).count() == 0
+def test_repeated_and_null_ids_lose_nothing(spark):
     rng = random.Random(1)
-    text = "".join(rng.choice("abcdef ") for _ in range(150))
-    docs = one_row_per_id(spark.createDataFrame([(None, text), (1, text), (1, text)], "doc_id long, text string"))
-    got = {r.doc_id: r.n_removed for r in suffix.digests(docs, *suffix.repeated_spans(docs)).collect()}
-    assert got == {None: 0, 1: 150}
+    text, other = ("".join(rng.choice("abcdef ") for _ in range(150)) for _ in range(2))
+    rows = [(None, text), (1, text), (1, text), (2, text), (2, other), (None, other + "!"), (3, None), (3, "")]
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in results(spark, rows)))
+    assert got == [(False, 0, 150, 0), (False, 0, 151, 0), (True, 1, 150, 150), (True, 1, 150, 150), (True, 2, 150, 150), (True, 2, 150, 150), (True, 3, 0, 0), (True, 3, 0, 0)]
+    kept = suffix.dedup(spark.createDataFrame([(1, text, 5), (2, text, 6), (2, other, 7), (2, other, 8)], "doc_id long, text string, doc int")).collect()
+    assert sorted(map(tuple, kept)) == [(1, text, 5), (2, "", 6), (2, other, 7), (2, other, 8)]
+    names = suffix.dedup(spark.createDataFrame([("a", text), ("b", text), ("b", other)], "doc_id string, text string")).collect()
+    assert sorted(map(tuple, names)) == [("a", text), ("b", ""), ("b", other)]
+
+
+def test_empty(spark):
+    assert results(spark, []) == []
+    assert suffix.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts over a megabyte against their own halves: more than one chunk of rows and several blobs of a task."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(30_000)]
+    long = " ".join(rng.choice(words) for _ in range(220_000))
+    rows = [(0, long), (1, long[: 900_000] + "!" * 50), (2, " ".join(rng.choice(words) for _ in range(200)))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in results(spark, rows)}
+    assert got == {0: (len(long), 0, 0), 1: (900_050, 900_000, 1), 2: (len(rows[2][1]), 0, 0)}
+
+
+def test_the_query(spark, tmp_path):
+    rows = rows_for_test()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = suffix.op2(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == brute(rows)
 
 
 def test_multikey_sort():
