@@ -3,14 +3,15 @@
 Each language is a distribution over hashed character trigrams (of lower-cased letters, with word ends), learned by
 counting over all labelled training documents. A document is a mixture: expectation-maximisation estimates the
 proportions of its trigrams that each language explains. Languages enter in the order of the full mixture's
-proportions, one at a time, and the set with the best penalised likelihood (a BIC-like price for each language beyond
-the first) is kept. The predicted language is the largest proportion of that set and the score is this proportion.
+proportions, one at a time, as long as the full mixture's likelihood leaves room for another one to pay, and the set
+with the best penalised likelihood (a BIC-like price for each language beyond the first) is kept. The predicted language is the largest proportion of that set and the score is this proportion.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,13 @@ from strandline.llm._shared import group_starts, row_chunks, utf8
 #: Hash buckets of the trigram distributions; a model is languages x BUCKETS numbers.
 BUCKETS = 1 << 14
 MIX = np.uint32(0x9E3779B1)
-LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@cache
+def _not_letters() -> re.Pattern:
+    """Runs of anything but letters (categories L*): what is no word character, and of those digits and other numbers."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{numbers}]+")
 
 
 @dataclass(frozen=True)
@@ -34,17 +40,18 @@ class Model:
 
 @dataclass(frozen=True)
 class Settings:
-    """``price`` times the log of a document's trigrams is the cost of another language; at most ``most`` languages."""
+    """``price`` times the log of a document's trigrams is the cost of another language; ``most`` bounds a set (None: all)."""
 
     rounds: int = 12
     price: float = 2.0
-    most: int = 3
+    most: int | None = None
     smoothing: float = 0.5
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(document number, bucket) of each byte trigram of each text's lower-cased letters."""
-    clean = [" ".join(["", *NOT_LETTERS.split((t or "").lower()), ""]).replace("  ", " ").encode() for t in texts]
+    split = _not_letters().split
+    clean = [" ".join(["", *split((t or "").lower()), ""]).replace("  ", " ").encode() for t in texts]
     clean = [c if len(c) > 2 else b"" for c in clean]
     data = np.frombuffer(b"".join(clean), np.uint8).astype(np.uint32)
     doc = np.repeat(np.arange(len(clean)), [len(c) for c in clean])
@@ -72,7 +79,11 @@ def _count(batches):
 
 
 def train(labelled: DataFrame, settings: Settings = Settings(), lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Count trigrams of all rows with a language; only the counts (languages x BUCKETS at most) reach the driver."""
+    """Count trigrams of all rows with a language; only the counts (languages x BUCKETS at most) reach the driver.
+
+    Null texts and rows with a null language count for nothing; repeated rows count each; an empty table gives a model
+    without languages.
+    """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counted.column("lang").to_pylist()))
@@ -118,25 +129,25 @@ def infer(model: Model, texts: list[str | None], settings: Settings = Settings()
     single = np.add.reduceat(scaled.astype(np.float32).T[bucket] * weight[:, None], starts, axis=0)
     value, final = single.max(1), np.eye(k, dtype=np.float32)[single.argmax(1)]
     share, likelihood = _mixture(prob, weight, starts, local, total, np.ones((n, k), np.float32), settings.rounds)
-    # no set can explain a text better than all languages together: where even that doesn't pay, one language stays
-    open_docs = np.flatnonzero(likelihood - settings.price * np.log(total) > value)
-    if k > 1 and len(open_docs):
-        number = np.full(n, -1)
-        number[open_docs] = np.arange(len(open_docs))
+    order = np.argsort(-share, axis=1, kind="stable")
+    most, here = likelihood, np.arange(n)  # documents that are still open, and their data
+    for size in range(2, min(k, settings.most or k) + 1):
+        # no set can explain a text better than all languages together: where even that doesn't pay, the set is closed
+        still = most - settings.price * (size - 1) * np.log(total) > value[here]
+        if not still.any():
+            break
+        number = np.full(len(here), -1)
+        number[still] = np.arange(still.sum())
         mine = number[local] >= 0
-        prob, weight, local, total = prob[mine], weight[mine], number[local[mine]], total[open_docs]
-        starts = np.flatnonzero(group_starts(local))
-        order = np.argsort(-share[open_docs], axis=1, kind="stable")
-        allowed = np.zeros((len(open_docs), k), np.float32)
-        rows = np.arange(len(open_docs))
-        allowed[rows, order[:, 0]] = 1
-        for size in range(2, min(k, settings.most) + 1):
-            allowed[rows, order[:, size - 1]] = 1
-            share, likelihood = _mixture(prob, weight, starts, local, total, allowed, settings.rounds)
-            priced = likelihood - settings.price * (size - 1) * np.log(total)
-            better = priced > value[open_docs]
-            value[open_docs] = np.where(better, priced, value[open_docs])
-            final[open_docs[better]] = share[better]
+        prob, weight, local, total = prob[mine], weight[mine], number[local[mine]], total[still]
+        starts, most, here = np.flatnonzero(group_starts(local)), most[still], here[still]
+        allowed = np.zeros((len(here), k), np.float32)
+        np.put_along_axis(allowed, order[here, :size], 1, 1)
+        share, likelihood = _mixture(prob, weight, starts, local, total, allowed, settings.rounds)
+        priced = likelihood - settings.price * (size - 1) * np.log(total)
+        better = priced > value[here]
+        value[here] = np.where(better, priced, value[here])
+        final[here[better]] = share[better]
     best[present], score[present] = final.argmax(1), final.max(1)
     return best, np.clip(score, 0, 1)
 
@@ -163,8 +174,10 @@ def _predict(model: Model, settings: Settings):
 def predict(docs: DataFrame, model: Model, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row: nothing but the text decides.
 
-    ``und`` with score 0 if a text is null, empty or has no letters, or if nothing was learned. Ties go to the language
-    first in the alphabet. Repeated rows are predicted each; an empty table gives an empty result.
+    ``und`` with score 0 if a text is null, empty or has no letters (Unicode categories L*), or if nothing was learned.
+    Ties go to the language first in the alphabet. Repeated rows and rows with a null id are predicted each; an empty
+    table gives an empty result. A text of any length is one mixture, worked on whole by one task. Other columns are not
+    read, so their names can't clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
