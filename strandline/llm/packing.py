@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import written
+from strandline.llm._shared import scratch, written
 
 CAPACITY, END_ID = 1024, 2
 #: Weight of the unused capacity in the fit, and the share of the fitted repeats that is taken.
@@ -306,20 +306,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places. Offsets are gapless from 0 in each sequence. An empty table gives an empty result; other columns are not
     read, so their names can't clash.
     """
-    rows = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    salts = int(min(MOST_SALTS, max(32, rows.count() // GROUP_ROWS)))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most capacity x salts rows
-    bases = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    histogram = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
-        histogram[r.length] = r.n
-    slots = slots_of(make_plan(histogram, capacity))
-    place = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("place", F.row_number().over(place) - 1).join(bases, ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).cast("long").alias("rank"))
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(_assign(slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    with scratch(pieces.sparkSession) as keep:
+        rows = keep(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+        salts = int(min(MOST_SALTS, max(32, rows.count() // GROUP_ROWS)))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+        counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most capacity x salts rows
+        bases = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
+        histogram = np.zeros(capacity + 1, np.int64)
+        for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+            histogram[r.length] = r.n
+        slots = slots_of(make_plan(histogram, capacity))
+        place = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+        ranked = salted.withColumn("place", F.row_number().over(place) - 1).join(bases, ["length", "salt"])
+        ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).cast("long").alias("rank"))
+        kind = pieces.schema["doc_id"].dataType.simpleString()
+        return ranked.mapInArrow(_assign(slots), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op8(spark, root):

@@ -18,6 +18,11 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 BLOCK_TURNS = 256
 
 
+def plain(text: Column) -> Column:
+    """``text`` without the renderer's marks: a blank after their first character makes them ordinary text."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def _block(turn: Column) -> Column:
     return F.coalesce(F.floor(turn / BLOCK_TURNS), F.lit(-(1 << 62)))
 
@@ -29,17 +34,19 @@ def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",)
     characters of the participant's rendering from 0. ``train_start`` = ``train_end`` = null where nothing is trained
     on. Messages are in order of turn (null first), speaker and text; a null role is the speaker ``unknown``, a null text
     is empty, a null conversation id is a conversation. Repeated rows are messages each. A conversation of system
-    messages alone has no participant and no rows; an empty table gives an empty result; other columns are not read.
+    messages alone has no participant and no rows; an empty table gives an empty result; other columns are not read, so
+    their names can't clash. A text of any length is one segment. Marks of the format inside of a text or a speaker's
+    name become ordinary text (see ``plain``), and line ends of a name become blanks, so no message can end itself.
     """
     messages = conversations.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("content")
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("speaker"), plain(F.coalesce(F.col(text_col), F.lit(""))).alias("content")
     )
     speakers = messages.filter(~F.col("speaker").isin(list(system_roles))).groupBy("conv_id", "speaker").agg(F.count("*").alias("_n"))
     speakers = written(speakers.select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")), "speakers")
     seen = messages.join(speakers, messages["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")
     mine, system = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(list(system_roles))
     role = F.when(mine, "assistant").when(system, "system").otherwise("user")
-    head = F.concat(F.lit(START), role, F.when(mine | system, F.lit("")).otherwise(F.concat(F.lit(" name="), F.col("speaker"))), F.lit("\n"))
+    head = F.concat(F.lit(START), role, F.when(mine | system, F.lit("")).otherwise(F.concat(F.lit(" name="), F.translate(plain(F.col("speaker")), "\r\n", "  "))), F.lit("\n"))
     seen = seen.select("conv_id", "perspective", "turn", "speaker", "content", role.alias("role"), head.alias("head"), F.concat(head, F.col("content"), F.lit(END)).alias("segment"), _block(F.col("turn")).alias("block"))
     seen = seen.withColumn("n", F.length("segment").cast("long"))
     order = Window.partitionBy("conv_id", "perspective", "block").orderBy("turn", "speaker", "content")
@@ -78,7 +85,8 @@ def op5(spark, root):
 
 SQL = """
 WITH messages AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
+         replace(coalesce(text, ''), '<|im_', '< |im_') AS content FROM conversations
 ), speakers AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM messages WHERE speaker <> 'system'
 ), seen AS (
@@ -86,7 +94,7 @@ WITH messages AS (
          CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
   FROM messages m JOIN speakers s ON m.conv_id IS NOT DISTINCT FROM s.conv_id
 ), shaped AS (
-  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM seen
+  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || translate(replace(speaker, '<|im_', '< |im_'), chr(13) || chr(10), '  ') ELSE '' END || chr(10) AS head FROM seen
 ), segments AS (
   SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM shaped
 ), placed AS (

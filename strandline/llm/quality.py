@@ -2,7 +2,7 @@
 
 References come from the corpus: for each language the histogram of character classes over all of its documents and
 its commonest words with their shares. A document is compared with every reference by Jensen-Shannon distance (base 2,
-square root, so 0 to 1) and judged by the nearest. A histogram of few draws is far from anything by chance, so each
+square root, so 0 to 1) and judged by the nearest one: by words, or by classes where it is too short for words. A histogram of few draws is far from anything by chance, so each
 comparison has a minimum length; below it the document passes that comparison.
 
 A language of few words gives a reference as well, but only for its own documents, and with more tolerance the fewer
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import row_chunks, utf8, written
+from strandline.llm._shared import row_chunks, scratch, utf8, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -53,6 +53,7 @@ class Rules:
     word_distance: float = 0.34
     word_noise: float = 1.2
     word_min_words: int = 80
+    most_languages: int = 2000
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -89,18 +90,15 @@ def class_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.bincount(row * N_CLASSES + CLASS[data], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
 
 
-def distances(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row of counts to its nearest reference (rows of shares); 0 for empty rows."""
+def distances(counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of counts to a reference (shares); 0 for empty rows."""
     total = counts.sum(1, keepdims=True)
     p = counts / np.maximum(total, 1)
-    best = np.full(len(p), 2.0)
-    for q in references:
-        m = (p + q) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
-            right = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
-        best = np.minimum(best, np.sqrt(np.maximum(0, (left + right) / 2)))
-    return np.where(total[:, 0] > 0, np.minimum(best, 1), 0)
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
+        right = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
+    return np.where(total[:, 0] > 0, np.minimum(np.sqrt(np.maximum(0, (left + right) / 2)), 1), 0)
 
 
 def _count(batches):
@@ -150,10 +148,19 @@ def references(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang",
 
     Every word is counted; each task adds up its own words before the shuffle. Only the commonest words of each
     language come to the driver. Without a language of enough words the whole corpus is the reference for all documents.
+    More than ``most_languages`` different values of ``lang`` raise: they are no languages, and each would be a reference.
+    Null texts and null languages count for nothing here but in the whole corpus; repeated rows count each.
     """
+    with scratch(docs.sparkSession):
+        return _references(docs, rules, lang_col, text_col)
+
+
+def _references(docs: DataFrame, rules: Rules, lang_col: str, text_col: str) -> References:
     counted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, word binary, cls int, n long")
     counts = written(counted.groupBy("lang", "word", "cls").agg(F.sum("n").alias("n")), "quality-counts")
     words = counts.filter("word is not null")
+    if words.select("lang").distinct().limit(rules.most_languages + 2).count() > rules.most_languages + 1:
+        raise ValueError(f"more than {rules.most_languages} languages in {lang_col}")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     hist: dict = {lang: np.zeros(N_CLASSES, np.int64) for lang in totals}
     for r in counts.filter("word is null").collect():
@@ -200,7 +207,7 @@ def distance_to_few(hist: np.ndarray, words: list[bytes], few: tuple, rules: Rul
     row[0] = found.total() - row.sum()
     # nothing at the bound, where the language gives a reference for all
     lack = max(0.0, 1 - (n_words / rules.reference_words) ** 0.5)
-    class_d, word_d = distances(hist[None, :], classes[None, :])[0], distances(row[None, :], shares[None, :])[0]
+    class_d, word_d = distances(hist[None, :], classes)[0], distances(row[None, :], shares)[0]
     return class_d, rules.class_noise * lack / max(1, n_chars) ** 0.5, word_d, rules.word_noise * lack / max(1, n_words) ** 0.5
 
 
@@ -234,17 +241,22 @@ def _judge(refs: References, rules: Rules):
                             for w in found.keys() & rank.keys():
                                 shares[k, i, rank[w]] = found[w]
                             shares[k, i, 0] = n - shares[k, i].sum()
-                word_d = np.min([distances(shares[k], refs.shares[k : k + 1]) for k in range(len(ranks))], axis=0)
                 hist[:, 0] = 0
                 chars = hist.sum(1) - hist[:, 1]
-                class_d = distances(hist, refs.classes)
+                word_d = np.array([distances(shares[k], refs.shares[k]) for k in range(len(ranks))])
+                class_d = np.array([distances(hist, refs.classes[k]) for k in range(len(ranks))])
+                nearest = np.where(base[:, 0] >= rules.word_min_words, word_d.argmin(0), class_d.argmin(0))
+                word_d, class_d = word_d[nearest, np.arange(b - a)], class_d[nearest, np.arange(b - a)]
                 failed = (base[:, 0] < 50) | (100 * base[:, 2] > 50 * base[:, 0])
                 class_most = rules.class_distance + rules.class_noise / np.sqrt(np.maximum(chars, 1))
                 word_most = rules.word_distance + rules.word_noise / np.sqrt(np.maximum(base[:, 0], 1))
-                class_good = (class_d <= class_most) | (own[:, 0] <= class_most + own[:, 1])
-                word_good = (word_d <= word_most) | (own[:, 2] <= word_most + own[:, 3])
-                class_d, word_d = np.minimum(class_d, own[:, 0]), np.minimum(word_d, own[:, 2])
-                good = ~failed & ((chars < rules.class_min_chars) | class_good) & ((base[:, 0] < rules.word_min_words) | word_good)
+                short = chars < rules.class_min_chars, base[:, 0] < rules.word_min_words
+                like = (short[0] | (class_d <= class_most)) & (short[1] | (word_d <= word_most))
+                like_own = (short[0] | (own[:, 0] <= class_most + own[:, 1])) & (short[1] | (own[:, 2] <= word_most + own[:, 3]))
+                # both distances are those of one reference: its own where only that takes the document, else the nearest
+                by_own = np.isfinite(own[:, 0]) & (like_own & ~like | ~like & (own[:, 2] < word_d))
+                class_d, word_d = np.where(by_own, own[:, 0], class_d), np.where(by_own, own[:, 2], word_d)
+                good = ~failed & (like | like_own & np.isfinite(own[:, 0]))
                 parts.append((base[:, 0], chars, hist[:, 6], base[:, 1], base[:, 2], failed, good, class_d, word_d))
             columns = [pa.array(np.concatenate(c)) for c in zip(*parts)] if parts else None
             if columns:
@@ -256,8 +268,10 @@ def _judge(refs: References, rules: Rules):
 def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = None, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, base counts, base_failed, kept and the two distances.
 
-    A null text has no words and fails; repeated rows are judged each; a null language is not learned from but judged
-    like any other. An empty table gives an empty result; other columns are not read.
+    A null or empty text has no words and fails; repeated rows and rows with a null id are judged each; a null language
+    is not learned from but judged like any other. Of equally near references the first in the alphabet counts. A text of
+    any length is judged whole by one task. An empty table gives an empty result; other columns are not read, so their
+    names can't clash.
     """
     refs = refs or references(docs, rules, lang_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -266,7 +280,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all of their columns, that the rules keep; nothing is shuffled but word counts."""
+    """The rows of ``docs``, with all of their columns, that the rules keep; nothing is shuffled but word counts.
+
+    Null, empty and repeated rows, long texts and names of other columns are as in ``judge``; an empty table stays empty.
+    """
     run = _judge(references(docs, rules, lang_col, text_col), rules)
     at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 

@@ -4,14 +4,21 @@ Old shard sizes are supplies, new capacities are demands, and a byte costs one u
 flow says how many bytes go from each old shard to each new one. Every old shard is a line of blocks; its line is cut
 at the flow's amounts, whole blocks between two cuts move as they are and only blocks that a cut meets are split
 between documents. The driver sees shard sizes only; block offsets and ranks are windows over bounded groups.
+
+A *shard set* is a folder of files for each shard, whose rows carry a number of their own (``_row``). Rewriting a set
+writes new folders for the shards that lose or gain rows and leaves all other folders, and the old set, untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from strandline.llm._shared import written
+from strandline.llm._shared import fresh_path, scratch, written
 
 #: Rows that a block is meant to hold, and the most blocks that a shard is cut into (so block tables stay bounded; 256
 #: at least).
@@ -57,83 +64,124 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 
 
 def moves(sizes: dict[int, int], capacities: list[int]) -> dict[int, list[tuple[int, int]]]:
-    """Old shard -> [(new shard, bytes)], what stays first; fewest bytes change shards."""
-    old = sorted(sizes)
-    flow = min_cost_flow([sizes[i] for i in old], capacities, [[int(i != j) for j in range(len(capacities))] for i in old])
-    return {i: sorted(((j, f) for j, f in enumerate(row) if f), key=lambda x: (x[0] != i, x[0])) for i, row in zip(old, flow)}
-
+    """Old shard -> [(new shard, bytes)], what stays first; fewest bytes change shards.
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot) for every row of ``docs``.
-
-    ``old_shard`` is where a row is now (integers from 0; null counts as 0). ``capacities`` are bytes per new shard and
-    must add up to the total (by default equal). A size is the UTF-8 bytes of the text (null: none) plus one. A cut
-    falls between documents, so a shard misses its capacity by less than a document for each old shard that it takes
-    from. Slots number each shard's rows from 0. Repeated rows are rows each; empty input gives an empty result.
+    Where staying is free and every other way costs the same, a flow is cheapest exactly if each shard keeps as many
+    bytes as it may; what is over goes to whoever has room, in order of shards. (``min_cost_flow`` finds the same cost.)
     """
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard")
-        ),
-        "reshard-rows",
-    )
-    by_shard = {r.old_shard: (r.size, r.n) for r in rows.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    total = sum(size for size, _ in by_shard.values())
-    plan = moves({i: size for i, (size, _) in by_shard.items()}, capacities or equal_capacities(total, shards))
-    n_blocks = int(min(MOST_BLOCKS, max(256, max([n for _, n in by_shard.values()], default=0) // BLOCK_ROWS)))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_blocks)).cast("int"))
-    line = Window.partitionBy("old_shard").orderBy("block")
-    blocks = placed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).select("old_shard", "block", (F.sum("bytes").over(line) - F.col("bytes")).alias("start"))
-    cuts = []
-    for i, parts in plan.items():
-        at = 0
-        for j, amount in parts:
-            cuts.append((i, at, at + amount, j))
-            at += amount
-    spark = docs.sparkSession
-    cut_rows = spark.createDataFrame(cuts, "old_shard int, lo long, hi long, shard int").groupBy("old_shard").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("cuts"))
-    inside = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
-    # both small tables are bounded: shards x MOST_BLOCKS rows and shards x shards rows
-    spread = placed.join(F.broadcast(blocks), ["old_shard", "block"]).join(F.broadcast(cut_rows), "old_shard")
-    spread = spread.withColumn("pos", F.col("start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    spread = spread.withColumn("shard", F.filter("cuts", lambda c: (c["lo"] <= F.col("pos")) & (F.col("pos") < c["hi"]))[0]["shard"])
-    ranked = written(
-        spread.withColumn("rank", F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("doc_id", "text_crc32", "size")) - 1).select(
-            "doc_id", "size", "text_crc32", "old_shard", "block", "shard", "rank"
-        ),
-        "reshard-ranked",
-    )
-    order = Window.partitionBy("shard").orderBy("old_shard", "block")
-    bases = ranked.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n")).select("shard", "old_shard", "block", (F.sum("n").over(order) - F.col("n")).alias("base"))
-    done = ranked.join(F.broadcast(bases), ["shard", "old_shard", "block"])  # at most blocks + cuts rows
-    return done.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot"))
-
-
-def rewrite(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Rewrite the files of affected shards only (those that lose or gain rows) under ``path``/shard=N; their numbers.
-
-    Rows of one id (null is an id) are told apart by size and CRC-32 of their text; of those that agree in all three any
-    takes any of their places. Each row of ``docs`` is written once if ``assigned`` has a place for it.
+    plan: dict[int, list[tuple[int, int]]] = {}
+    room, over = list(capacities), []
+    for i in sorted(sizes):
+        stays = min(sizes[i], room[i]) if 0 <= i < len(room) else 0
+        plan[i] = [(i, stays)] if stays else []
+        if stays:
+            room[i] -= stays
+        over.append((i, sizes[i] - stays))
+    j = 0
+    for i, amount in over:
+        while amount:
+            while not room[j]:
+                j += 1
+            part = min(amount, room[j])
+            plan[i].append((j, part))
+            amount, room[j] = amount - part, room[j] - part
+    return plan
+
+
+def write_shards(docs: DataFrame, shard: Column, path: str) -> dict[int, str]:
+    """Write ``docs`` as a shard set under ``path``: shard (an integer from 0; null counts as 0) -> folder."""
+    numbered = docs.withColumns({"_shard": F.coalesce(shard.cast("int"), F.lit(0)), "_row": F.monotonically_increasing_id()})
+    numbered.write.partitionBy("_shard").option("compression", "zstd").parquet(path)
+    return _folders(docs.sparkSession, path)
+
+
+def _folders(spark: SparkSession, path: str) -> dict[int, str]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    names = [f.getPath().getName() for f in found]
+    return {int(n.removeprefix("_shard=")): f"{path}/{n}" for n in names if n.startswith("_shard=")}
+
+
+def read_shards(spark: SparkSession, folders: dict[int, str], like: DataFrame) -> DataFrame:
+    """All rows of a shard set with ``_row`` and ``_shard``; ``like`` has the columns (of another set or of its table)."""
+    schema = StructType([StructField(f.name, f.dataType) for f in like.schema.fields if f.name not in ("_row", "_shard")]).add("_row", LongType())
+    parts = [spark.read.schema(schema).parquet(folder).withColumn("_shard", F.lit(i)) for i, folder in sorted(folders.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema.add("_shard", IntegerType()))
+
+
+def reshard(rows: DataFrame, shards: int, capacities: list[int] | None = None, text_col: str = "text") -> DataFrame:
+    """(_row, size, text_crc32, old_shard, shard, slot) for every row of a shard set (``_row``, ``_shard`` and the text).
+
+    ``capacities`` are bytes per new shard and must add up to the total (by default equal). A size is the UTF-8 bytes of
+    the text (null: none) plus one; texts of any length are sized where they are read. A cut falls between documents, so
+    a shard misses its capacity by less than a document for each old shard that it takes from. Slots number each shard's
+    rows from 0, in no order that means anything. Repeated rows are rows each; empty input gives an empty result. No
+    other column is read, so names can't clash.
     """
+    with scratch(rows.sparkSession) as keep:
+        text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+        light = written(
+            rows.select("_row", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col("_shard").alias("old_shard")),
+            "reshard-rows",
+        )
+        by_shard = {r.old_shard: (r.size, r.n) for r in light.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+        total = sum(size for size, _ in by_shard.values())
+        plan = moves({i: size for i, (size, _) in by_shard.items()}, capacities or equal_capacities(total, shards))
+        n_blocks = int(min(MOST_BLOCKS, max(256, max([n for _, n in by_shard.values()], default=0) // BLOCK_ROWS)))
+        placed = light.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).cast("int"))
+        line = Window.partitionBy("old_shard").orderBy("block")
+        blocks = placed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).select("old_shard", "block", (F.sum("bytes").over(line) - F.col("bytes")).alias("start"))
+        cuts = []
+        for i, parts in plan.items():
+            at = 0
+            for j, amount in parts:
+                cuts.append((i, at, at + amount, j))
+                at += amount
+        cut_rows = rows.sparkSession.createDataFrame(cuts, "old_shard int, lo long, hi long, shard int")
+        # a block with the cuts that it meets: two tables of shards x MOST_BLOCKS and of old + new shards rows at most
+        ends = blocks.withColumn("end", F.coalesce(F.lead("start").over(line), F.lit((1 << 63) - 1)))
+        meets = ends.join(cut_rows, ["old_shard"]).filter("lo < end and hi > start")
+        blocks = meets.groupBy("old_shard", "block", "start").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("cuts"))
+        inside = Window.partitionBy("old_shard", "block").orderBy("_row")
+        spread = placed.join(blocks, ["old_shard", "block"])
+        spread = spread.withColumn("pos", F.col("start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        spread = spread.withColumn("shard", F.filter("cuts", lambda c: (c["lo"] <= F.col("pos")) & (F.col("pos") < c["hi"]))[0]["shard"])
+        rank = F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("_row")) - 1
+        ranked = written(spread.select("_row", "size", "text_crc32", "old_shard", "block", "shard", rank.alias("rank")), "reshard-ranked")
+        order = Window.partitionBy("shard").orderBy("old_shard", "block")
+        bases = ranked.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n")).select("shard", "old_shard", "block", (F.sum("n").over(order) - F.col("n")).alias("base"))
+        done = ranked.join(bases, ["shard", "old_shard", "block"])
+        return keep(done.select("_row", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot")), "assigned")
+
+
+def rewrite(spark: SparkSession, folders: dict[int, str], like: DataFrame, assigned: DataFrame, path: str) -> dict[int, str]:
+    """The shard set after ``assigned`` (see ``reshard``): shards that lose or gain rows are written anew under ``path``,
+    the folders of all others stay what they are. Nothing is overwritten or deleted; an emptied shard has no folder."""
     moved = assigned.filter("old_shard <> shard")
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()})
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    rows = docs.withColumns({"_size": (F.length(text) + 1).cast("long"), "_crc": F.crc32(text)})
-    places = assigned.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_size", "_crc").orderBy(F.xxhash64(*plain))))
-    places = places.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy("shard", "slot"))).filter(F.col("shard").isin(touched))
-    same = rows[id_col].eqNullSafe(places["_id"])
-    for c in ("_size", "_crc", "_nth"):
-        same &= rows[c] == places[c]
-    found = rows.join(places, same)
-    found.select(*(rows[c] for c in docs.columns), "shard", "slot").write.partitionBy("shard").option("compression", "zstd").mode("overwrite").parquet(path)
-    return touched
+    # at most all shards
+    touched = {r.s for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()}
+    if not touched:
+        return dict(folders)
+    old = read_shards(spark, {i: f for i, f in folders.items() if i in touched}, like)
+    places = assigned.filter(F.col("shard").isin(sorted(touched))).select("_row", "shard")
+    found = old.drop("_shard").join(places.hint("merge"), "_row").withColumnRenamed("shard", "_shard")
+    found.write.partitionBy("_shard").option("compression", "zstd").parquet(path)
+    return {i: f for i, f in folders.items() if i not in touched} | _folders(spark, path)
+
+
+def describe(folders: dict[int, str]) -> str:
+    """A shard set as one JSON line, to be put in the place of the old one's once all is written."""
+    return json.dumps({str(i): f for i, f in sorted(folders.items())})
 
 
 def op9(spark, root):
-    """Query op9_reshard: from 16 shards by source to 16 shards of equal bytes."""
-    docs = spark.read.parquet(f"{root}/documents.parquet")
-    found = reshard(docs, F.pmod(F.xxhash64("source"), F.lit(16)), 16)
-    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Query op9_reshard: from 16 shards by source to 16 shards of equal bytes, read back from the rewritten files."""
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "source")
+    old = write_shards(docs, F.pmod(F.xxhash64("source"), F.lit(16)), fresh_path(spark, "shards"))
+    assigned = reshard(read_shards(spark, old, docs), 16)
+    new = read_shards(spark, rewrite(spark, old, docs, assigned, fresh_path(spark, "shards")), docs)
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    stored = new.select("_row", "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col("_shard").alias("shard"))
+    slots = assigned.select("_row", F.col("shard").alias("_due"), "slot")
+    shard = F.when(F.col("shard") == F.col("_due"), F.col("shard")).otherwise(F.raise_error(F.lit("a row is in a shard that it was not assigned to")).cast("int"))
+    return stored.join(slots, "_row").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

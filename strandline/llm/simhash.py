@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import utf8, written
+from strandline.llm._shared import scratch, utf8, written
 from strandline.llm.graph import connected_components
 
 BITS = 64
@@ -149,17 +149,19 @@ def components(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "
 
     component_id is the least doc_id reachable over links of at most ``radius`` differing bits. Documents without words
     share fingerprint zero and are linked like any other. Rows repeated with one doc_id are rows of the result each; a
-    null doc_id counts as larger than any other when the least is taken. An empty table gives an empty result; other
-    columns are not read.
+    null doc_id counts as larger than any other when the least is taken. Null and empty texts have no words. A text of any
+    length is hashed whole by one task. An empty table gives an empty result; other columns are not read, so their names
+    can't clash.
     """
-    prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(prints.select("fp").distinct(), radius))
-    labels = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    labels = written(labels, "labels")
-    roots = labels.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = written(labels.join(roots, "c").select("fp", "component_id"), "named")
-    return prints.join(named, "fp")
+    with scratch(docs.sparkSession) as keep:
+        prints = keep(fingerprints(docs, width, id_col, text_col), "fingerprints")
+        nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        found = connected_components(links(prints.select("fp").distinct(), radius))
+        labels = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+        labels = written(labels, "labels")
+        roots = labels.groupBy("c").agg(F.min("least").alias("component_id"))
+        named = keep(labels.join(roots, "c").select("fp", "component_id"), "named")
+        return prints.join(named, "fp")
 
 
 def op10(spark, root):

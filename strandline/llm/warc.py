@@ -8,11 +8,13 @@ read is checked against its address.
 
 from __future__ import annotations
 
+import gzip
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import fresh_path, written
+from strandline.llm._shared import fresh_path, scratch, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = b"\r\n\r\n"
@@ -79,8 +81,10 @@ def page_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
 
     Of equal payloads of at least ``min_bytes`` bytes the page with the least id is the response and the others are
     revisits that refer to it; smaller payloads are responses all. Rows that repeat both id and payload are the same
-    record written twice. A null id never is the least unless there is no other. A null url is written as empty.
-    Payload bytes are not shuffled.
+    record written twice, so responses both. A null id is never the least; where no other has the payload, all of its
+    records are responses. A null url is written as empty, an empty html is a payload of no bytes. A payload of any
+    length is one value of a row. An empty table gives an empty result; other columns are not read, so their names can't
+    clash. Payload bytes are not shuffled.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     index = written(
@@ -119,33 +123,47 @@ def page_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
 
 def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write one WARC record per page into the archive at ``path``."""
-    page_records(pages, min_bytes).drop("page_id").write.option("compression", "zstd").parquet(f"{path}/headers")
+    with scratch(pages.sparkSession):
+        page_records(pages, min_bytes).drop("page_id").write.option("compression", "zstd").parquet(f"{path}/headers")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     save_payloads(pages.select(F.sha2(payload, 256).alias("address"), payload.alias("payload")), path)
 
 
-def field(name: str, pattern: str = r"[^\r\n]*") -> Column:
-    """A named field out of the exact header bytes, null if absent."""
-    found = F.regexp_extract(F.decode("header", "UTF-8"), rf"(?:^|\r\n){name}: ({pattern})\r\n", 1)
-    return F.when(found != "", found)
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """What an archive of pages says of each record: everything comes from header and payload bytes."""
-    facts = payloads(spark, path).select("address", F.length("payload").cast("long").alias("payload_bytes"), payload_digest(F.col("payload")).alias("payload_digest"))
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
-    ident, refers = number(field("WARC-Record-ID")), number(F.coalesce(field("WARC-Refers-To"), F.lit("")))
-    rows = headers(spark, path).select(
-        "address",
-        F.when(ident != "", ident).cast("long").alias("page_id"),
+    """What an archive of pages says of each record: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    Every record is rebuilt by the join of header and payload and everything is parsed out of its bytes; the payload of a
+    revisit is that under its address. Lengths and digests of header and payload must agree, or it raises. An id that is
+    no integer is null.
+    """
+    # one character for each byte, so that places in the text are places in the record
+    found = rebuild(spark, path).select("record", "payload", F.decode("record", "ISO-8859-1").alias("text"))
+    found = found.withColumn("head", F.expr(r"locate('\r\n\r\n', text)")).withColumn("body", F.expr(r"locate('\r\n\r\n', text, head + 4) + 4"))
+    found = found.withColumn("warc", F.substring("text", F.lit(1), F.col("head") + 1)).drop("text")
+
+    def field(name: str) -> Column:
+        value = F.regexp_extract("warc", rf"(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
+        return F.when(value != "", value)
+
+    def number(of: Column) -> Column:
+        digits = F.regexp_extract(F.coalesce(of, F.lit("")), r"^<urn:page:(-?\d{1,19})>$", 1)
+        return F.when(digits != "", digits).cast("long")
+
+    block = field("Content-Length").cast("int")
+    end = F.col("head") + 4 + block
+    stored = F.substring("record", F.col("body"), end - F.col("body"))
+    parsed = found.select(
+        number(field("WARC-Record-ID")).alias("page_id"),
         field("WARC-Type").alias("record_type"),
-        F.when(refers != "", refers).cast("long").alias("refers_to"),
+        number(field("WARC-Refers-To")).alias("refers_to"),
         field("WARC-Payload-Digest").alias("said"),
+        (F.length("record") == end + 3).alias("whole"),
+        F.when(field("WARC-Type") == "revisit", F.col("payload")).otherwise(stored).alias("payload"),
     )
-    good = F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("said")
-    return rows.join(facts, "address").select(
-        "page_id", "payload_bytes", F.when(good, F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload digests differ"))).alias("payload_digest"), "record_type", "refers_to"
-    )
+    facts = parsed.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", payload_digest(F.col("payload")))
+    good = F.col("whole") & (F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("said"))
+    digest = F.when(good, F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload differ")))
+    return facts.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def parse_records(data: bytes):
@@ -162,12 +180,16 @@ def parse_records(data: bytes):
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload, has_body) of all records of uncompressed WARC files; one task reads whole files."""
+    """(header, payload, has_body) of all records of WARC files, plain or gzipped (one member or one for each record).
+
+    One task reads a whole file, so files have to be of the usual size (about a gigabyte, 2 GB at most).
+    """
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                found = list(parse_records(data.as_py()))
+                data = data.as_py()
+                found = list(parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([h for h, _ in found], pa.binary()), pa.array([p for _, p in found], pa.binary()), pa.array([bool(p) for _, p in found])],
                     ["header", "payload", "has_body"],

@@ -37,7 +37,7 @@ def damaged(rng, text, edits):
     return "".join(chars)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
+@pytest.mark.parametrize("block", [4 << 20, 400])
 def test_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(dec, "BLOCK_BYTES", block)
     rng = random.Random(10)
@@ -52,13 +52,39 @@ def test_matches_brute_force(spark, monkeypatch, block):
     for i, t, _ in docs:
         for j, x in items:
             a, b = dec.normal(x), dec.normal(t)
-            if a and (d := edit_search(a, b)) <= len(a) // 25:
+            if a and (d := edit_search(a, b)) <= (len(a) - 2) // 25:
                 want.add((i, j, d))
     got = dec.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {tuple(r) for r in got} == want
     assert sum(r.doc_id == 3 for r in got) == 2 * len({w for w in want if w[0] == 3})
 
 
+def test_short_items_match_whole_words_only(spark):
+    docs = spark.createDataFrame([(1, "The inside of the cabin 1220 22 2"), (2, "He went in. Then 2+2 made four"), (3, "IN")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "In"), (2, "2+2"), (3, "a cabin"), (4, "22")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in dec.find_leaks(docs, items).collect()) == [(1, 4, 0), (2, 1, 0), (2, 2, 0), (3, 1, 0)]
+    assert sorted((r.doc_id, r.item_id) for r in dec.find_leaks(docs, items, least_bytes=5).collect()) == [(2, 2)]
+    assert dec.keep_clean(docs, items).count() == 3 and {r.doc_id for r in dec.keep_clean(docs, items, least_bytes=0).collect()} == set()
+
+
+@pytest.mark.parametrize("block", [4 << 20, 100])
+def test_keep_clean_keeps_all_others(spark, monkeypatch, block):
+    monkeypatch.setattr(dec, "BLOCK_BYTES", block)
+    items = [(i, f"benchmark item number {i} with some {'long ' * i}text of its own") for i in range(6)]
+    rows = [(i, f"before {items[i % 6][1].upper()} after" if i % 3 == 0 else f"plain text {i}", "x") for i in range(30)] + [(None, None, "y"), (None, "", "y"), (40, "a " * 400_000 + items[2][1], "z"), (1, "plain text 1", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item string").repartition(3)
+    got = dec.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [r for i, r in enumerate(rows) if i >= 30 and r[0] != 40 or i < 30 and i % 3]
+    key = lambda r: (r[0] or -1, r[1] is None, r[1] or "", r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_the_query(spark, tmp_path):
+    spark.createDataFrame([(1, "so ask: what is the name of the river?"), (2, "nothing")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "What is the name of the rivers")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in dec.op7(spark, str(tmp_path)).select("doc_id", "item_id", "distance").collect()] == [(1, 7, 1)]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dec.find_leaks(docs, items).count() == 0

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 
@@ -10,6 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from strandline.llm import decontaminate as dec
 from strandline.llm import packing, quality
+from strandline.llm._shared import shared_dir, written
 
 WORDS = ["river", "stone", "cloud", "été", "walk", "under", "seven", "light", "green", "house", "tree", "north", "paper", "glass"]
 
@@ -62,7 +64,7 @@ def brute(rows, items):
         mine = Counter(quality.plain_words(t.encode()))
         seen = np.array([0] + [mine[w] for w in top] + [0] * (quality.Rules.common_words - len(top)))
         seen[0] = mine.total() - seen.sum()
-        cd, wd = quality.distances(hist[None], (classes / classes.sum())[None])[0], quality.distances(seen[None], shares[None])[0]
+        cd, wd = quality.distances(hist[None], classes / classes.sum())[0], quality.distances(seen[None], shares)[0]
         if (chars < rules.class_min_chars or cd <= rules.class_distance + rules.class_noise / chars**0.5) and (len(words) < rules.word_min_words or wd <= rules.word_distance + rules.word_noise / len(words) ** 0.5):
             kept.append(row)
     # near-duplicates: all pairs
@@ -105,12 +107,12 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "t")
+        docs = written(stage(spark, docs, str(tmp_path)), "t")
         assert docs.columns == columns
     assert sorted((r.doc_id, r.text) for r in docs.collect()) == want
     assert all(r.n_chars == len(r.text) for r in docs.collect())
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    encode = packing.tokenizer(*packing.default_vocabulary()).encode
+    encode = packing.tokenizer(*packing.default_vocabulary(), packing.default_added()).encode
     lengths = defaultdict(int)
     for r in got:
         lengths[r.doc_id] += r.length
@@ -121,6 +123,47 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert max(used.values()) <= 1024 and len(used) <= -(-sum(used.values()) // 1024) + 1
 
 
+def stages(spark, folder):
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(folder)), "t")
+    return docs
+
+
+def test_edges(spark, tmp_path):
+    """Repeated rows and ids, a null id, ties, a very long text and columns whose names operators use themselves."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing", "ed", "al", "ly"]) + rng.choice(["", "", "a", "er", "on"]) for _ in range(n))
+    long, texts = text(150_000), [text(120) for _ in range(6)]
+    rows = [(i, t, "en", "s", 0, i, "x") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 0, 8, "x"), (2, text(130), "en", "s", 0, 9, "x"), (None, text(140), "en", "s", 0, 10, "x"), (20, texts[3], None, None, None, 11, "x"), (21, long, "en", "s", 0, 12, "x"), (22, None, None, None, None, 13, None), (23, "", None, None, None, 14, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, doc int, bucket string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = stages(spark, tmp_path)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "bucket"]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text[:300]) for r in left.collect())
+    want = sorted((i is not None, i or 0, t[:300]) for i, t, *_ in rows[:6] + [rows[7], rows[8], rows[10]])
+    assert got == want
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.filter("doc_id = 21").count() > 100 and packed.select("doc_id").distinct().count() == 8
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_only_the_result_is_left_behind(spark, tmp_path):
+    rows, items = make_rows()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = Path(shared_dir(spark)) / "strandline"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    made = set(folder.iterdir()) - before
+    assert len(made) == 1 and found.count() > 0
+
+
 def test_every_query_of_the_subpackage_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import duckdb
@@ -36,9 +37,11 @@ def test_records_come_back_byte_for_byte(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
     warc.archive_pages(pages, str(tmp_path / "a"))
     original = [bytes(r.record) for r in warc.rebuild(spark, str(tmp_path / "a")).collect()]
-    (tmp_path / "x.warc").write_bytes(b"".join(original))
-    warc.save(warc.read_warc_files(spark, str(tmp_path / "x.warc")), str(tmp_path / "b"))
-    assert sorted(bytes(r.record) for r in warc.rebuild(spark, str(tmp_path / "b")).collect()) == sorted(original)
+    forms = {"x.warc": b"".join(original), "y.warc.gz": b"".join(map(gzip.compress, original)), "z.warc.gz": gzip.compress(b"".join(original))}
+    for name, data in forms.items():
+        (tmp_path / name).write_bytes(data)
+        warc.save(warc.read_warc_files(spark, str(tmp_path / name)), str(tmp_path / f"{name}-saved"))
+        assert sorted(bytes(r.record) for r in warc.rebuild(spark, str(tmp_path / f"{name}-saved")).collect()) == sorted(original)
 
 
 def test_damage_is_seen(spark, tmp_path):
@@ -47,6 +50,24 @@ def test_damage_is_seen(spark, tmp_path):
         warc.payloads(spark, str(tmp_path)).collect()
 
 
+def test_a_header_of_another_payload_is_seen(spark, tmp_path):
+    warc.archive_pages(spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string"), str(tmp_path / "a"))
+    rows = spark.read.parquet(str(tmp_path / "a" / "headers")).collect()
+    swapped = [(rows[0].address, True, rows[1].header), (rows[1].address, True, rows[0].header)]
+    spark.createDataFrame(swapped, "address string, has_body boolean, header binary").write.parquet(str(tmp_path / "b" / "headers"))
+    (tmp_path / "a" / "payloads").rename(tmp_path / "b" / "payloads")
+    with pytest.raises(Exception, match="header and payload differ"):
+        warc.read_pages(spark, str(tmp_path / "b")).collect()
+
+
+def test_the_query(spark, tmp_path):
+    rows = [*ROWS, (8, "long", "<p>" + "é" * 700_000), (9, "nul", "a\x00b\r\n\r\nc")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    found = warc.op1(spark, str(tmp_path))
+    assert found.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, found.collect())) == sorted(want(rows, 0), key=lambda r: r[0])
+
+
 def test_empty_and_repeated(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     warc.archive_pages(empty, str(tmp_path / "e"))
