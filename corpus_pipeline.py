@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, neardup, packing, quality, suffix
-from strandline.llm._shared import written
+from strandline.llm._shared import scratch
 
 #: No SQL expresses best-fit packing or quality references; tests compare with brute force instead.
 ORACLE_SQL = None
@@ -49,8 +49,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages from ``documents`` on."""
+    """All stages from ``documents`` on; what a stage has written on its way is deleted once its result is written.
+
+    Every stage says what it does with nulls, empty and very long texts, repeated rows, ties and empty tables. In short:
+    a null or empty text fails the quality rules; rows that agree in id and text are one document, of which one row
+    stays; rows of one id with different texts are documents of their own; an empty table gives an empty result, and so
+    does one of which no document is kept. Columns beyond those of ``documents`` reach the fourth stage unchanged.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with scratch(spark) as keep_last:
+        for name, stage in STAGES:
+            with scratch(spark) as keep:
+                docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        return keep_last(docs, "pipeline")
