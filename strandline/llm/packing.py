@@ -24,8 +24,6 @@ from strandline.llm._shared import scratch, written
 CAPACITY, END_ID = 1024, 2
 #: Weight of the unused capacity in the fit, and the share of the fitted repeats that is taken.
 UNUSED_WEIGHT, SHARE = 3.0, 0.8
-#: Words whose ids one worker remembers.
-CACHE_WORDS = 100_000
 #: Rows of a rank group (length and salt), and the most salts.
 GROUP_ROWS, MOST_SALTS = 50_000, 4096
 
@@ -33,9 +31,8 @@ GROUP_ROWS, MOST_SALTS = 50_000, 4096
 class ByteBpe:
     """Token ids of a byte-level BPE vocabulary as packed little-endian unsigned 32-bit numbers.
 
-    The vocabulary's rank file gives the same ids as its JSON form without added tokens. Pre-tokens never span a single
-    space between other characters, so such texts are encoded word by word through a bounded memory of words. Texts are
-    cut at the strings of ``added`` first, which get their own ids; other special-token strings are ordinary text.
+    The vocabulary's rank file gives the same ids as its JSON form without added tokens. Texts are cut at the strings of
+    ``added`` first, which get their own ids; other special-token strings are ordinary text.
     """
 
     def __init__(self, rank_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
@@ -43,35 +40,19 @@ class ByteBpe:
 
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._spaces = re.compile(r"\s\s|^\s|\s$")
-        self._known: dict[str, bytes] = {}
+        self._ordinary = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._added = {text: np.array([i], "<u4").tobytes() for text, i in added}
         # of strings that begin at one place the longest is taken, as the JSON form does
         self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
 
-    def _fresh(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self._known.get(word)
-        if found is None:
-            found = self._fresh(" " + word)
-            if len(self._known) < CACHE_WORDS:
-                self._known[word] = found
-        return found
+    def _plain(self, text: str) -> bytes:
+        return np.array(self._ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self._added or not self._cuts.search(text):
             return self._plain(text)
         return b"".join(self._added.get(part) or self._plain(part) for part in self._cuts.split(text) if part)
 
-    def _plain(self, text: str) -> bytes:
-        if self._spaces.search(text):
-            return self._fresh(text)
-        first, *rest = text.split(" ")
-        return b"".join([self._fresh(first), *map(self._word, rest)])
-
 
 _loaded: dict[tuple, ByteBpe] = {}
 
