@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ranks import sums_before
+
 
 def range_join(points: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str, width: float, how: str = "inner") -> DataFrame:
     """Points in [lo, hi). A range stands in every bucket of ``width`` that it touches, a point in one.
@@ -26,7 +28,7 @@ def offsets(df: DataFrame, order: str, length: str, block: int = 4096) -> DataFr
     b = df.withColumn("_block", F.floor(F.col(order) / block))
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     totals = b.groupBy("_block").agg(F.sum(length).alias("_total"))
-    bases = totals.select("_block", (F.sum("_total").over(Window.orderBy("_block")) - F.col("_total")).alias("_base"))
+    bases = sums_before(totals, [], "_block", "_total", "_base").select("_block", "_base")
     out = b.withColumn("_sum", F.sum(length).over(inside)).join(bases, "_block")
     return out.withColumn("stop", F.col("_base") + F.col("_sum")).withColumn("start", F.col("stop") - F.col(length)).drop("_block", "_sum", "_base")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.operators.ranks import blocked_rank, position
 
-#: Blocks of a seeded order.
-BLOCKS = 1024
+#: Blocks of a seeded order: a million rows each at 10^12 rows.
+BLOCKS = 1 << 20
 
 
 def hash_unit(*parts: Column | str | int) -> Column:

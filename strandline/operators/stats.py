@@ -11,11 +11,109 @@ def long_form(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
 
 
+def exact_quantiles(df: DataFrame, value: str, keys: list[str], named: dict[str, float], bins: int = 4096) -> DataFrame:
+    """(keys, one column for each name): exact quantiles, linear between neighbours; null where a key has no value.
+
+    A group never meets in one task. A sketch gives edges that cut each group into ``bins`` parts of about equal size,
+    one pass counts the rows of the parts, and only the few parts that hold the wanted ranks are looked into, where equal
+    values have been added up first. The edges only steer the work: any edges give the same result.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    if not keys:
+        rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
+    wanted = [(F.lit(name), F.lit(float(p))) for name, p in named.items()]
+    shares = [i / bins for i in range(1, bins)]
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, 4 * bins).alias("_edges"))
+    edges = edges.withColumn("_edges", F.array_distinct("_edges"))
+    # binary search in the sorted edges: the number of edges that do not exceed the value
+    steps = F.sequence(F.lit(0), F.lit(bins.bit_length()))
+    found = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("lo"), F.size("_edges").alias("hi")),
+        lambda at, _: F.when(at["lo"] >= at["hi"], at).otherwise(
+            F.when(F.get("_edges", F.floor((at["lo"] + at["hi"]) / 2).cast("int")) <= F.col("_v"), F.struct((F.floor((at["lo"] + at["hi"]) / 2) + 1).cast("int").alias("lo"), at["hi"].alias("hi"))).otherwise(
+                F.struct(at["lo"].alias("lo"), F.floor((at["lo"] + at["hi"]) / 2).cast("int").alias("hi"))
+            )
+        ),
+        lambda at: at["lo"],
+    )
+    placed = rows.join(edges, keys).select(*keys, found.alias("_bin"), "_v")
+    counts = placed.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_n")
+    counts = counts.select(*keys, "_bin", "_n", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    asked = counts.withColumn("_q", F.explode(F.array(*[F.struct(n.alias("name"), p.alias("p")) for n, p in wanted])))
+    asked = asked.withColumn("_at", F.col("_q.p") * (F.col("_total") - 1))
+    asked = asked.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+    asked = asked.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).select(*keys, "_bin", "_before", "_q", "_at", "_rank")
+    few = asked.select(*keys, "_bin").distinct()
+    values = placed.join(few, [*keys, "_bin"]).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    seen = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    values = values.select(*keys, "_bin", "_v", (seen - F.col("_c")).alias("_from"), seen.alias("_to"))
+    met = asked.join(values, [*keys, "_bin"]).filter((F.col("_rank") - F.col("_before") >= F.col("_from")) & (F.col("_rank") - F.col("_before") < F.col("_to")))
+    part = F.col("_at") - F.floor("_at")
+    ends = met.groupBy(*keys, F.col("_q.name").alias("_name")).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first(part).alias("_part"))
+    linear = ends.withColumn("_y", F.when(F.col("_part") == 0, F.col("_a")).otherwise((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_b")))
+    out = linear.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_y"))).alias(name) for name in named])
+    return out.drop("_all")
+
+
 def vector_stats(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     """Exact per-dimension count, mean, population deviation, min, max, and linear 1 % and 99 % quantiles."""
-    return long_form(df, vector, *keys).groupBy(*keys, "dim").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", 0.01).alias("q01"), F.percentile("x", 0.99).alias("q99")
-    )
+    rows, on = long_form(df, vector, *keys), [*keys, "dim"]
+    plain = rows.groupBy(*on).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return plain.join(exact_quantiles(rows, "x", on, {"q01": 0.01, "q99": 0.99}), on, "left")
+
+
+def config_key(settings: dict[str, Column]) -> Column:
+    """One text for equal settings: names in lower case and in order, values trimmed and in lower case, nulls kept."""
+    parts = [F.concat(F.lit(f"{name.lower()}="), F.coalesce(F.lower(F.trim(value.cast("string"))), F.lit("null"))) for name, value in sorted(settings.items(), key=lambda x: x[0].lower())]
+    return F.concat_ws("|", *parts)
+
+
+def stats_cache(entries: DataFrame, config: str, made: str, values: list[str]) -> DataFrame:
+    """(config, made, values): the newest entry of each configuration."""
+    return entries.groupBy(config).agg(F.max(made).alias(made), *[F.max_by(v, made).alias(v) for v in values])
+
+
+def range_changes(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
+    """(key, k, batch, lo, hi): the batches at which the range of all values so far grows, numbered from 0 in each key."""
+    per = df.groupBy(key, batch).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    so_far = Window.partitionBy(key).orderBy(batch)
+    runs = per.select(key, batch, F.min("_lo").over(so_far).alias("lo"), F.max("_hi").over(so_far).alias("hi"))
+    grown = runs.withColumn("_old", F.lag(F.struct("lo", "hi")).over(so_far)).filter("_old is null or _old.lo <> lo or _old.hi <> hi")
+    return grown.select(key, (F.row_number().over(so_far) - 1).cast("int").alias("k"), batch, "lo", "hi")
+
+
+def _edge(value: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """The left edge of the value's bin."""
+    at = F.greatest(F.least(F.floor((value - lo) / (hi - lo) * bins), F.lit(bins - 1)), F.lit(0))
+    return F.when(hi > lo, lo + at * (hi - lo) / bins).otherwise(lo)
+
+
+def adaptive_histogram(df: DataFrame, key: str, batch: str, value: str, bins: int = 5000) -> DataFrame:
+    """(key, edge, n): the histogram of values that come batch by batch into ``bins`` equal bins whose range grows.
+
+    A batch that widens the range of its key first moves what is there: each old bin's count goes to the new bin that
+    holds the old one's left edge. Where a value ends thus depends on its batch and on the later widenings only, and
+    those are few, so batches are counted in parallel and each (widening, bin) is moved on its own.
+    """
+    changes = range_changes(df, key, batch, value)
+    listed = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", batch, "lo", "hi"))).alias("_c"))
+    # the range when the value comes
+    rows = df.join(listed, key).withColumn("_k", F.size(F.filter("_c", lambda c: c[batch] <= F.col(batch))) - 1)
+    first = F.get("_c", F.col("_k"))
+    counted = rows.groupBy(key, F.col("_k"), _edge(F.col(value), first["lo"], first["hi"], bins).alias("edge")).agg(F.count("*").alias("n"))
+    later = F.filter("_c", lambda c: c["k"] > F.col("_k"))
+    moved = counted.join(listed, key).withColumn("edge", F.aggregate(later, F.col("edge"), lambda at, c: _edge(at, c["lo"], c["hi"], bins)))
+    return moved.groupBy(key, "edge").agg(F.sum("n").alias("n"))
+
+
+def left_edge_quantiles(hist: DataFrame, key: str, quantiles: list[float]) -> DataFrame:
+    """(key, q, value): left edge of the first bin at which the running count reaches q n; keys of two values or more."""
+    seen = F.sum("n").over(Window.partitionBy(key).orderBy("edge"))
+    run = hist.withColumn("_seen", seen).withColumn("_total", F.sum("n").over(Window.partitionBy(key))).filter("_total >= 2")
+    asked = run.withColumn("q", F.explode(F.array(*[F.lit(q) for q in quantiles]))).filter(F.col("_seen") >= F.col("q") * F.col("_total"))
+    return asked.groupBy(key, "q").agg(F.min("edge").alias("value"))
 
 
 def as_vectors(stats: DataFrame, *names: str) -> DataFrame:

@@ -12,6 +12,8 @@ from strandline.plans.common import FRAMES, frames
 from strandline.sources.tables import table
 
 c = F.col
+#: Rows of one digest of a catalog.
+DIGEST_BLOCK = 4096
 
 
 def r6(*names):
@@ -30,7 +32,8 @@ def run_summary(spark, root):
     log = table(spark, root, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     counts = log.groupBy("event_type").agg(F.count("*").cast("double").alias("value")).select(F.lit("events").alias("section"), c("event_type").alias("name"), "value")
     calls = log.filter(c("event_type").isin("purchase", "error"))
-    latency = calls.agg(F.round(F.percentile("value", 0.5), 3).alias("p50"), F.round(F.percentile("value", 0.95), 3).alias("p95"), F.max("value").alias("max"))
+    ends = S.exact_quantiles(calls, "value", [], {"p50": 0.5, "p95": 0.95}).select(F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
+    latency = ends.crossJoin(calls.agg(F.max("value").alias("max")))  # one row each
     latency = latency.select(F.lit("latency").alias("section"), F.explode(F.create_map(F.lit("p50"), "p50", F.lit("p95"), "p95", F.lit("max"), "max")).alias("name", "value"))
     usage = log.filter("event_type = 'purchase'").agg(F.sum("k").cast("double").alias("value")).select(F.lit("usage").alias("section"), F.lit("k").alias("name"), "value")
     status = log.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("s")).groupBy("s").agg(F.count("*").cast("double").alias("value"))
@@ -56,10 +59,14 @@ def by_status(spark, root):
     return docs.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.count_if(c("toxic") == 1).alias("toxic"))
 
 
-def approximate(spark, root):
-    e = table(spark, root, "events")
-    exact, near = F.percentile("value", 0.9), F.percentile_approx("value", 0.9, 10000)
-    return e.groupBy("event_type").agg((F.abs(exact - near) < 0.02 * F.abs(exact)).alias("close"), (F.abs(F.approx_count_distinct("user_id", 0.02) - F.countDistinct("user_id")) <= 0.1 * F.countDistinct("user_id")).alias("many"))
+def adaptive(spark, root):
+    """Running statistics of batches of 100 events: mean, deviation and left-edge quantiles of a histogram of 5,000 bins
+    that is dealt anew whenever a batch widens its range."""
+    e = table(spark, root, "events").select("event_type", F.floor(c("event_id") / 100).alias("batch"), "value")
+    moments = S.finish_moments(S.moments(e, c("value"), "event_type"))
+    q = S.left_edge_quantiles(S.adaptive_histogram(e, "event_type", "batch", "value"), "event_type", [0.01, 0.99])
+    wide = q.groupBy("event_type").agg(*[F.max(F.when(c("q") == p, c("value"))).alias(n) for n, p in (("q01", 0.01), ("q99", 0.99))])
+    return moments.join(wide, "event_type").select("event_type", "n", *r6("mean", "std", "q01", "q99"))
 
 
 def histogram_quantiles(spark, root):
@@ -80,9 +87,9 @@ def grouped_merge(spark, root):
 
 
 def weighted(spark, root):
-    per = table(spark, root, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", 0.01).alias("q01"), F.percentile("value", 0.99).alias("q99")
-    )
+    e = table(spark, root, "events")
+    per = e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    per = per.join(S.exact_quantiles(e, "value", ["event_type"], {"q01": 0.01, "q99": 0.99}), "event_type")
     return S.weighted_merge(per, "n").select(*r6("mean", "std", "min", "max", "q01", "q99"))
 
 
@@ -173,11 +180,19 @@ def inventory(spark, root):
 
 
 def digest(spark, root):
-    """sha256 of the catalog as canonical JSON: rows sorted, keys sorted, nulls kept; per language."""
+    """Digest of the catalog as canonical JSON (rows sorted, keys sorted, nulls kept) per language.
+
+    Rows of ``DIGEST_BLOCK`` ids at a time are digested on their own, and the digest of a catalog is that of its blocks'
+    digests in order, in two levels: no task holds more than a block of rows or of digests.
+    """
     d = table(spark, root, "documents")
     line = F.concat(F.lit('{"doc_id":'), c("doc_id").cast("string"), F.lit(',"n_chars":'), F.coalesce(c("n_chars").cast("string"), F.lit("null")), F.lit(',"source":"'), c("source"), F.lit('"}'))
-    rows = d.groupBy("lang").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", line.alias("j")))).alias("r"))
-    return rows.select("lang", "n", F.sha2(F.concat(F.lit("["), F.array_join(c("r.j"), ","), F.lit("]")), 256).alias("digest"))
+    rows = d.select("lang", c("doc_id").alias("at"), line.alias("j"), F.lit(1).alias("n"))
+    for level in range(1, 4):
+        block = F.floor(c("at") / DIGEST_BLOCK) if level < 3 else F.lit(0)
+        parts = rows.groupBy("lang", block.alias("at")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "j"))).alias("r"))
+        rows = parts.select("lang", "at", "n", F.sha2(F.concat(F.lit("["), F.array_join(c("r.j"), ","), F.lit("]")), 256).alias("j"))
+    return rows.select("lang", "n", c("j").alias("digest"))
 
 
 def balance(spark, root):
@@ -225,7 +240,19 @@ QUERIES = [
         SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_scores,
                string_agg(n || ' x ' || regexp_replace(regexp_replace(printf('%.4f', score), '0+$', ''), '\\.$', ''), ', ' ORDER BY score DESC) AS distribution FROM k GROUP BY 1"""),
     ("a05_documents_by_status", by_status, "SELECT CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'accepted' ELSE 'quarantined' END AS status, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
-    ("a07_approximate", approximate, "SELECT DISTINCT event_type, true AS close, true AS many FROM events"),
+    ("a07_adaptive_histogram", adaptive, """
+        WITH RECURSIVE e AS (SELECT event_type AS t, event_id // 100 AS b, value AS v FROM events),
+        p AS (SELECT t, b, min(v) AS lo, max(v) AS hi FROM e GROUP BY 1, 2),
+        r AS (SELECT t, b, min(lo) OVER w AS lo, max(hi) OVER w AS hi FROM p WINDOW w AS (PARTITION BY t ORDER BY b)),
+        g AS (SELECT *, lag(lo) OVER w AS l, lag(hi) OVER w AS h FROM r WINDOW w AS (PARTITION BY t ORDER BY b)),
+        c AS (SELECT t, b, lo, hi, row_number() OVER (PARTITION BY t ORDER BY b) AS k FROM g WHERE l IS NULL OR l <> lo OR h <> hi),
+        f AS (SELECT e.t, c.k, e.v AS edge, 1 AS fresh FROM e ASOF JOIN c ON e.t = c.t AND e.b >= c.b),
+        m AS (SELECT f.t, f.k, CASE WHEN hi > lo THEN lo + greatest(least(floor((edge - lo) / (hi - lo) * 5000), 4999), 0) * (hi - lo) / 5000 ELSE lo END AS edge FROM f JOIN c USING (t, k)
+              UNION ALL SELECT m.t, c.k, CASE WHEN hi > lo THEN lo + greatest(least(floor((edge - lo) / (hi - lo) * 5000), 4999), 0) * (hi - lo) / 5000 ELSE lo END FROM m JOIN c ON c.t = m.t AND c.k = m.k + 1),
+        z AS (SELECT m.t, edge, count(*) AS n FROM m JOIN (SELECT t, max(k) AS k FROM c GROUP BY 1) USING (t, k) GROUP BY 1, 2),
+        s AS (SELECT t, edge, sum(n) OVER (PARTITION BY t ORDER BY edge) AS seen, sum(n) OVER (PARTITION BY t) AS total FROM z),
+        q AS (SELECT t, min(edge) FILTER (seen >= 0.01::DOUBLE * total) AS q01, min(edge) FILTER (seen >= 0.99::DOUBLE * total) AS q99 FROM s GROUP BY 1)
+        SELECT t AS event_type, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(any_value(q01), 6) AS q01, round(any_value(q99), 6) AS q99 FROM e JOIN q USING (t) GROUP BY 1"""),
     ("a08_histogram_quantiles", histogram_quantiles, """
         WITH b AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
         h AS (SELECT event_type, greatest(least(CAST(floor((value - lo) / (hi - lo) * 2048) AS BIGINT), 2047), 0) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM events JOIN b USING (event_type) GROUP BY 1, 2),
@@ -255,7 +282,10 @@ QUERIES = [
         SELECT fold, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(p + r, 1e-6), 6) AS f1,
                round((tp + fp) / (tp + fp + fn + tn), 6) AS positive_rate, round(tp, 3) AS tp_back, round(fp, 3) AS fp_back, round(fn, 3) AS fn_back FROM m"""),
     ("a26_inventory", inventory, "SELECT count(DISTINCT source) AS datasets, count(*) AS episodes, CAST(sum(n_chars) AS BIGINT) AS frames, count(DISTINCT lang) AS tasks FROM documents"),
-    ("a27_t05_digest", digest, """SELECT lang, count(*) AS n, sha256('[' || string_agg('{"doc_id":' || doc_id || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"source":"' || source || '"}', ',' ORDER BY doc_id) || ']') AS digest FROM documents GROUP BY 1"""),
+    ("a27_t05_digest", digest, """
+        WITH a AS (SELECT lang, doc_id // 4096 AS bk, count(*) AS n, sha256('[' || string_agg('{"doc_id":' || doc_id || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"source":"' || source || '"}', ',' ORDER BY doc_id) || ']') AS j FROM documents GROUP BY 1, 2),
+        b AS (SELECT lang, bk // 4096 AS bk, sum(n) AS n, sha256('[' || string_agg(j, ',' ORDER BY a.bk) || ']') AS j FROM a GROUP BY 1, 2)
+        SELECT lang, CAST(sum(n) AS BIGINT) AS n, sha256('[' || string_agg(j, ',' ORDER BY bk) || ']') AS digest FROM b GROUP BY 1"""),
     ("a28_balance", balance, "WITH p AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY 1) SELECT count(*) AS shards, round(avg(n), 6) AS avg, round(stddev_pop(n), 6) AS std FROM p"),
     ("a30_advantage", advantage, "SELECT event_id, round((value - avg(value) OVER w) / (coalesce(stddev_samp(value) OVER w, 0) + 1e-6), 5) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)"),
     ("a31_first_reason", first_reason, "SELECT user_id, event_type, arg_min(value, event_id) AS value, count(*) AS repeats FROM events GROUP BY 1, 2"),

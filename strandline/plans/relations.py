@@ -100,11 +100,11 @@ def outer_tasks(spark, root):
 
 
 def guide_samples(spark, root):
-    """Three samples of the document's source for each document with an even id, by hash."""
+    """Three samples of the document's source for each document, by hash."""
     d = table(spark, root, "documents").select("doc_id", "source")
     h = F.md5(F.concat(c("doc_id").cast("string"), F.lit("|7")).cast("binary"))
     ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(h, "doc_id"))).filter("r <= 3").select("source", c("doc_id").alias("sample_id"), c("r").cast("long").alias("r"))
-    return d.filter("doc_id % 2 = 0").join(ranked, "source").select("doc_id", "sample_id", "r")
+    return d.join(ranked, "source").select("doc_id", "sample_id", "r")
 
 
 def instruction(spark, root):
@@ -148,7 +148,7 @@ def json_keys(spark, root):
 
 def paths(spark, root):
     p = table(spark, root, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+(/.*)?$", 1).alias("path"))
-    return p.select("page_id", C.safe_path(c("path")).alias("absolute"), C.safe_path(F.substring("path", 2, 10000)).alias("relative"))
+    return p.select("page_id", C.safe_path(c("path")).alias("absolute"), C.safe_path(F.expr("substring(path, 2)")).alias("relative"))
 
 
 def finite(spark, root):
@@ -162,7 +162,7 @@ def success_paths(spark, root):
 
 def prefix_masks(spark, root):
     f = frames(spark, root).groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("frame", (c("value") < 60).alias("m")))).alias("s"))
-    return f.select("episode", V.is_prefix_mask(F.slice(c("s.m"), 1, 4)).alias("prefix"))
+    return f.select("episode", V.is_prefix_mask(c("s.m")).alias("prefix"))
 
 
 def bijection(spark, root):
@@ -217,7 +217,7 @@ QUERIES = [
     ("j09_semi", semi, "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09)"),
     ("j10_u05_anti", anti, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     ("j11_u06_outer", outer_tasks, "WITH a AS (SELECT user_id, count(*) AS a FROM events WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT user_id, count(*) AS b FROM events WHERE value > 80 GROUP BY 1) SELECT user_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b USING (user_id)"),
-    ("j13_j14_guide_samples", guide_samples, "WITH r AS (SELECT source, doc_id AS sample_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|7'), doc_id) AS r FROM documents) SELECT d.doc_id, sample_id, r FROM documents d JOIN r USING (source) WHERE d.doc_id % 2 = 0 AND r <= 3"),
+    ("j13_j14_guide_samples", guide_samples, "WITH r AS (SELECT source, doc_id AS sample_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|7'), doc_id) AS r FROM documents) SELECT d.doc_id, sample_id, r FROM documents d JOIN r USING (source) WHERE r <= 3"),
     ("j15_j16_instruction", instruction, "WITH f AS (SELECT p_brand, arg_min(p_name, p_partkey) AS instruction FROM part GROUP BY 1) SELECT p_partkey, instruction FROM part JOIN f USING (p_brand)"),
     ("f05_f07_contract", contract, "SELECT o_orderkey AS key, 'price' AS reason FROM orders WHERE NOT o_totalprice BETWEEN 0 AND 300000 UNION ALL SELECT o_orderkey, 'status' FROM orders WHERE o_orderstatus NOT IN ('O', 'F')"),
     ("f08_sequences", sequences, f"WITH {FRAMES}, p AS (SELECT episode, count(*) AS n, min(frame) AS lo, max(frame) AS hi FROM f WHERE event_id % 97 <> 0 GROUP BY 1) SELECT * FROM p WHERE lo <> 0 OR hi <> n - 1"),
@@ -228,7 +228,7 @@ QUERIES = [
     ("f20_paths", paths, "WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/.*)?$', 1) AS path FROM pages) SELECT page_id, length(path) > 0 AND NOT regexp_matches(path, '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)|\\\\') AS absolute, length(substr(path, 2)) > 0 AND NOT regexp_matches(substr(path, 2), '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)|\\\\') AS relative FROM p"),
     ("f09_finite", finite, "WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT vec_id, bool_and(x BETWEEN -0.3 AND 0.3) AS good FROM e GROUP BY 1"),
     ("f10_success_paths", success_paths, "SELECT page_id FROM pages WHERE url LIKE '%page%'"),
-    ("f22_prefix_masks", prefix_masks, f"WITH {FRAMES}, m AS (SELECT episode, value < 60 AS m, lag(value < 60) OVER (PARTITION BY episode ORDER BY frame) AS p FROM f WHERE frame < 4) SELECT episode, NOT bool_or(m AND NOT coalesce(p, true)) AS prefix FROM m GROUP BY 1"),
+    ("f22_prefix_masks", prefix_masks, f"WITH {FRAMES}, m AS (SELECT episode, value < 60 AS m, lag(value < 60) OVER (PARTITION BY episode ORDER BY frame) AS p FROM f) SELECT episode, NOT bool_or(m AND NOT coalesce(p, true)) AS prefix FROM m GROUP BY 1"),
     ("f21_f24_bijection", bijection, f"WITH {FRAMES} SELECT episode, frame, 'left' AS side FROM f WHERE event_id % 500 = 3"),
     ("f24_u04_integrity", integrity, "SELECT count(d.doc_id) AS documents, count(l.doc_id) AS labels, count(*) FILTER (l.doc_id IS NULL) AS unlabelled, count(*) FILTER (d.doc_id IS NULL) AS orphans FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"),
     ("f16_null_language", null_language, "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND lang <> 'null' GROUP BY 1"),

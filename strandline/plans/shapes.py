@@ -52,7 +52,7 @@ def rendered(spark, root):
     """Text of each transition: what is before, what follows, who speaks, how long."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, root, "conversations").withColumn("after", F.lead("text").over(w)).filter("after is not null")
-    return t.select("conv_id", "turn", X.lines(("before", F.substring("text", 1, 20)), ("after", F.substring("after", 1, 20)), ("role", c("role")), ("length", F.length("text").cast("string"))).alias("rendered"))
+    return t.select("conv_id", "turn", X.lines(("before", c("text")), ("after", c("after")), ("role", c("role")), ("length", F.length("text").cast("string"))).alias("rendered"))
 
 
 def plan(spark, root):
@@ -97,7 +97,7 @@ def parsed(spark, root):
 
 def cleaned(spark, root):
     d = table(spark, root, "documents")
-    return d.select("doc_id", X.cleaned(F.substring("text", 1, 200), {"[.,!?]": " ", "\\bthe\\b": "a"}).alias("clean"), X.without_prefix(c("lang"), "e", "f").alias("rest"), X.non_blank(F.substring("text", 1, 5)).alias("some"))
+    return d.select("doc_id", X.cleaned(c("text"), {"[.,!?]": " ", " the ": " a "}).alias("clean"), X.without_prefix(c("lang"), "e", "f").alias("rest"), X.non_blank(c("text")).alias("some"))
 
 
 def flattened_json(spark, root):
@@ -185,14 +185,14 @@ QUERIES = [
     ("p05_merge_trees", merged, "SELECT c_custkey, c_name AS name, 1.5::DOUBLE AS balance, 'USD' AS unit FROM customer"),
     ("p06_m24_defaults", defaulted, "SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(lang, '') <> '' AS pad_mask FROM documents LEFT JOIN labels USING (doc_id)"),
     ("p07_plan", plan, "WITH t AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT conv_id, 'boundary' AS kind, turn AS ord, NULL::BIGINT AS after FROM t UNION ALL SELECT conv_id, 'unit', turn, nxt FROM t WHERE nxt IS NOT NULL"),
-    ("p08_rendered", rendered, "WITH t AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) SELECT conv_id, turn, 'before: ' || substr(text, 1, 20) || chr(10) || 'after: ' || substr(after, 1, 20) || chr(10) || 'role: ' || role || chr(10) || 'length: ' || length(text) AS rendered FROM t WHERE after IS NOT NULL"),
+    ("p08_rendered", rendered, "WITH t AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations) SELECT conv_id, turn, 'before: ' || text || chr(10) || 'after: ' || after || chr(10) || 'role: ' || role || chr(10) || 'length: ' || length(text) AS rendered FROM t WHERE after IS NOT NULL"),
     ("p16_p17_episode_flip", episode_flip, f"WITH {FRAMES} SELECT episode, frame, value, event_type FROM f"),
     ("p21_interleave", interleaved, "SELECT n_nationkey, CAST(n_nationkey * 3 + unnest(range(3)) AS BIGINT) AS place FROM nation"),
     ("t08_t09_chat", chats, "SELECT conv_id, string_agg('<|im_start|>' || CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END || chr(10) || replace(text, '<image>', '<|image|>') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chat FROM conversations GROUP BY 1"),
     ("t01_routes", routes, "SELECT o_orderkey, 'chunk-' || lpad((o_orderkey // 1000)::VARCHAR, 3, '0') || '/file-' || lpad(o_orderkey::VARCHAR, 6, '0') || '.parquet' AS path FROM orders"),
     ("t03_slugs", slugs, "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, regexp_replace(p_name || '_' || p_type, '[^A-Za-z0-9_.-]+', '-', 'g') AS debug FROM part"),
     ("t02_parsed", parsed, "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '/([a-z]{2})/(\\d+)', 1) AS lang, regexp_extract(url, '/([a-z]{2})/(\\d+)', 2) AS number FROM pages"),
-    ("t04_t12_t18_cleaned", cleaned, "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 200), '[.,!?]', ' ', 'g'), '\\bthe\\b', 'a', 'g'), '\\s+', ' ', 'g')) AS clean, CASE WHEN lang[1] IN ('e', 'f') THEN substr(lang, 2) ELSE lang END AS rest, length(trim(substr(text, 1, 5))) > 0 AS some FROM documents"),
+    ("t04_t12_t18_cleaned", cleaned, "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[.,!?]', ' ', 'g'), ' the ', ' a ', 'g'), '\\s+', ' ', 'g')) AS clean, CASE WHEN lang[1] IN ('e', 'f') THEN substr(lang, 2) ELSE lang END AS rest, regexp_matches(text, '\\S') AS some FROM documents"),
     ("t07_flattened_json", flattened_json, "SELECT event_id, 'k' AS path, CAST(props->>'$.k' AS DOUBLE) AS value FROM events"),
     ("t05_t06_digests", keys, """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","quality":null}') AS digest, sha256(lang || chr(10) || source) AS cache_key FROM documents"""),
     ("t13_prompt_numbers", arrays_text, "SELECT vec_id, '[' || " + " || ', ' || ".join(f"printf('%.2f', CAST(embedding[{i}] AS DOUBLE))" for i in range(1, 5)) + " || ']' AS prompt FROM embeddings"),

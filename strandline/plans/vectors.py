@@ -134,20 +134,40 @@ def angles(spark, root):
 
 
 def rotations(spark, root):
-    """Euler angles to quaternion, matrix, six numbers and back to a matrix, and axis-angle."""
+    """Euler angles to quaternion, matrix, six numbers and back to a matrix, axis-angle, and the rotation of a base frame
+    seen from a wrist frame (the product of the transposed wrist rotation and the base's)."""
     x = lambda i: V.at(V.doubles(c("embedding")), i)
     rows = table(spark, root, "embeddings").select("vec_id", V.euler_to_quaternion(x(0), x(1), x(2)).alias("q"))
-    rows = rows.withColumn("m", V.quaternion_to_matrix(c("q")))
-    rows = rows.withColumn("back", V.six_to_matrix(V.matrix_to_six(c("m")))).withColumn("eye", V.matmul3(c("m"), V.transpose3(c("m")))).withColumn("aa", V.axis_angle(c("q")))
+    rows = rows.withColumn("m", V.quaternion_to_matrix(c("q"))).join(table(spark, root, "embeddings").select("vec_id", V.quaternion_to_matrix(V.euler_to_quaternion(x(3), x(4), x(5))).alias("wrist")), "vec_id")
+    rows = rows.withColumn("back", V.six_to_matrix(V.matrix_to_six(c("m")))).withColumn("seen", V.matmul3(V.transpose3(c("wrist")), c("m"))).withColumn("aa", V.axis_angle(c("q")))
     return rows.select(
         "vec_id",
         *[F.round(V.at(c("q"), i), 6).alias(f"q{i}") for i in range(4)],
-        F.round(V.norm(V.minus(c("m"), c("back"))), 6).alias("six_error"),
-        F.round(V.at(c("eye"), 0) + V.at(c("eye"), 4) + V.at(c("eye"), 8), 6).alias("trace"),
-        F.round(V.norm(c("aa")), 6).alias("angle"),
+        *[F.round(V.at(c(name), i), 6).alias(f"{name}{i}") for name in ("m", "back", "seen") for i in range(9)],
+        *[F.round(V.at(c("aa"), i), 6).alias(f"axis{i}") for i in range(3)],
     )
 
 
+def euler_sql(name, i):
+    """CTEs of a rotation matrix ``name``0..8 by elementary rotations Rz Ry Rx of three numbers (not by a quaternion)."""
+    r, p, y = (f"CAST(embedding[{i + k}] AS DOUBLE)" for k in (1, 2, 3))
+    entries = (
+        f"cos({y})*cos({p})", f"cos({y})*sin({p})*sin({r}) - sin({y})*cos({r})", f"cos({y})*sin({p})*cos({r}) + sin({y})*sin({r})",
+        f"sin({y})*cos({p})", f"sin({y})*sin({p})*sin({r}) + cos({y})*cos({r})", f"sin({y})*sin({p})*cos({r}) - cos({y})*sin({r})",
+        f"-sin({p})", f"cos({p})*sin({r})", f"cos({p})*cos({r})",
+    )
+    return ", ".join(f"{e} AS {name}{k}" for k, e in enumerate(entries))
+
+
+SEEN = ", ".join("round(" + " + ".join(f"w{3 * k + r} * m{3 * k + c_}" for k in range(3)) + f", 6) AS seen{3 * r + c_}" for r in range(3) for c_ in range(3))
+ROTATIONS_SQL = f"""
+    WITH a AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) / 2 AS r, CAST(embedding[2] AS DOUBLE) / 2 AS p, CAST(embedding[3] AS DOUBLE) / 2 AS y, {euler_sql("m", 0)}, {euler_sql("w", 3)} FROM embeddings),
+    q AS (SELECT *, cos(r)*cos(p)*cos(y) + sin(r)*sin(p)*sin(y) AS q0, sin(r)*cos(p)*cos(y) - cos(r)*sin(p)*sin(y) AS q1,
+                 cos(r)*sin(p)*cos(y) + sin(r)*cos(p)*sin(y) AS q2, cos(r)*cos(p)*sin(y) - sin(r)*sin(p)*cos(y) AS q3 FROM a),
+    n AS (SELECT *, sqrt(q1*q1 + q2*q2 + q3*q3) AS n FROM q)
+    SELECT vec_id, {", ".join(f"round(q{i}, 6) AS q{i}" for i in range(4))}, {", ".join(f"round(m{i}, 6) AS m{i}, round(m{i}, 6) AS back{i}" for i in range(9))}, {SEEN},
+           {", ".join(f"round(CASE WHEN n < 1e-12 THEN 2 * q{i + 1} ELSE q{i + 1} / n * 2 * atan2(n, q0) END, 6) AS axis{i}" for i in range(3))} FROM n"""
+
 QUERIES = [
     ("a06_vector_stats", stats_query, f"WITH {VECTORS} SELECT dim, (SELECT count(*) FROM embeddings) AS n, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max, round(q01, 6) AS q01, round(q99, 6) AS q99 FROM s"),
     ("m01_zscore", _scaled(lambda: V.zscore(c("x"), c("mean"), c("std"))), _sql("(x - mean) / (std + 1e-6)")),
@@ -171,12 +191,7 @@ QUERIES = [
     ("m15_sin_cos", lambda s, r: _out(table(s, r, "embeddings").withColumn("v", V.sin_cos(V.doubles(c("embedding")))), c("v")), f"WITH {VECTORS} SELECT vec_id, dim, round(sin(x), 6) AS y FROM e UNION ALL SELECT vec_id, dim + 64, round(cos(x), 6) FROM e"),
     ("m16_action_tokens", tokens, f"WITH {VECTORS}, t AS (SELECT vec_id, dim, CAST(32000 - least(floor((greatest(least(x, 1.0), -1.0) + 1) / (2.0 / 255)) + 1, 256) AS INTEGER) AS token FROM e) SELECT vec_id, dim, token, round(-1 + (greatest(least(32000 - token - 1, 254), 0) + 0.5) * (2.0 / 255), 6) AS value FROM t"),
     ("m17_invert", lambda s, r: _out(table(s, r, "embeddings").withColumn("v", F.transform(V.doubles(c("embedding")), lambda v: 1 - v)), c("v")), f"WITH {VECTORS} SELECT vec_id, dim, round(1 - x, 6) AS y FROM e"),
-    ("m18_m19_rotations", rotations, """
-        WITH a AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) / 2 AS r, CAST(embedding[2] AS DOUBLE) / 2 AS p, CAST(embedding[3] AS DOUBLE) / 2 AS y FROM embeddings),
-        q AS (SELECT vec_id, cos(r)*cos(p)*cos(y) + sin(r)*sin(p)*sin(y) AS w, sin(r)*cos(p)*cos(y) - cos(r)*sin(p)*sin(y) AS i,
-                     cos(r)*sin(p)*cos(y) + sin(r)*cos(p)*sin(y) AS j, cos(r)*cos(p)*sin(y) - sin(r)*sin(p)*cos(y) AS k FROM a)
-        SELECT vec_id, round(w, 6) AS q0, round(i, 6) AS q1, round(j, 6) AS q2, round(k, 6) AS q3, 0.0::DOUBLE AS six_error, 3.0::DOUBLE AS trace,
-               round(2 * atan2(sqrt(i*i + j*j + k*k), w), 6) AS angle FROM q"""),
+    ("m18_m19_rotations", rotations, ROTATIONS_SQL),
     ("m20_f17_norms", norms, f"WITH {VECTORS} SELECT vec_id, round(sqrt(sum(x * x)), 6) AS norm, bool_or(abs(x) > 0.3) AS outlier FROM e GROUP BY vec_id"),
     ("f17_outlier_dims", outlier_dims, f"WITH {VECTORS} SELECT vec_id, count(*) AS n_dims, min(dim) AS first_dim, max(round(abs(x), 6)) AS worst FROM e WHERE abs(x) > 0.3 GROUP BY vec_id"),
     ("p09_p10_v15_padded", padded, "WITH d AS (SELECT vec_id, embedding, unnest(range(8)) AS dim FROM embeddings) SELECT vec_id, dim, round(CASE WHEN dim < 5 THEN CAST(embedding[dim + 1] AS DOUBLE) ELSE 0 END, 6) AS padded, dim < 5 AS real, round(CASE WHEN dim < 5 THEN CAST(embedding[dim + 1] AS DOUBLE) ELSE 0 END, 6) AS fixed FROM d"),
