@@ -24,7 +24,7 @@ def reindex(df: DataFrame, key: str, name: str, before: list[str] | None = None)
     if before:
         sizes = local.select(*before, "_size").distinct()
         base = sizes.select(*before, (F.sum("_size").over(Window.orderBy(*before)) - F.col("_size")).alias("_base"))
-        local = local.join(F.broadcast(base), before)
+        local = local.join(base, before)
     else:
         local = local.withColumn("_base", F.lit(0))
     return df.join(local.select(*on, (F.col("_base") + F.col("_local")).cast("long").alias(name)), on)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from strandline.operators.ranks import blocked_rank, position
 
 #: Blocks of a seeded order: a million rows each at 10^12 rows.
 BLOCKS = 1 << 20
+#: Data sets of a mixture, whose shares are broadcast.
+MOST_SETS = 100_000
 
 
 def hash_unit(*parts: Column | str | int) -> Column:
@@ -29,7 +35,9 @@ def at_most(df: DataFrame, keys: list[str], ident: str, n: int, *seed) -> DataFr
 
 
 def mixture_draws(weights: DataFrame, name: str, weight: str, draws: int, seed: int) -> DataFrame:
-    """(draw, name): each draw takes a data set with its share of the weights (bounded table, broadcast)."""
+    """(draw, name): each draw takes a data set with its share of the weights; at most ``MOST_SETS`` data sets."""
+    if weights.limit(MOST_SETS + 1).count() > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} data sets in a mixture")
     w = Window.orderBy(name)
     total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
     shares = weights.select(name, (F.sum(weight).over(w) / total).alias("_hi"), ((F.sum(weight).over(w) - F.col(weight)) / total).alias("_lo"))
@@ -95,27 +103,59 @@ def group_batches(df: DataFrame, document: str, task: str, ident: str, groups: i
 def budget_batches(df: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """``batch`` inside each key: rows in order, a new batch where the budget would be passed; a larger row stands alone.
 
-    The rule needs the rows of a key one after another, so a key is one array here; choose keys (shards) of bounded size.
+    The rule needs the rows of a key one after another: a task reads them in order, batch by batch, and remembers only
+    the open batch's size and number. A null size is none.
     """
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{dict(df.dtypes)[order]},b:bigint>>").alias("out"))
-
-    def fold(acc, x):
-        fresh = (acc["used"] > 0) & (acc["used"] + x["s"] > budget)
-        batch = acc["batch"] + fresh.cast("long")
-        return F.struct(batch.alias("batch"), F.when(fresh, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("b")))).alias("out"))
-
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("r"))
-    return rows.select(key, F.explode(F.aggregate("r", start, fold)["out"]).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.b").alias("batch"))
 
+    def run(batches):
+        now, used, number = None, 0, -1
+        for batch in batches:
+            names, out = batch.column(0).to_pylist(), np.zeros(batch.num_rows, np.int64)
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(names):
+                end = next((i for i in range(at, len(names)) if names[i] != names[at]), len(names))
+                if number < 0 or names[at] != now:
+                    now, used, number = names[at], 0, 0
+                total = np.cumsum(sizes[at:end])
+                i = 0
+                while i < end - at:
+                    before = int(total[i - 1]) if i else 0
+                    j = int(np.searchsorted(total, before + budget - used, "right"))
+                    if used + (int(total[j - 1]) if j else 0) - before == 0:
+                        j = max(j, i) + 1  # nothing is in the batch yet: the next row goes in whatever its size
+                    j = min(max(j, i), end - at)
+                    out[at + i : at + j] = number
+                    used += (int(total[j - 1]) if j else 0) - before
+                    if j < end - at:
+                        used, number = 0, number + 1
+                    i = j
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], [key, order, "batch"])
+
+    kinds = dict(df.dtypes)
+    rows = df.select(key, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, batch long")
+
+
+def greedy_balance(df: DataFrame, order: str, ident: str, size: str, shards: int) -> DataFrame:
+    """(ident, shard, before): items in order, each to the shard that is shortest so far (the first of equals).
+
+    Each choice depends on all before it, so one task reads (ident, size) in order; it remembers ``shards`` numbers.
+    Items are whole episodes or files, not their rows.
+    """
 
-def greedy_balance(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Item -> shard: items in the given order, each to the shard that is shortest so far. For bounded item lists."""
-    import heapq
-
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for item, size in sizes:
-        used, shard = heapq.heappop(heap)
-        out[item] = shard
-        heapq.heappush(heap, (used + size, shard))
-    return out
+    def run(batches):
+        heap = [(0, s) for s in range(shards)]
+        for batch in batches:
+            shard, before = [], []
+            for n in batch.column(1).to_pylist():
+                used, s = heapq.heappop(heap)
+                shard.append(s)
+                before.append(used)
+                heapq.heappush(heap, (used + n, s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int64()), pa.array(before, pa.int64())], [ident, "shard", "before"])
+
+    kind = dict(df.dtypes)[ident]
+    items = df.select(order, F.col(ident), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")).coalesce(1).sortWithinPartitions(order, ident)
+    return items.select(ident, "_size").mapInArrow(run, f"{ident} {kind}, shard long, before long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -100,15 +101,21 @@ def time_grid(df: DataFrame, key: str, seconds: str, value: str, order: str, dt:
 def discounted(df: DataFrame, episode: str, order: str, reward: Column, done: Column, value: Column, gamma: float, lam: float) -> DataFrame:
     """Generalised advantage estimates per frame (gamma lam recurrence from the end, cut where ``done``).
 
-    An episode is one array, as the recurrence runs from its end; episodes are bounded recordings.
+    A task reads the frames of an episode from its end, batch by batch, and remembers the frame before only.
     """
-    steps = df.groupBy(episode).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), reward.cast("double").alias("r"), done.cast("double").alias("d"), value.cast("double").alias("v")))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("adv"), F.lit(0.0).alias("next_v"), F.array().cast("array<struct<o:bigint,adv:double>>").alias("out"))
 
-    def fold(acc, x):
-        delta = x["r"] + gamma * acc["next_v"] * (1 - x["d"]) - x["v"]
-        adv = delta + gamma * lam * (1 - x["d"]) * acc["adv"]
-        return F.struct(adv.alias("adv"), x["v"].alias("next_v"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), adv.alias("adv")))).alias("out"))
-
-    folded = steps.select(episode, F.aggregate(F.reverse("s"), start, fold)["out"].alias("out"))
-    return folded.select(episode, F.explode("out").alias("x")).select(episode, F.col("x.o").alias(order), F.col("x.adv").alias("advantage"))
+    def run(batches):
+        now, adv, after, first = None, 0.0, 0.0, True
+        for batch in batches:
+            out = []
+            for e, r, d, v in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if first or e != now:
+                    now, adv, after, first = e, 0.0, 0.0, False
+                adv = r + gamma * after * (1 - d) - v + gamma * lam * (1 - d) * adv
+                after = v
+                out.append(adv)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], [episode, order, "advantage"])
+
+    kinds = dict(df.dtypes)
+    rows = df.select(episode, order, reward.cast("double").alias("_r"), done.cast("double").alias("_d"), value.cast("double").alias("_v"))
+    return rows.repartition(episode).sortWithinPartitions(F.col(episode), F.desc(order)).mapInArrow(run, f"{episode} {kinds[episode]}, {order} {kinds[order]}, advantage double")

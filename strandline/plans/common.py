@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.sources.tables import table
@@ -16,6 +19,17 @@ def frames(spark, root):
     )
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for the files of a query below ``spark.checkpoint.dir``; on one machine without it a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="strandline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: CTE ``f``: the same frames.
 FRAMES = """f AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame,
                   event_id, ts, event_type, value, props FROM events)"""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import edits as E
+from strandline.operators import ranks
 from strandline.operators import sampling as S
 from strandline.plans.common import FRAMES, frames
 from strandline.sources.tables import table
@@ -49,9 +50,9 @@ def two_level(spark, root):
     d = docs(spark, root)
     w = d.groupBy("lang").agg(F.count("*").cast("double").alias("w"))
     draws = S.mixture_draws(w, "lang", "w", 3000, 9)
-    r = d.select("lang", "doc_id", (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("k"))
+    r = ranks.position(d, "doc_id", ["lang"], name="k").select("lang", "doc_id", "k")
     n = d.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = draws.join(F.broadcast(n), "lang").withColumn("k", F.floor(S.hash_unit(10, c("draw")) * c("n")))
+    picked = draws.join(n, "lang").withColumn("k", F.floor(S.hash_unit(10, c("draw")) * c("n")))
     return picked.join(r, ["lang", "k"]).select("draw", "doc_id")
 
 
@@ -75,8 +76,8 @@ def rank_drop(spark, root):
 def workers(spark, root):
     """Rank by id modulo 4, then contiguous parts of 3 workers."""
     d = docs(spark, root).select("doc_id", (c("doc_id") % 4).alias("rank"))
-    w = Window.partitionBy("rank")
-    return d.select("doc_id", "rank", F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) * 3 / F.count("*").over(w)).alias("worker"))
+    r = ranks.position(d, "doc_id", ["rank"], name="place")
+    return r.select("doc_id", "rank", F.floor(c("place") * 3 / c("total")).alias("worker"))
 
 
 def repeats(spark, root):
@@ -153,8 +154,19 @@ def splits(spark, root):
 
 def last_as_validation(spark, root):
     """The mask that always takes the last episode; ``split`` is the sane default."""
-    last = F.max("doc_id").over(Window.partitionBy("source"))
-    return docs(spark, root).select("doc_id", (c("doc_id") == last).alias("val"))
+    last = docs(spark, root).groupBy("source").agg(F.max("doc_id").alias("last"))
+    return docs(spark, root).join(last, "source").select("doc_id", (c("doc_id") == c("last")).alias("val"))
+
+
+def balanced(spark, root):
+    """Suppliers in order, each with its lines to the shard of the fewest lines so far."""
+    items = table(spark, root, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return S.greedy_balance(items, "l_suppkey", "l_suppkey", "n", 4)
+
+
+def catalog_order(spark, root):
+    """Place of each customer in the order of (nation, segment, key)."""
+    return E.reindex(table(spark, root, "customer").select("c_nationkey", "c_mktsegment", "c_custkey"), "c_custkey", "place", ["c_nationkey", "c_mktsegment"])
 
 
 def limited(spark, root):
@@ -197,5 +209,12 @@ QUERIES = [
     ("f19_delete", deleted, "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS new_doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"),
     ("u08_split", splits, f"WITH r AS (SELECT doc_id, {RANKED.format('', u("'21|' || doc_id"))} AS rank, count(*) OVER () AS n FROM documents) SELECT CASE WHEN rank < floor(n * 0.8 + 1e-9) THEN 'train' WHEN rank < floor(n * 0.9::DOUBLE + 1e-9) THEN 'val' END AS split, count(*) AS n, min(doc_id) AS first FROM r GROUP BY 1"),
     ("u09_last_as_validation", last_as_validation, "SELECT doc_id, doc_id = max(doc_id) OVER (PARTITION BY source) AS val FROM documents"),
+    ("o07_b08_greedy_balance", balanced, """
+        WITH RECURSIVE i AS (SELECT l_suppkey, n, row_number() OVER (ORDER BY l_suppkey) AS k FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)),
+        g AS (SELECT 0::BIGINT AS k, 0::BIGINT AS l_suppkey, [0, 0, 0, 0]::BIGINT[] AS used, -1::BIGINT AS shard, 0::BIGINT AS before
+              UNION ALL SELECT i.k, i.l_suppkey, list_transform(used, lambda x, j: CASE WHEN j = list_position(used, list_min(used)) THEN x + i.n ELSE x END), list_position(used, list_min(used)) - 1, list_min(used)
+              FROM g JOIN i ON i.k = g.k + 1)
+        SELECT l_suppkey, shard, before FROM g WHERE k > 0"""),
+    ("o02_catalog_order", catalog_order, "SELECT c_nationkey, c_mktsegment, c_custkey, row_number() OVER (ORDER BY c_nationkey, c_mktsegment, c_custkey) - 1 AS place FROM customer"),
     ("o05_limits", limited, "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 3 ORDER BY 1, 2 LIMIT 10"),
 ]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from strandline.plans.common import fresh_folder
+from strandline.sources.tables import table
 from strandline.streaming import events as E
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -14,8 +13,7 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def _run(spark, root, make, mode):
     """The last state of a streaming plan over the log, as a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = fresh_folder(spark, "stream")
     log = E.read_log(spark, f"{root}/event*.parquet", SCHEMA)
     return E.run_to_table(make(log), f"{at}/out", f"{at}/checkpoint", mode)
 
@@ -43,10 +41,23 @@ def budget(spark, root):
     return _run(spark, root, lambda log: E.call_budget(log, "event_type", "event_id", 50), "append")
 
 
+def moving(spark, root):
+    return _run(spark, root, lambda log: E.moving_mean(log, "event_type", "event_id", "value", 50, 25), "append").select("event_type", "seen", F.round("mean", 6).alias("mean"))
+
+
+def resumed(spark, root):
+    """Events left to do after a run that ended in the middle: the log so far is a streaming table, terminal ones go."""
+    log = table(spark, root, "events")
+    done = _run(spark, root, lambda s: s.filter("event_id % 3 = 0").selectExpr("event_id", "if(value > 50, 'accepted', if(value > 20, 'rejected', 'technical')) AS status"), "append")
+    return E.resumed(log.select("event_id"), done, "event_id")
+
+
 QUERIES = [
     ("x01_stream_counts", counts, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY 1"),
     ("x06_stream_slots", slots, "SELECT user_id, epoch_us(time_bucket(INTERVAL 12 hours, ts)) AS slot, arg_min(value, (ts, event_id)) AS observation, arg_max(value, (ts, event_id)) AS action, count(*) AS n FROM events GROUP BY 1, 2"),
     ("x_stream_sliding", sliding, "WITH b AS (SELECT epoch_us(time_bucket(INTERVAL 1 day, ts)) AS d, event_type FROM events) SELECT d - k * 86400000000 AS start, event_type, count(*) AS n FROM b, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2"),
     ("x_stream_sessions", sessions, "WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 1 day THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n, max(value) AS most FROM s GROUP BY user_id, k"),
+    ("x05_stream_moving", moving, "WITH w AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seen, avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS mean FROM events) SELECT event_type, seen, round(mean, 6) AS mean FROM w WHERE seen % 25 = 0"),
+    ("x03_stream_resumed", resumed, "SELECT event_id FROM events WHERE NOT (event_id % 3 = 0 AND value > 20)"),
     ("x02_stream_budget", budget, "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 50 AS allowed FROM events"),
 ]

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.operators import contracts as C
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _line from 1, raw) of text files of any size; a file may be read by many tasks.
+
+    A task numbers the lines that it reads; those of one part of a file are numbered in a row, so a line's number is its
+    place in its part and the lines of the file's earlier parts.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("raw"))
+    parts = text.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_start")) - F.col("_n")
+    parts = parts.select("_file", "_start", "_first", before.alias("_before"))
+    return text.join(parts, ["_file", "_start"]).select("_file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("_line"), "raw")
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, violations) of JSON lines.
 
     A record has ``_file`` and ``_line`` (from 1 inside its file). Blank lines, bad JSON, values that are no object and,
-    with ``keys``, missing or extra keys are violations (file, line, reason). A file is read whole by one task, as its
-    lines are numbered in order.
+    with ``keys``, missing or extra keys are violations (file, line, reason).
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", r"\r?\n$", "").alias("_all"))
-    lines = text.select("_file", F.posexplode(F.split("_all", r"\r?\n")).alias("_n", "raw")).select("_file", (F.col("_n") + 1).alias("_line"), "raw")
+    lines = numbered_lines(spark, path)
     is_object = F.coalesce(F.try_parse_json("raw").isNotNull() & F.json_object_keys("raw").isNotNull() & F.ltrim("raw").startswith("{"), F.lit(False))
     reason = F.when(F.trim("raw") == "", "blank line").when(F.try_parse_json("raw").isNull(), "bad JSON").when(~is_object, "no object")
     if keys is not None:
@@ -67,7 +78,7 @@ def episodes(meta: DataFrame, task_table: DataFrame, fps: float, excluded_kind:
     ``meta``: episode_index, tasks array<string>, length, dataset_from_index, dataset_to_index, from_timestamp,
     to_timestamp. One task each, known in the table; bounds and duration must fit the length.
     """
-    t = meta.withColumn("text", F.get("tasks", F.lit(0))).join(F.broadcast(task_table), "text", "left")
+    t = meta.withColumn("text", F.get("tasks", F.lit(0))).join(task_table, "text", "left")
     rules = {
         "one task": F.size("tasks") == 1,
         "known task": F.col("task_index").isNotNull(),
@@ -114,5 +125,11 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return found.select(at.alias("dataset"), F.decode("content", "UTF-8").alias("content")).filter("dataset <> ''")
 
 
+def discover_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of whole small files such as metadata documents."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.select("path", F.decode("content", "UTF-8").alias("content"))
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)

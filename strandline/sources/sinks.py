@@ -50,3 +50,24 @@ def summary(df: DataFrame, path: str, kind: str = "csv") -> None:
 def convert(df: DataFrame, columns: dict[str, str], path: str) -> None:
     """Canonical schema (target name -> expression) written as Parquet: the shape of all format converters."""
     df.select(*[F.expr(e).alias(n) for n, e in columns.items()]).write.mode("errorifexists").parquet(path)
+
+
+def track(metrics: DataFrame, path: str, run: str) -> None:
+    """Append metrics (step, name, value) of a run to its log of JSON lines."""
+    append_events(metrics.select(F.lit(run).alias("run"), "step", "name", F.col("value").cast("double").alias("value"), F.current_timestamp().alias("at")), path)
+
+
+def tracked(logged: DataFrame) -> DataFrame:
+    """(run, step, name, value): of values logged again for one step the last counts."""
+    return logged.groupBy("run", "step", "name").agg(F.max_by("value", "at").alias("value"))
+
+
+def episode_stats(frames: DataFrame, episode: str, values: list[str]) -> DataFrame:
+    """(episode, stats): per value its min, max, mean, deviation and count, nested as metadata of an episode."""
+    of = lambda v: F.struct(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("count"))
+    return frames.groupBy(episode).agg(F.struct(*[of(v).alias(v) for v in values]).alias("stats"))
+
+
+def moved_stats(frames: DataFrame, path: str, episode: str, values: list[str]) -> None:
+    """Statistics moved out of the data set's summary into one JSON line per episode."""
+    episode_stats(frames, episode, values).write.mode("errorifexists").json(path)

@@ -62,6 +62,26 @@ def call_budget(calls: DataFrame, key: str, ident: str, limit: int) -> DataFrame
     return calls.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, allowed boolean", "used long", "append", "NoTimeout")
 
 
+def moving_mean(log: DataFrame, key: str, ident: str, value: str, length: int, every: int) -> DataFrame:
+    """(key, seen, mean): the mean of a key's last ``length`` values, given out after each ``every`` of them.
+
+    Values count in order of arrival, those of one batch in order of ``ident``; the last values are state.
+    """
+
+    def run(name, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen, last = state.get if state.exists else (0, [])
+        new = pd.concat(frames).sort_values(ident)[value]
+        values = pd.Series([*last, *new])
+        means = values.rolling(length, min_periods=1).mean().iloc[len(last) :]
+        numbers = seen + 1 + pd.RangeIndex(len(new))
+        state.update((seen + len(new), values.iloc[-length + 1 :].tolist() if length > 1 else []))
+        out = pd.DataFrame({key: name[0], "seen": numbers, "mean": means.to_numpy()})
+        yield out[out["seen"] % every == 0]
+
+    kind = dict(log.dtypes)[key]
+    return log.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seen long, mean double", "seen long, last array<double>", "append", "NoTimeout")
+
+
 def resumed(work: DataFrame, finished: DataFrame, ident: str, terminal: tuple[str, ...] = ("accepted", "rejected")) -> DataFrame:
     """Work that has no terminal status yet; everything else is done again."""
     return work.join(finished.filter(F.col("status").isin(*terminal)).select(ident), ident, "left_anti")
