@@ -25,11 +25,27 @@ BUCKETS = 1 << 14
 MIX = np.uint32(0x9E3779B1)
 
 
+#: Runs of anything but letters, digits aside that are no decimals ("½", "²").
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @cache
-def _not_letters() -> re.Pattern:
-    """Runs of anything but letters (categories L*): what is no word character, and of those digits and other numbers."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _numbers() -> dict[int, str]:
+    """The word characters that are neither letters (categories L*) nor decimal digits, each to become a blank."""
+    return {i: " " for i in range(0x80, 0x110000) if chr(i).isalnum() and not chr(i).isalpha() and not chr(i).isdecimal()}
+
+
+@cache
+def _number_marks() -> frozenset[str]:
+    return frozenset(map(chr, _numbers()))
+
+
+def letters(text: str | None) -> list[str]:
+    """Runs of letters of the lower-cased text; the first and the last may be empty."""
+    text = (text or "").lower()
+    if not text.isascii() and not _number_marks().isdisjoint(text):
+        text = text.translate(_numbers())
+    return NOT_LETTERS.split(text)
 
 
 @dataclass(frozen=True)
@@ -50,8 +66,7 @@ class Settings:
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(document number, bucket) of each byte trigram of each text's lower-cased letters."""
-    split = _not_letters().split
-    clean = [" ".join(["", *split((t or "").lower()), ""]).replace("  ", " ").encode() for t in texts]
+    clean = [" ".join(["", *letters(t), ""]).replace("  ", " ").encode() for t in texts]
     clean = [c if len(c) > 2 else b"" for c in clean]
     data = np.frombuffer(b"".join(clean), np.uint8).astype(np.uint32)
     doc = np.repeat(np.arange(len(clean)), [len(c) for c in clean])
