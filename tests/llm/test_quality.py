@@ -60,6 +60,55 @@ def test_distance_is_jensen_shannon():
     assert quality.distances(np.zeros((1, 3)), q)[0] == 0
 
 
+def test_verdicts_against_brute_force(spark, tmp_path):
+    """References, distances and verdicts counted anew from the definition, two languages with references of their own."""
+    rng = random.Random(12)
+    stems = {"en": "the of and to in house tree river walk light".split(), "de": "der die und das nicht haus baum fluss weg licht".split()}
+    prose = lambda lang, n: " ".join(w + rng.choice(["", "", "s", "en", "er", "ly", "st", "il"]) + rng.choice(["", "", ".", ","]) for w in rng.choices(stems[lang], range(10, 0, -1), k=n))
+    rows = [(i, prose(lang, rng.randrange(20, 300)), lang) for i, lang in enumerate(["en", "de"] * 45)]
+    rows += [(100 + i, " ".join(f"{rng.choice('#*&|')}{rng.randrange(10**rng.randrange(1, 7))}" for _ in range(rng.randrange(60, 200))), rng.choice(["en", "de", None])) for i in range(15)]
+    rows += [(200 + i, prose("en", 60) + " " + " ".join(f"Q{rng.randrange(10**5)}" for _ in range(20 * i)), "en") for i in range(12)]
+    rules = quality.Rules()
+    kind = lambda ch: "space" if ch in " \t\n\x0b\x0c\r" else "lower" if "a" <= ch <= "z" else "upper" if "A" <= ch <= "Z" else "digit" if ch in "0123456789" else "stop" if ch in ".,;:!?\"'()" else "symbol" if ch in "#*$%&|<>" else "wide" if ord(ch) > 127 else "other"
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(ch for ch in t if kind(ch) != "stop").lower()) if w]
+
+    def distance(p, q):
+        p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (p, q))
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p | q}
+        side = lambda x: sum(v * math.log2(v / m[k]) for k, v in x.items() if v)
+        return math.sqrt(max(0, (side(p) + side(q)) / 2))
+
+    refs = []
+    for lang in ("de", "en"):
+        classes, seen = Counter(), Counter()
+        for _, t, x in rows:
+            if x == lang:
+                classes.update(map(kind, t))
+                seen.update(words(t))
+        assert seen.total() >= rules.reference_words
+        top = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: rules.common_words]]
+        shares = Counter({w: seen[w] for w in top})
+        shares[""] = seen.total() - shares.total()
+        refs.append((classes, shares))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = quality.op4(spark, str(tmp_path))
+    assert found.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got, verdicts = {r.doc_id: r for r in found.collect()}, Counter()
+    for i, t, _ in rows:
+        n, failed = len(re.findall(r"[^\x20\x09-\x0D]+", t)), brute(t)[5]
+        classes, mine = Counter(map(kind, t)), words(t)
+        by = []
+        for ref_classes, ref_words in refs:
+            known = Counter(w if w in ref_words else "" for w in mine)
+            by.append((distance(known, ref_words) if n >= rules.word_min_words else 0, distance(classes, ref_classes)))
+        word_d, class_d = min(by)
+        chars = sum(v for k, v in classes.items() if k != "space")
+        kept = not failed and (chars < rules.class_min_chars or class_d <= rules.class_distance + rules.class_noise / chars**0.5) and (n < rules.word_min_words or word_d <= rules.word_distance + rules.word_noise / n**0.5)
+        assert got[i].kept == kept and abs(got[i].class_distance - class_d) < 1e-9 and abs(got[i].word_distance - word_d) < 1e-9, i
+        verdicts[kept, failed] += 1
+    assert all(verdicts[x] > 3 for x in ((True, False), (False, True), (False, False))), verdicts
+
+
 def test_empty_and_repeated(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     assert quality.judge(spark.createDataFrame([(1, "a b", None), (1, "a b", None)], "doc_id long, text string, lang string")).count() == 2

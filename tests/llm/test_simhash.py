@@ -95,3 +95,15 @@ def test_local_stars_reach_all():
     values = np.array([0, 1, 3, 7, 255 << 20], np.int64)
     u, v = simhash.local_stars(values, 1)
     assert dict(zip(u.tolist(), v.tolist())) == {1: 0, 3: 0, 7: 0}
+
+
+def test_the_query_and_a_long_text(spark, tmp_path):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(250_000))
+    rows = [(5, "a b c d"), (3, "A B  C D"), (7, long), (9, long + " end"), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = simhash.op10(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "fingerprint", "component_id"]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in found.collect()}
+    want = {i: brute_print(t) for i, t in rows}
+    assert got == {i: (f"{want[i]:016x}", c) for i, c in brute_components(want).items()}
