@@ -2,8 +2,8 @@
 
 For every participant of a conversation the whole dialogue is rendered with that speaker as ``assistant``, all others as
 named users and system messages as they are; only the assistant's content and its end mark are trained on. A rendering
-is a table of segments with character offsets, so a conversation of any length stays spread over tasks: lengths add up
-inside blocks of turns first and then over the blocks.
+is a table of segments with character offsets, so a conversation of any length stays spread over tasks: messages are
+range-partitioned in their order, lengths add up inside the parts first and then over them.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from strandline.llm._shared import written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Turns of one block of offsets.
-BLOCK_TURNS = 256
+#: Characters of a text by which messages of one turn and speaker are dealt to parts.
+PREFIX = 64
 
 
 def plain(text: Column) -> Column:
@@ -23,10 +23,6 @@ def plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
 
 
-def _block(turn: Column) -> Column:
-    return F.coalesce(F.floor(turn / BLOCK_TURNS), F.lit(-(1 << 62)))
-
-
 def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, perspective, turn, speaker, role, segment, seg_start, seg_end, train_start, train_end).
 
@@ -41,13 +37,16 @@ def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",)
     messages = conversations.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("speaker"), plain(F.coalesce(F.col(text_col), F.lit(""))).alias("content")
     )
+    # parts in order of the messages, however many of them have one turn or none; written, as ranges are sampled
+    dealt = messages.repartitionByRange("conv_id", "turn", "speaker", F.substring("content", 1, PREFIX))
+    messages = written(dealt.withColumn("block", F.spark_partition_id()), "messages")
     speakers = messages.filter(~F.col("speaker").isin(list(system_roles))).groupBy("conv_id", "speaker").agg(F.count("*").alias("_n"))
     speakers = written(speakers.select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")), "speakers")
     seen = messages.join(speakers, messages["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")
     mine, system = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(list(system_roles))
     role = F.when(mine, "assistant").when(system, "system").otherwise("user")
     head = F.concat(F.lit(START), role, F.when(mine | system, F.lit("")).otherwise(F.concat(F.lit(" name="), F.translate(plain(F.col("speaker")), "\r\n", "  "))), F.lit("\n"))
-    seen = seen.select("conv_id", "perspective", "turn", "speaker", "content", role.alias("role"), head.alias("head"), F.concat(head, F.col("content"), F.lit(END)).alias("segment"), _block(F.col("turn")).alias("block"))
+    seen = seen.select("conv_id", "perspective", "turn", "speaker", "content", role.alias("role"), head.alias("head"), F.concat(head, F.col("content"), F.lit(END)).alias("segment"), "block")
     seen = seen.withColumn("n", F.length("segment").cast("long"))
     order = Window.partitionBy("conv_id", "perspective", "block").orderBy("turn", "speaker", "content")
     inside = written(seen.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")), "segments")

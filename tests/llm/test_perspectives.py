@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pandas as pd
 
@@ -43,6 +45,17 @@ def perspectives_text(text):
     return text.replace("<|im_", "< |im_")
 
 
+def test_one_turn_for_all_messages(spark):
+    """Null and equal turns leave the order to speaker and text; offsets go on over all parts."""
+    rng = random.Random(6)
+    rows = [(1, None if i % 3 else 4, rng.choice(["ann", "bob"]), "x" * rng.randrange(5) + f"{rng.randrange(40):03d}") for i in range(800)] + [(1, None, "cy", "same")] * 30
+    got = perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"})  # noqa: F841
+    want = duckdb.connect().execute("SELECT perspective, seg_start, segment FROM (" + perspectives.SQL + ")").fetchall()
+    assert len({r.seg_start for r in got if r.perspective == "cy"}) == 830
+    assert sorted((r.perspective, r.seg_start, r.segment) for r in got) == sorted(want)
+
+
 def test_the_query(spark, tmp_path):
     spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     talks = {c: [r for r in ROWS if r[0] == c] for c in {r[0] for r in ROWS}}
