@@ -2,11 +2,12 @@
 
 References come from the corpus: for each language the histogram of character classes over all of its documents and
 its commonest words with their shares. A document is compared with every reference by Jensen-Shannon distance (base 2,
-square root, so 0 to 1) and judged by the nearest one: by words, or by classes where it is too short for words. A histogram of few draws is far from anything by chance, so each
+square root, so 0 to 1) and kept if it is near one of them by classes and by words. A histogram of few draws is far from anything by chance, so each
 comparison has a minimum length; below it the document passes that comparison.
 
 A language of few words gives a reference as well, but only for its own documents, and with more tolerance the fewer
-words there are: its reference is a draw itself.
+words there are: its reference is a draw itself. By classes they may be near the whole corpus instead, as a histogram of
+few documents follows whatever noise is among them.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ class References:
     classes: np.ndarray
     words: list[list[bytes]]
     shares: np.ndarray
-    #: Language of few words -> (class shares, rank of each common word, word shares, words, characters).
+    #: Language of few words -> (class shares, its own and those of the whole corpus, rank of each common word, word shares, words, characters).
     few: dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray, int, int]] = field(default_factory=dict)
 
 
@@ -187,8 +188,11 @@ def _references(docs: DataFrame, rules: Rules, lang_col: str, text_col: str) ->
         counts[0] = 0  # continuation bytes
         return counts / max(counts.sum(), 1)
 
+    everything = sum(hist.values(), np.zeros(N_CLASSES)) * (np.arange(N_CLASSES) > 0)
+    everything /= max(1, everything.sum())
+
     small = {
-        lang: (classes_of(lang), {bytes(r.word): i + 1 for i, r in enumerate(common[lang])}, shares_of(lang), totals[lang], int(hist[lang][2:].sum())) for lang in few
+        lang: (np.stack([classes_of(lang), everything]), {bytes(r.word): i + 1 for i, r in enumerate(common[lang])}, shares_of(lang), totals[lang], int(hist[lang][2:].sum())) for lang in few
     }
     return References(np.array([classes_of(x) for x in kept]), [[bytes(r.word) for r in common[x]] for x in kept], np.array([shares_of(x) for x in kept]), small)
 
@@ -207,7 +211,7 @@ def distance_to_few(hist: np.ndarray, words: list[bytes], few: tuple, rules: Rul
     row[0] = found.total() - row.sum()
     # nothing at the bound, where the language gives a reference for all
     lack = max(0.0, 1 - (n_words / rules.reference_words) ** 0.5)
-    class_d, word_d = distances(hist[None, :], classes)[0], distances(row[None, :], shares)[0]
+    class_d, word_d = min(distances(hist[None, :], c)[0] for c in classes), distances(row[None, :], shares)[0]
     return class_d, rules.class_noise * lack / max(1, n_chars) ** 0.5, word_d, rules.word_noise * lack / max(1, n_words) ** 0.5
 
 
@@ -245,13 +249,15 @@ def _judge(refs: References, rules: Rules):
                 chars = hist.sum(1) - hist[:, 1]
                 word_d = np.array([distances(shares[k], refs.shares[k]) for k in range(len(ranks))])
                 class_d = np.array([distances(hist, refs.classes[k]) for k in range(len(ranks))])
-                nearest = np.where(base[:, 0] >= rules.word_min_words, word_d.argmin(0), class_d.argmin(0))
-                word_d, class_d = word_d[nearest, np.arange(b - a)], class_d[nearest, np.arange(b - a)]
                 failed = (base[:, 0] < 50) | (100 * base[:, 2] > 50 * base[:, 0])
                 class_most = rules.class_distance + rules.class_noise / np.sqrt(np.maximum(chars, 1))
                 word_most = rules.word_distance + rules.word_noise / np.sqrt(np.maximum(base[:, 0], 1))
                 short = chars < rules.class_min_chars, base[:, 0] < rules.word_min_words
-                like = (short[0] | (class_d <= class_most)) & (short[1] | (word_d <= word_most))
+                like = (short[0] | (class_d <= class_most)) & (short[1] | (word_d <= word_most))  # references x documents
+                # the distances told are those of the nearest reference that takes the document, or of the nearest one
+                far = np.where(short[1], class_d, word_d) + 2 * (like.any(0) & ~like)
+                nearest, every = far.argmin(0), np.arange(b - a)
+                word_d, class_d, like = word_d[nearest, every], class_d[nearest, every], like.any(0)
                 like_own = (short[0] | (own[:, 0] <= class_most + own[:, 1])) & (short[1] | (own[:, 2] <= word_most + own[:, 3]))
                 # both distances are those of one reference: its own where only that takes the document, else the nearest
                 by_own = np.isfinite(own[:, 0]) & (like_own & ~like | ~like & (own[:, 2] < word_d))

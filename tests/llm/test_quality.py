@@ -101,9 +101,10 @@ def test_verdicts_against_brute_force(spark, tmp_path):
         for ref_classes, ref_words in refs:
             known = Counter(w if w in ref_words else "" for w in mine)
             by.append((distance(known, ref_words) if n >= rules.word_min_words else 0, distance(classes, ref_classes)))
-        word_d, class_d = min(by)
         chars = sum(v for k, v in classes.items() if k != "space")
-        kept = not failed and (chars < rules.class_min_chars or class_d <= rules.class_distance + rules.class_noise / chars**0.5) and (n < rules.word_min_words or word_d <= rules.word_distance + rules.word_noise / n**0.5)
+        near = [x for x in by if (chars < rules.class_min_chars or x[1] <= rules.class_distance + rules.class_noise / chars**0.5) and (n < rules.word_min_words or x[0] <= rules.word_distance + rules.word_noise / n**0.5)]
+        word_d, class_d = min(near or by)
+        kept = not failed and bool(near)
         assert got[i].kept == kept and abs(got[i].class_distance - class_d) < 1e-9 and abs(got[i].word_distance - word_d) < 1e-9, i
         verdicts[kept, failed] += 1
     assert all(verdicts[x] > 3 for x in ((True, False), (False, True), (False, False))), verdicts
