@@ -7,8 +7,8 @@ probability 0.998. Every pair at the threshold or above that shares a bucket is
 
 * In a bucket of up to ``PAIRS`` documents all pairs are compared.
 * In a larger one every document is first compared with the bucket's least and greatest document and with the lesser
-  document whose fingerprint is nearest to its own (among ``SMALL`` documents about). What these links leave apart is
-  joined exactly: shingles are ordered from the rarest to the commonest, and two sets of sizes a <= b at threshold t
+  document whose fingerprint is nearest to its own (among ``SMALL`` documents about). Buckets that
+  these links leave apart are joined exactly: shingles are ordered from the rare to the commonest, and two sets of sizes a <= b at threshold t
   share one among the first a - ceil(2ta/(1+t)) + 1 of the smaller and the first b - ceil(tb) + 1 of the larger; the
   first one that they share leaves room for an overlap of t(a+b)/(1+t). A passage that a whole group shares comes last
   in this order, so strangers of the group don't meet.
@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import simhash
@@ -37,6 +37,9 @@ PAIRS = 32
 SMALL = 1024
 #: How far below the threshold a sketch of a larger set must be to drop a pair.
 MARGIN = 0.15
+#: One of so many documents is asked how common shingles are, and the most common ones that are told apart by their
+#: counts (16 bytes each are broadcast). The order of shingles steers the work; with any order all pairs are met.
+COUNTED, MOST_COMMON = 8, 4_000_000
 #: Shingle hashes in one batch of rows.
 POSTINGS = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -123,13 +126,49 @@ def _sets(words: int):
     return run
 
 
-def _postings(batches):
+def _counted(batches):
+    """(doc_id, hashes) -> (s, n): how many of these documents have a shingle."""
     for batch in batches:
-        for doc, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = np.frombuffer(hashes.as_py(), np.int64)
-            for at in range(0, len(found), POSTINGS):
-                part = found[at : at + POSTINGS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(found))), pa.array(part)], ["doc_id", "size", "s"])
+        held = [np.zeros(0, np.int64)]
+        for hashes in batch.column(1):
+            held.append(np.frombuffer(hashes.as_py(), np.int64))
+            if sum(map(len, held)) > POSTINGS:
+                held = [np.concatenate(held)]
+                yield _unique(held.pop())
+                held = [np.zeros(0, np.int64)]
+        yield _unique(np.concatenate(held))
+
+
+def _unique(hashes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(hashes, return_counts=True)], ["s", "n"])
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of a set in order of (how common, hash) by which any set as similar as ``threshold`` is met;
+    ``common`` are the ascending common shingles, ``often`` how often they occur, all others count as equally rare."""
+    at = np.searchsorted(common, hashes)
+    known = at < len(common)
+    known[known] = common[at[known]] == hashes[known]
+    weight = np.zeros(len(hashes), np.int64)
+    weight[known] = often[at[known]]
+    keep = len(hashes) - int(np.ceil(threshold * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, weight))[:keep]]
+
+
+def _prefixes(common, often, threshold: float):
+    """(doc_id, hashes) -> (doc_id, size, s, at): the prefix of each set, ``at`` counting from 0."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(hashes.as_py(), np.int64)
+                first = prefix(found, common.value, often.value, threshold)
+                for k in range(0, len(first), POSTINGS):
+                    part = first[k : k + POSTINGS]
+                    columns = [np.full(len(part), doc), np.full(len(part), len(found)), part, np.arange(k, k + len(part))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "size", "s", "at"])
+
+    return run
 
 
 def _all_pairs(batches):
@@ -172,12 +211,20 @@ def _nearest(batches):
 
 def _apart(sets: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
     """(u, v), u > v, of different components: all pairs of ``sets`` (doc_id, hashes) that can reach the threshold."""
-    posts = sets.mapInArrow(_postings, "doc_id long, size long, s long")
-    shared = posts.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-    document = Window.partitionBy("doc_id")
-    # a document's shingles that no other one has come before those shared
-    at = F.col("size") - F.count("*").over(document) + F.row_number().over(document.orderBy("n", "s")) - 1
-    first = posts.join(shared, "s").withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9))
+    some = sets.filter(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0)
+    counts = some.mapInArrow(_counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = written(counts, "common-shingles")
+    # at most MOST_COMMON shingles are told apart by their counts; where more are common, rare means less rare
+    rare = 1
+    while (found := counts.filter(F.col("n") > rare)).count() > MOST_COMMON:
+        rare *= 2
+    table = found.orderBy("s").toArrow()
+    context = sets.sparkSession.sparkContext
+    common, often = (context.broadcast(table.column(c).to_numpy()) for c in ("s", "n"))
+    first = sets.mapInArrow(_prefixes(common, often, threshold), "doc_id long, size long, s long, at long")
+    first = written(first, "all-prefixes")
+    shared = first.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
+    first = first.join(shared, "s")
     labels = components.select(F.col("node").alias("doc_id"), "component")
     first = first.join(labels, "doc_id", "left").select("doc_id", "size", "s", "at", F.coalesce("component", "doc_id").alias("c"))
     first = written(first, "prefixes")
@@ -233,9 +280,15 @@ def near_links(rows: DataFrame, words: int = 5, threshold: float = 0.8) -> tuple
         return written(compared.filter("not open").select("u", "v").unionByName(decided), "links")
 
     links = judged(pairs)
-    crowd = written(many.select("doc_id").distinct(), "crowd")
-    if not crowd.isEmpty():
-        links = links.unionByName(judged(_apart(sets_of(crowd, "crowd-sets"), connected_components(links), threshold)))
+    if not many.isEmpty():
+        found = connected_components(links)
+        # a bucket whose documents are connected already has no pair left to find
+        placed = many.select("t", "k", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("t", "k", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        placed = written(placed, "placed")
+        apart = written(placed.groupBy("t", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t", "k"), "apart")
+        crowd = written(placed.join(apart, ["t", "k"]).select("doc_id").distinct(), "crowd")
+        if not crowd.isEmpty():
+            links = links.unionByName(judged(_apart(sets_of(crowd, "crowd-sets"), found, threshold)))
     return twins, links
 
 

@@ -143,6 +143,22 @@ def test_long_texts_are_judged_by_their_whole_sets(spark):
     assert {r.doc_id for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_prefixes_of_similar_sets_meet():
+    """Whatever is common: sets of 0.8 similarity or more share a shingle of their prefixes."""
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(300):
+        pool = rng.choice(1 << 40, 60, replace=False)
+        a = np.sort(rng.choice(pool, rng.integers(5, 55), replace=False))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.92], rng.choice(pool, 3)])
+        common = np.sort(rng.choice(pool, 20, replace=False))
+        often = rng.integers(2, 50, 20)
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            met += 1
+            assert len(np.intersect1d(neardup.prefix(a, common, often, 0.8), neardup.prefix(b, common, often, 0.8)))
+    assert met > 50
+
+
 def test_prefix_join_matches_brute_force(spark, monkeypatch):
     """With every bucket taken for a large one the groups are those of all pairs."""
     monkeypatch.setattr(neardup, "PAIRS", 1)
