@@ -99,7 +99,8 @@ def test_sampler_invariants(spark):
     assert sorted(map(tuple, sampling.group_batches(df, "id", "task", "id", 8, 5, 1, 1).collect())) != sorted(map(tuple, b))
     parts = sampling.allocate(spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 1.0)], "n string, w double"), "n", "w", 10).collect()
     assert sum(r.part for r in parts) == 10 and min(r.part for r in parts) >= 1
-    assert sampling.greedy_balance([(1, 5), (2, 4), (3, 3), (4, 2)], 2) == {1: 0, 2: 1, 3: 1, 4: 0}
+    items = spark.createDataFrame([(3, 3), (1, 5), (4, 2), (2, 4)], "item int, n int").repartition(3)
+    assert {r.item: r.shard for r in sampling.greedy_balance(items, "item", "item", "n", 2).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
 def test_trees(spark):
