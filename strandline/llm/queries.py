@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import chunks, decontaminate, langid, packing, perspectives, quality, reshard, simhash, suffix, warc
+from strandline.llm import audit, chunks, decontaminate, langid, mtree, packing, perspectives, quality, reshard, simhash, spelling, suffix, warc
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_packing": packing.op8,
         "op9_reshard": reshard.op9,
         "op10_simhash": simhash.op10,
+        "op11_spelling_variants": spelling.op11,
+        "op12_mtree_topk": mtree.op12,
+        "op13_filter_audit": audit.op13,
     }
 
 
 def oracle_sql():
-    return {"op1_warc": warc.SQL, "op5_perspectives": perspectives.SQL}
+    return {"op1_warc": warc.SQL, "op5_perspectives": perspectives.SQL, "op12_mtree_topk": mtree.SQL, "op13_filter_audit": audit.SQL}
