@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.joins import range_join
 from strandline.operators.ranks import blocked_rank, position
 
 #: Blocks of a seeded order: a million rows each at 10^12 rows.
 BLOCKS = 1 << 20
-#: Data sets of a mixture, whose shares are broadcast.
+#: Data sets of a mixture: their shares add up in one task.
 MOST_SETS = 100_000
 
 
@@ -35,15 +36,20 @@ def at_most(df: DataFrame, keys: list[str], ident: str, n: int, *seed) -> DataFr
 
 
 def mixture_draws(weights: DataFrame, name: str, weight: str, draws: int, seed: int) -> DataFrame:
-    """(draw, name): each draw takes a data set with its share of the weights; at most ``MOST_SETS`` data sets."""
-    if weights.limit(MOST_SETS + 1).count() > MOST_SETS:
+    """(draw, name): each draw takes a data set with its share of the weights.
+
+    A draw is a number in [0, 1) and looks for the share that holds it in its bucket of the unit interval: there are
+    as many buckets as data sets, so a bucket has few shares and a share few buckets on average.
+    """
+    count, total = weights.agg(F.count("*"), F.sum(weight)).first()
+    if not count:
+        return weights.sparkSession.createDataFrame([], f"draw long, {name} {dict(weights.dtypes)[name]}")
+    if count > MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} data sets in a mixture")
     w = Window.orderBy(name)
-    total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
     shares = weights.select(name, (F.sum(weight).over(w) / total).alias("_hi"), ((F.sum(weight).over(w) - F.col(weight)) / total).alias("_lo"))
-    spark = weights.sparkSession
-    u = spark.range(draws).select(F.col("id").alias("draw"), hash_unit(seed, F.col("id")).alias("_u"))
-    return u.join(F.broadcast(shares), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("draw", name)
+    u = weights.sparkSession.range(draws).select(F.col("id").alias("draw"), hash_unit(seed, F.col("id")).alias("_u"))
+    return range_join(u, "_u", shares, "_lo", "_hi", 1.0 / count).select("draw", name)
 
 
 def fractional_repeat(df: DataFrame, ident: str, frequency: float, *seed) -> DataFrame:
@@ -100,42 +106,117 @@ def group_batches(df: DataFrame, document: str, task: str, ident: str, groups: i
     return found.select("batch", document, task, F.col("slot").cast("long").alias("slot"), "sample", "valid")
 
 
-def budget_batches(df: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """``batch`` inside each key: rows in order, a new batch where the budget would be passed; a larger row stands alone.
-
-    The rule needs the rows of a key one after another: a task reads them in order, batch by batch, and remembers only
-    the open batch's size and number. A null size is none.
+class Waiting:
+    """Items that wait, in order of arrival. A tournament tree over their sizes finds the first one at or behind a place
+    that is small enough, in time logarithmic in their number."""
+
+    def __init__(self, leaves: int = 64):
+        self.live = self.total = 0
+        self._clear(leaves)
+
+    def _clear(self, leaves: int) -> None:
+        self._leaves, self._end, self._items = leaves, 0, [None] * leaves
+        self._least = [math.inf] * (2 * leaves)
+
+    def _set(self, place: int, size: float) -> None:
+        least, i = self._least, place + self._leaves
+        least[i] = size
+        while i > 1:
+            i >>= 1
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    def add(self, item, size: int) -> None:
+        if self._end == self._leaves:  # only what still waits moves, to twice its room
+            kept = [(x, s) for x, s in zip(self._items, self._least[self._leaves :]) if s < math.inf]
+            self.live = self.total = 0
+            self._clear(max(64, 1 << (2 * len(kept)).bit_length()))
+            for x, s in kept:
+                self.add(x, s)
+        self._items[self._end] = item
+        self._set(self._end, size)
+        self._end, self.live, self.total = self._end + 1, self.live + 1, self.total + size
+
+    def first(self, place: int, limit: float) -> int:
+        """The first place from here on whose size is at most ``limit``, or -1."""
+        if place >= self._leaves:
+            return -1
+        least, i = self._least, place + self._leaves
+        while least[i] > limit or least[i] == math.inf:
+            while i & 1:
+                i >>= 1
+            if not i:
+                return -1
+            i += 1
+        while i < self._leaves:
+            i = 2 * i if least[2 * i] <= limit and least[2 * i] < math.inf else 2 * i + 1
+        return i - self._leaves
+
+    def take(self, place: int):
+        size = self._least[place + self._leaves]
+        self._set(place, math.inf)
+        self.live, self.total = self.live - 1, self.total - size
+        return self._items[place], size
+
+    def batch(self, budget: int) -> list:
+        """The first item, whatever its size, and each later one that still fits, until the budget is used up."""
+        items, used, place = [], 0, 0
+        while used < budget:
+            place = self.first(place, budget - used if used else math.inf)
+            if place < 0:
+                break
+            item, size = self.take(place)
+            items.append(item)
+            used, place = used + size, place + 1
+        return items
+
+
+def budget_batches(df: DataFrame, keys: list[str], order: str, size: str, budget: int, buffer: int = 500) -> DataFrame:
+    """(keys, order, batch): items of a key in order of ``order``, first fit into batches of at most ``budget``.
+
+    Items wait in a buffer. Once it holds ``buffer`` items and ``budget`` in all, and again before each further item, a
+    batch takes the first item that waits, whatever its size, and then every later one that fits in what is left; the
+    others wait for later batches. At the end batches are formed until nothing waits. A null size is none.
+
+    The rule goes by what came before, so a key is read by one task; as loaders do it, make the worker a part of the key
+    to spread a large one. A task remembers the waiting items: ``buffer`` of them, or as many as it takes to reach the
+    budget.
     """
 
     def run(batches):
-        now, used, number = None, 0, -1
+        now, waiting, number, done = None, Waiting(), 0, []
+
+        def form():
+            nonlocal number
+            done.extend((*now, item, number) for item in waiting.batch(budget))
+            number += 1
+
+        def packed():
+            columns = list(zip(*done)) or [[]] * (len(keys) + 2)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        names, types = [*keys, order, "batch"], None
         for batch in batches:
-            names, out = batch.column(0).to_pylist(), np.zeros(batch.num_rows, np.int64)
-            sizes = batch.column(2).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < len(names):
-                end = next((i for i in range(at, len(names)) if names[i] != names[at]), len(names))
-                if number < 0 or names[at] != now:
-                    now, used, number = names[at], 0, 0
-                total = np.cumsum(sizes[at:end])
-                i = 0
-                while i < end - at:
-                    before = int(total[i - 1]) if i else 0
-                    j = int(np.searchsorted(total, before + budget - used, "right"))
-                    if used + (int(total[j - 1]) if j else 0) - before == 0:
-                        j = max(j, i) + 1  # nothing is in the batch yet: the next row goes in whatever its size
-                    j = min(max(j, i), end - at)
-                    out[at + i : at + j] = number
-                    used += (int(total[j - 1]) if j else 0) - before
-                    if j < end - at:
-                        used, number = 0, number + 1
-                    i = j
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], [key, order, "batch"])
+            types = types or [*batch.schema.types[:-1], pa.int64()]
+            lists = [batch.column(i).to_pylist() for i in range(len(keys) + 2)]
+            for *key, item, n in zip(*lists):
+                if key != now:
+                    while waiting.live:
+                        form()
+                    now, number = key, 0
+                elif waiting.live >= buffer and waiting.total >= budget:
+                    form()
+                waiting.add(item, n)
+            yield packed()
+        while waiting.live:
+            form()
+        if types:
+            yield packed()
 
     kinds = dict(df.dtypes)
-    rows = df.select(key, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, batch long")
+    rows = df.select(*keys, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + ", batch long"
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def greedy_balance(df: DataFrame, order: str, ident: str, size: str, shards: int) -> DataFrame:

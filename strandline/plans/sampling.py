@@ -99,20 +99,30 @@ def dropout(spark, root):
 
 
 def budget(spark, root):
-    return S.budget_batches(docs(spark, root), "source", "doc_id", "n_chars", 20000)
+    """First fit of documents into batches of 20,000 characters, for two workers of each source with ten waiting items."""
+    d = docs(spark, root).withColumn("worker", c("doc_id") % 2)
+    return S.budget_batches(d, ["source", "worker"], "doc_id", "n_chars", 20000, 10)
 
 
 def positions(spark, root):
     """Packed position ids: running lengths inside each batch of the budget rule."""
     b = budget(spark, root).join(docs(spark, root).select("doc_id", "n_chars"), "doc_id")
-    end = F.sum("n_chars").over(Window.partitionBy("source", "batch").orderBy("doc_id"))
-    return b.select("doc_id", (end - c("n_chars")).alias("start"), end.alias("stop"))
+    end = F.sum("n_chars").over(Window.partitionBy("source", "worker", "batch").orderBy("doc_id"))
+    return b.select("doc_id", "batch", (end - c("n_chars")).alias("start"), end.alias("stop"))
 
 
-BUDGET_SQL = """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-  r AS (SELECT source, doc_id, k, s AS used, 0::BIGINT AS batch FROM d WHERE k = 1
-        UNION ALL SELECT d.source, d.doc_id, d.k, CASE WHEN r.used > 0 AND r.used + d.s > 20000 THEN d.s ELSE r.used + d.s END, r.batch + CASE WHEN r.used > 0 AND r.used + d.s > 20000 THEN 1 ELSE 0 END
-        FROM r JOIN d ON d.source = r.source AND d.k = r.k + 1)"""
+#: One step of the recursion takes a batch from what waits, or lets the next item in, or both.
+BUDGET_SQL = """WITH RECURSIVE d AS (SELECT source, doc_id % 2 AS worker, {'i': doc_id, 's': n_chars} AS item, row_number() OVER w AS k, count(*) OVER (PARTITION BY source, doc_id % 2) AS n
+                                    FROM documents WINDOW w AS (PARTITION BY source, doc_id % 2 ORDER BY doc_id)),
+  r AS (SELECT source, worker, n, k, [item] AS waiting, -1::BIGINT AS batch, []::BIGINT[] AS taken FROM d WHERE k = 1
+        UNION ALL
+        SELECT source, worker, n, k + (next IS NOT NULL)::INT, list_filter(waiting, lambda x: NOT list_contains(now, x.i)) || CASE WHEN next IS NULL THEN [] ELSE [next] END, batch + (len(now) > 0)::INT, now
+        FROM (SELECT r.source, r.worker, r.n, r.k, waiting, batch, d.item AS next,
+                     CASE WHEN r.k = r.n OR (len(waiting) >= 10 AND list_sum(list_transform(waiting, lambda x: x.s)) >= 20000)
+                          THEN list_reduce(waiting, lambda a, x: CASE WHEN a.used < 20000 AND (a.used = 0 OR x.s <= 20000 - a.used) THEN {'used': a.used + x.s, 'ids': list_append(a.ids, x.i)} ELSE a END, {'used': 0::BIGINT, 'ids': []::BIGINT[]}).ids
+                          ELSE [] END AS now
+              FROM r LEFT JOIN d ON d.source = r.source AND d.worker = r.worker AND d.k = r.k + 1 WHERE len(waiting) > 0)),
+  b AS (SELECT source, worker, unnest(taken) AS doc_id, batch FROM r)"""
 
 
 def allocated(spark, root):
@@ -199,8 +209,8 @@ QUERIES = [
     ("b15_shard", shard, f"SELECT doc_id, CAST(floor({u("'shard|' || doc_id")} * 16) AS BIGINT) AS shard FROM documents"),
     ("b12_b14_u10_subsample", sub, f"SELECT source, doc_id FROM (SELECT source, doc_id, {RANKED.format('PARTITION BY source', u("'11|' || doc_id"))} AS rank FROM documents) WHERE rank < 5"),
     ("b13_dropout", dropout, f"SELECT doc_id, CASE WHEN {u("'drop|' || doc_id")} >= 0.3 THEN lang END AS goal FROM documents"),
-    ("b10_budget_batches", budget, BUDGET_SQL + " SELECT source, doc_id, batch FROM r"),
-    ("b11_positions", positions, BUDGET_SQL + ", q AS (SELECT r.*, d.s FROM r JOIN d USING (source, doc_id)) SELECT doc_id, CAST(sum(s) OVER w AS BIGINT) - s AS start, CAST(sum(s) OVER w AS BIGINT) AS stop FROM q WINDOW w AS (PARTITION BY source, batch ORDER BY doc_id)"),
+    ("b10_budget_batches", budget, BUDGET_SQL + " SELECT source, worker, doc_id, batch FROM b"),
+    ("b11_positions", positions, BUDGET_SQL + ", q AS (SELECT b.source AS src, worker, batch, doc_id, n_chars AS s FROM b JOIN documents USING (doc_id)) SELECT doc_id, batch, CAST(sum(s) OVER w AS BIGINT) - s AS start, CAST(sum(s) OVER w AS BIGINT) AS stop FROM q WINDOW w AS (PARTITION BY src, worker, batch ORDER BY doc_id)"),
     ("o08_b16_allocate", allocated, "WITH w AS (SELECT source, count(*)::DOUBLE AS w FROM documents GROUP BY 1), x AS (SELECT source, w / sum(w) OVER () * (64 - count(*) OVER ()) AS x, count(*) OVER () AS n FROM w), f AS (SELECT *, floor(x) AS f FROM x), r AS (SELECT *, 64 - n - sum(f) OVER () AS rest, row_number() OVER (ORDER BY x - f DESC, source) AS r FROM f) SELECT source, CAST(f + 1 + CASE WHEN r <= rest THEN 1 ELSE 0 END AS BIGINT) AS part FROM r"),
     ("v12_same_length", same_length, f"WITH t AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1), r AS (SELECT conv_id, turns, row_number() OVER (PARTITION BY turns ORDER BY {u("'2|' || conv_id")}, conv_id) - 1 AS rank FROM t) SELECT conv_id, turns, rank // 8 AS batch, rank % 8 AS slot, round({u("'6|' || turns || '|' || (rank // 8)")}, 9) AS place FROM r"),
     ("v13_o09_resume", skipped, f"SELECT * FROM (SELECT doc_id, {RANKED.format('', u("'8|0|' || doc_id"))} AS rank FROM documents) WHERE rank >= 300"),
