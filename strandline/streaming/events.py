@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +18,17 @@ def stage_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
 
 
-def slots(log: DataFrame, seconds: str, late: str = "1 hour") -> DataFrame:
-    """Time slots: the first arrival's value is the observation, the last one's the action; later data may still
-    rewrite a slot until the watermark passes."""
+def slots(log: DataFrame, seconds: str, late: str = "1 hour", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Time slots: the first value in ``order`` is the observation, the last one the action.
+
+    Give the order of arrival for accumulators whose first arrival wins and whose action is overwritten: late data then
+    rewrites a slot's action until the watermark passes, and never its observation.
+    """
     timed = log.withColumn("time", F.col("ts").cast("timestamp"))
     if timed.isStreaming:
         timed = timed.withWatermark("time", late)
-    order = F.struct("ts", "event_id")
-    return timed.groupBy("user_id", F.window("time", seconds).alias("slot")).agg(F.min_by("value", order).alias("observation"), F.max_by("value", order).alias("action"), F.count("*").alias("n"))
+    came = F.struct(*order)
+    return timed.groupBy("user_id", F.window("time", seconds).alias("slot")).agg(F.min_by("value", came).alias("observation"), F.max_by("value", came).alias("action"), F.count("*").alias("n"))
 
 
 def windowed(log: DataFrame, length: str, slide: str, late: str = "1 hour") -> DataFrame:
@@ -45,43 +45,6 @@ def sessions(log: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return timed.groupBy("user_id", F.session_window("time", gap).alias("session")).agg(F.count("*").alias("n"), F.max("value").alias("most"))
 
 
-def call_budget(calls: DataFrame, key: str, ident: str, limit: int) -> DataFrame:
-    """(key, ident, allowed): the first ``limit`` calls of a key are allowed, in order of ident inside a batch; the
-    counter is state that survives restarts."""
-
-    def run(name, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        for frame in frames:
-            ids = frame[ident].sort_values()
-            numbers = used + 1 + pd.RangeIndex(len(ids))
-            used += len(ids)
-            yield pd.DataFrame({key: name[0], ident: ids.to_numpy(), "allowed": numbers <= limit})
-        state.update((used,))
-
-    kinds = dict(calls.dtypes)
-    return calls.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, allowed boolean", "used long", "append", "NoTimeout")
-
-
-def moving_mean(log: DataFrame, key: str, ident: str, value: str, length: int, every: int) -> DataFrame:
-    """(key, seen, mean): the mean of a key's last ``length`` values, given out after each ``every`` of them.
-
-    Values count in order of arrival, those of one batch in order of ``ident``; the last values are state.
-    """
-
-    def run(name, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, last = state.get if state.exists else (0, [])
-        new = pd.concat(frames).sort_values(ident)[value]
-        values = pd.Series([*last, *new])
-        means = values.rolling(length, min_periods=1).mean().iloc[len(last) :]
-        numbers = seen + 1 + pd.RangeIndex(len(new))
-        state.update((seen + len(new), values.iloc[-length + 1 :].tolist() if length > 1 else []))
-        out = pd.DataFrame({key: name[0], "seen": numbers, "mean": means.to_numpy()})
-        yield out[out["seen"] % every == 0]
-
-    kind = dict(log.dtypes)[key]
-    return log.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seen long, mean double", "seen long, last array<double>", "append", "NoTimeout")
-
-
 def resumed(work: DataFrame, finished: DataFrame, ident: str, terminal: tuple[str, ...] = ("accepted", "rejected")) -> DataFrame:
     """Work that has no terminal status yet; everything else is done again."""
     return work.join(finished.filter(F.col("status").isin(*terminal)).select(ident), ident, "left_anti")
