@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from strandline.operators.scans import affine_after
+
 
 def in_order(episode: str, *order: str) -> WindowSpec:
     return Window.partitionBy(episode).orderBy(*order)
@@ -99,23 +100,12 @@ def time_grid(df: DataFrame, key: str, seconds: str, value: str, order: str, dt:
 
 
 def discounted(df: DataFrame, episode: str, order: str, reward: Column, done: Column, value: Column, gamma: float, lam: float) -> DataFrame:
-    """Generalised advantage estimates per frame (gamma lam recurrence from the end, cut where ``done``).
+    """(episode, order, advantage): generalised advantage estimates, cut where ``done``.
 
-    A task reads the frames of an episode from its end, batch by batch, and remembers the frame before only.
+    With w = value + lam advantage the recurrence is one affine map a frame, w = lam reward + (1 - lam) value
+    + lam gamma (1 - done) w(next), so it is an associative scan; ``order`` is an integer from 0, unique in an episode.
     """
-
-    def run(batches):
-        now, adv, after, first = None, 0.0, 0.0, True
-        for batch in batches:
-            out = []
-            for e, r, d, v in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                if first or e != now:
-                    now, adv, after, first = e, 0.0, 0.0, False
-                adv = r + gamma * after * (1 - d) - v + gamma * lam * (1 - d) * adv
-                after = v
-                out.append(adv)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], [episode, order, "advantage"])
-
-    kinds = dict(df.dtypes)
     rows = df.select(episode, order, reward.cast("double").alias("_r"), done.cast("double").alias("_d"), value.cast("double").alias("_v"))
-    return rows.repartition(episode).sortWithinPartitions(F.col(episode), F.desc(order)).mapInArrow(run, f"{episode} {kinds[episode]}, {order} {kinds[order]}, advantage double")
+    keep = gamma * (1 - F.col("_d"))
+    rows = affine_after(rows, [episode], order, lam * keep, lam * F.col("_r") + (1 - lam) * F.col("_v"), "_w")
+    return rows.select(episode, order, (F.col("_r") - F.col("_v") + keep * F.col("_w")).alias("advantage"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.operators import scans
 from strandline.operators import windows as W
 from strandline.plans.common import FRAMES, frames
 from strandline.sources.tables import table
@@ -113,6 +114,12 @@ def gae(spark, root):
     return adv.select("episode", "frame", F.round("advantage", 6).alias("advantage"))
 
 
+def prefix_ends(spark, root):
+    """Sparse prefix ends of each episode: the first and the last frame, and steps of two to four between them."""
+    n = table(spark, root, "events").groupBy(c("user_id").alias("episode")).agg(F.count("*").alias("n"))
+    return scans.walk(n, "episode", "n", "prefix").select("episode", c("place").alias("frame"))
+
+
 def goals(spark, root):
     """A later frame of the episode, chosen by a hash of the frame's id; the last frame has none."""
     f = frames(spark, root).withColumn("n", F.count("*").over(Window.partitionBy("episode")))
@@ -214,6 +221,11 @@ QUERIES = [
               SELECT n.episode, n.frame, n.value / 100 + CASE WHEN n.event_type = 'signup' THEN 0 ELSE 0.9::DOUBLE * r.v END - n.value / 200 + CASE WHEN n.event_type = 'signup' THEN 0 ELSE 0.9::DOUBLE * 0.8::DOUBLE * r.adv END, n.value / 200
               FROM r JOIN n ON n.episode = r.episode AND n.frame = r.frame - 1)
         SELECT episode, frame, round(adv, 6) AS advantage FROM r"""),
+    ("w28_prefix_ends", prefix_ends, """
+        WITH n AS (SELECT user_id AS episode, count(*) AS n FROM events GROUP BY 1), i AS (SELECT episode, n, unnest(range(1, n)) AS i FROM n),
+        s AS (SELECT episode, n, i, CAST('0x' || substr(md5('prefix|' || episode || '|' || i), 1, 8) AS BIGINT) % 3 + 2 AS step FROM i),
+        p AS (SELECT episode, n, step, CAST(sum(step) OVER (PARTITION BY episode ORDER BY i) AS BIGINT) AS gone FROM s)
+        SELECT episode, least(gone, n - 1) AS frame FROM p WHERE gone - step < n - 1 UNION ALL SELECT episode, 0 FROM n"""),
     ("w24_goals", goals, f"WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode) AS n FROM f), g AS (SELECT *, frame + 1 + CAST('0x' || substr(md5(event_id::VARCHAR), 1, 8) AS BIGINT) % (n - frame - 1) AS goal FROM n WHERE frame < n - 1) SELECT g.event_id, g.goal, f.event_id AS goal_event FROM g JOIN f ON f.episode = g.episode AND f.frame = g.goal"),
     ("w25_slots", slots, f"WITH {FRAMES}, u AS (SELECT episode, event_type, min(frame) AS first FROM f GROUP BY 1, 2) SELECT episode, event_type, dense_rank() OVER (PARTITION BY episode ORDER BY first) - 1 AS slot FROM u"),
     ("w26_memory_map", memory_map, "WITH t AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), p AS (SELECT conv_id, turn, 'B' AS kind, unnest(range(2)) AS token FROM t UNION ALL SELECT conv_id, turn, 'U', unnest(range(3)) FROM t WHERE turn < n - 1) SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind, token) - 1 AS place FROM p"),
