@@ -30,8 +30,8 @@ BASE = 0x5DEECE66D1F3A7B9C4E8F02D6B3A9157
 INVERSE = pow(BASE, -1, MODULUS)
 #: Words and bytes that a task counts before it hands them on.
 HELD_WORDS, HELD_BYTES = 1 << 18, 32 << 20
-#: Keys of one Arrow batch.
-KEYS = 1 << 16
+#: Keys of one Arrow batch, and words whose keys one task makes.
+KEYS, WORDS = 1 << 16, 1 << 14
 
 
 def damaged(ident: bytes, run: str, every: int) -> str:
@@ -140,21 +140,22 @@ def near_words(words: DataFrame) -> DataFrame:
 
     A wildcard group has a member for each letter at most, and a string has a longer one for each letter and place.
     """
-    rows = words.select("word", "rank").mapInArrow(_keys, "size int, at int, kind tinyint, key binary, rank long")
+    spread = words.select("word", "rank").repartition(max(1, -(-words.count() // WORDS)))
+    rows = spread.mapInArrow(_keys, "size int, at int, kind tinyint, key binary, rank long")
     groups = rows.groupBy("size", "at", "key").agg(F.collect_list(F.struct("kind", "rank")).alias("m")).filter("size(m) > 1")
+
+    def member(rank, n, best):
+        return F.struct(rank.alias("rank"), n.cast("long").alias("n"), best.alias("best"))
+
     ranks = F.array_sort(F.transform("m", lambda m: m["rank"]))
-    wild = groups.filter("at >= 0").select(ranks.alias("r")).select("r", F.explode("r").alias("rank"))
-    wild = wild.select("rank", (F.size("r") - 1).cast("long").alias("n"), F.when(F.col("rank") == F.col("r")[0], F.col("r")[1]).otherwise(F.col("r")[0]).alias("best"))
-    whole = F.filter("m", lambda m: m["kind"] == 2)
+    others = (F.size("m") - 1).alias("n")
+    wild = F.transform(ranks, lambda r: member(r, others, F.when(r == ranks[0], ranks[1]).otherwise(ranks[0])))
+    word = F.filter("m", lambda m: m["kind"] == 2)
     longer = F.transform(F.filter("m", lambda m: m["kind"] == 1), lambda m: m["rank"])
-    indel = groups.filter("at < 0").select(whole.alias("w"), longer.alias("l")).filter("size(w) > 0 and size(l) > 0").select(F.col("w")[0]["rank"].alias("w"), "l")
-    one = F.lit(1).cast("long")
-    shown = F.concat(
-        F.array(F.struct(F.col("w").alias("rank"), F.size("l").cast("long").alias("n"), F.array_min("l").alias("best"))),
-        F.transform("l", lambda r: F.struct(r.alias("rank"), one.alias("n"), F.col("w").alias("best"))),
-    )
-    met = wild.unionByName(indel.select(F.explode(shown).alias("s")).select("s.*"))
-    return met.groupBy("rank").agg(F.sum("n").alias("n_near"), F.min("best").alias("best"))
+    whole = F.get(word, F.lit(0))["rank"]
+    indel = F.concat(F.array(member(whole, F.size(longer), F.array_min(longer))), F.transform(longer, lambda r: member(r, F.lit(1), whole)))
+    met = F.when(F.col("at") >= 0, wild).when((F.size(word) > 0) & (F.size(longer) > 0), indel)
+    return groups.select(F.explode(met).alias("s")).groupBy("s.rank").agg(F.sum("s.n").alias("n_near"), F.min("s.best").alias("best"))
 
 
 def _roots(links: DataFrame) -> DataFrame:
