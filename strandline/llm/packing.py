@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from strandline.llm._shared import scratch
 
 CAPACITY, END_ID = 1024, 2
+#: Runs of white space that the JSON form encodes, looked for in texts of more characters than the first number; the
+#: rank form takes runs of half a million.
+LONG_TEXT, LONG_RUN = 100_000, re.compile(r"\s{5000}")
 #: Weight of the unused capacity in the fit, and the share of the fitted repeats that is taken.
 UNUSED_WEIGHT, SHARE = 3.0, 0.8
 #: Rows of a rank group (length and salt), and the most salts.
@@ -32,15 +35,18 @@ class ByteBpe:
     """Token ids of a byte-level BPE vocabulary as packed little-endian unsigned 32-bit numbers.
 
     The vocabulary's rank file gives the same ids as its JSON form without added tokens. Texts are cut at the strings of
-    ``added`` first, which get their own ids; other special-token strings are ordinary text.
+    ``added`` first, which get their own ids; other special-token strings are ordinary text. The rank form is several
+    times as fast, but its pattern goes back over runs of white space and fails on very long ones: texts with such a run
+    are encoded by the JSON form.
     """
 
-    def __init__(self, rank_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    def __init__(self, rank_file: str, pattern: str, json_file: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._ordinary = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._json_file, self._json_form = json_file, None
         self._added = {text: np.array([i], "<u4").tobytes() for text, i in added}
         # of strings that begin at one place the longest is taken, as the JSON form does
         self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
@@ -48,7 +54,19 @@ class ByteBpe:
     def _plain(self, text: str) -> bytes:
         return np.array(self._ordinary(text), "<u4").tobytes()
 
+    def _by_json(self, text: str) -> bytes:
+        if self._json_form is None:
+            from tokenizers import Tokenizer
+
+            with open(self._json_file, encoding="utf-8") as file:
+                form = json.load(file)
+            form["added_tokens"] = [t for t in form["added_tokens"] if t["content"] in self._added]
+            self._json_form = Tokenizer.from_str(json.dumps(form))
+        return np.array(self._json_form.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if len(text) > LONG_TEXT and LONG_RUN.search(text):
+            return self._by_json(text)
         if not self._added or not self._cuts.search(text):
             return self._plain(text)
         return b"".join(self._added.get(part) or self._plain(part) for part in self._cuts.split(text) if part)
@@ -57,18 +75,19 @@ class ByteBpe:
 _loaded: dict[tuple, ByteBpe] = {}
 
 
-def tokenizer(rank_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> ByteBpe:
+def tokenizer(rank_file: str, pattern: str, json_file: str, added: tuple[tuple[str, int], ...] = ()) -> ByteBpe:
     """One tokenizer for each worker process and vocabulary."""
-    if (rank_file, pattern, added) not in _loaded:
-        _loaded[rank_file, pattern, added] = ByteBpe(rank_file, pattern, added)
-    return _loaded[rank_file, pattern, added]
+    key = rank_file, pattern, json_file, added
+    if key not in _loaded:
+        _loaded[key] = ByteBpe(*key)
+    return _loaded[key]
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """Rank file and split pattern of the installed 50k byte vocabulary."""
+def default_vocabulary() -> tuple[str, str, str]:
+    """Rank file, split pattern and JSON form of the installed 50k byte vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
 def default_added() -> tuple[tuple[str, int], ...]:
@@ -82,18 +101,18 @@ def default_added() -> tuple[tuple[str, int], ...]:
     return tuple((t["content"], t["id"]) for t in tokens)
 
 
-def token_pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, input_ids]): each document's ids and ``end_id``, cut from the end into
     pieces of ``capacity``; the first may be shorter. A null text is empty and gives one piece of one token; so does an
     empty one. A text of any length is encoded whole by one task, its pieces leave in bounded batches. Repeated rows give
     their pieces each; a null id is an id. Strings of ``added`` get their ids (``default_added()``: as the JSON form
     does); without it they are ordinary text. Other columns are not read; an empty table gives an empty result."""
-    rank_file, pattern = vocabulary or default_vocabulary()
+    form = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["input_ids"] * keep_ids
 
     def run(batches):
-        encode = tokenizer(rank_file, pattern, added).encode
+        encode = tokenizer(*form, added).encode
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -127,3 +128,17 @@ def test_added_tokens_get_the_ids_of_the_untouched_json_form(spark, tmp_path):
         ids = np.array(reference.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         assert sum(n for _, n, _ in by_doc[i]) == len(ids)
         assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in by_doc[i])
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "a", " \n", "7", "."])
+def test_runs_of_two_megabytes(spark, run):
+    text = "x" + run * (2_000_000 // len(run)) + "y <|endoftext|> z"
+    want = np.array(REFERENCE.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.tokenizer(*packing.default_vocabulary(), packing.default_added()).encode(text) == want
+
+
+def test_a_long_white_space_run_through_spark(spark):
+    docs = spark.createDataFrame([(1, "x" + " " * 1_200_000 + "y"), (2, "\n" * 1_200_000)], "doc_id long, text string")
+    for row in packing.token_pieces(docs, added=packing.default_added()).groupBy("doc_id").agg({"length": "sum"}).collect():
+        text = docs.filter(f"doc_id = {row[0]}").first().text
+        assert row[1] == len(REFERENCE.encode(text, add_special_tokens=False).ids) + 1
