@@ -100,7 +100,7 @@ BLOBS = "bucket int, kind int, blob binary"
 
 
 def _find_anchors(n_buckets: int):
-    """(key, text) -> blobs by hash: 0 entries, 1 candidates known here."""
+    """(key, text) -> blobs: 0 entries by hash, 1 candidates known here, which nothing is compared with, by document and place."""
 
     def flush(parts):
         e = _table(parts, ENTRY)
@@ -110,9 +110,11 @@ def _find_anchors(n_buckets: int):
         again[:-1] |= ~first[1:]
         ends = e[first].copy()
         ends["lo"] |= np.where(again[first], DONE, 0).astype(np.uint8)
+        known = e[again]
+        place = (known["doc"].astype(np.int64).view(np.uint64) ^ (known["pos"].astype(np.uint64) << U(40))) * MIX
         rows = []
-        for kind, rec in ((0, ends), (1, e[again])):
-            rows += [(b, kind, blob) for b, blob in split_blobs((rec["h"] % U(n_buckets)).astype(np.int64), rec)]
+        for kind, rec, deal in ((0, ends, ends["h"]), (1, known, place >> U(29))):
+            rows += [(b, kind, blob) for b, blob in split_blobs((deal % U(n_buckets)).astype(np.int64), rec)]
         if rows:
             yield _blob_batch(rows)
 

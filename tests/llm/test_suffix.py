@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.llm import suffix
@@ -134,3 +135,17 @@ def test_multikey_sort():
     words = rng.integers(0, 3, (500, 6)).astype(np.uint64)
     order = suffix.multikey_sort(words)
     assert [tuple(r) for r in words[order]] == sorted(tuple(r) for r in words)
+
+
+def test_a_gram_of_all_documents_is_spread():
+    """What a task knows to be a candidate is dealt by its place, so a line that all documents share fills no bucket."""
+    rng = random.Random(8)
+    line = "Licensed to whoever reads this line, without warranties or conditions of any kind, either express or implied. " * 2
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) + line for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(texts)], ["key", "text"])
+    sizes = {}
+    for out in suffix._find_anchors(16)([batch]):
+        for bucket, kind, blob in zip(*(out.column(i).to_pylist() for i in range(3))):
+            if kind == 1:
+                sizes[bucket] = sizes.get(bucket, 0) + len(blob)
+    assert len(sizes) == 16 and max(sizes.values()) < 2 * sum(sizes.values()) / 16
