@@ -5,15 +5,16 @@ its commonest words with their shares. A document is compared with every referen
 square root, so 0 to 1) and kept if it is near one of them by classes and by words. A histogram of few draws is far from anything by chance, so each
 comparison has a minimum length; below it the document passes that comparison.
 
-A language of few words gives a reference as well, but only for its own documents, and with more tolerance the fewer
-words there are: its reference is a draw itself. By classes they may be near the whole corpus instead, as a histogram of
-few documents follows whatever noise is among them.
+The languages of the most words give a reference each, all others one together, so any number of values of the language
+column gives a result. A reference of few words is a draw itself: the fewer it has, the more it tolerates in documents
+of its own language and the less in others, by one rule for every size; and as a histogram of few documents follows whatever noise is among them, by classes a document may be
+near the whole corpus instead, whatever the reference. The common words of all references are one table, so work grows with a document's words.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -40,10 +41,12 @@ for _chars, _c in ((SPACES, 1), (b"0123456789", 4), (STOPS, 5), (SYMBOLS, 6)):
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the verdict. A language needs ``reference_words`` words to give a reference for all documents.
+    """Thresholds of the verdict. ``most_references`` languages give a reference of their own.
 
-    A distance may reach its base plus what chance adds, which falls with the root of the length (of the document, and
-    of the reference where that is of fewer words).
+    A distance may reach its base plus what chance adds, which falls with the root of the document's length. A reference
+    of n words, fewer than ``reference_words``, adds chance by its own length for documents of its language; for others
+    what they may reach is less by the factor sqrt(n / ``reference_words``), so that a few documents vouch for none but
+    their likes.
     """
 
     common_words: int = 100
@@ -54,7 +57,7 @@ class Rules:
     word_distance: float = 0.34
     word_noise: float = 1.2
     word_min_words: int = 80
-    most_languages: int = 2000
+    most_references: int = 64
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -129,7 +132,7 @@ def _count(batches):
                 lang = langs[i]
                 words.setdefault(lang, Counter()).update(plain_words(raw[offs[i] - offs[a] : offs[i + 1] - offs[a]]))
                 classes[lang] = classes.get(lang, 0) + hist[i - a]
-        if sum(map(len, words.values())) > 200_000:
+        if sum(map(len, words.values())) > 200_000 or len(classes) > 20_000:
             yield from rows()
             words, classes = {}, {}
     yield from rows()
@@ -137,133 +140,167 @@ def _count(batches):
 
 @dataclass(frozen=True)
 class References:
+    """Shares of classes (one row each, then the whole corpus), common words, their shares after that of all other words,
+    words and characters."""
+
     classes: np.ndarray
     words: list[list[bytes]]
     shares: np.ndarray
-    #: Language of few words -> (class shares, its own and those of the whole corpus, rank of each common word, word shares, words, characters).
-    few: dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray, int, int]] = field(default_factory=dict)
+    n_words: np.ndarray
+    n_chars: np.ndarray
+    #: The language of each, None for all the others together.
+    names: list[str | None]
+
+    def own(self, langs: list[str | None]) -> np.ndarray:
+        """References x documents: which is that of the document's language. Without any language one is everybody's."""
+        at = {name: k for k, name in enumerate(self.names)}
+        out = np.zeros((len(self.names), len(langs)), bool)
+        for i, lang in enumerate(langs):
+            k = at.get(lang, at.get(None)) if lang is not None else 0 if self.names == [None] else None
+            if k is not None:
+                out[k, i] = True
+        return out
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> References:
-    """Class and common-word shares per language over all documents.
+    """Class and common-word shares of the languages over all documents: one for each of the ``most_references``
+    languages of the most words (of equals the first in the alphabet), one for all the others together.
 
     Every word is counted; each task adds up its own words before the shuffle. Only the commonest words of each
-    language come to the driver. Without a language of enough words the whole corpus is the reference for all documents.
-    More than ``most_languages`` different values of ``lang`` raise: they are no languages, and each would be a reference.
-    Null texts and null languages count for nothing here but in the whole corpus; repeated rows count each.
+    reference come to the driver. Without any language the whole corpus is the reference; texts without a language count
+    for that alone. Null texts count for nothing; repeated rows count each.
     """
     with scratch(docs.sparkSession):
         return _references(docs, rules, lang_col, text_col)
 
 
 def _references(docs: DataFrame, rules: Rules, lang_col: str, text_col: str) -> References:
-    counted = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, word binary, cls int, n long")
+    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, word binary, cls int, n long")
     counts = written(counted.groupBy("lang", "word", "cls").agg(F.sum("n").alias("n")), "quality-counts")
     words = counts.filter("word is not null")
-    if words.select("lang").distinct().limit(rules.most_languages + 2).count() > rules.most_languages + 1:
-        raise ValueError(f"more than {rules.most_languages} languages in {lang_col}")
-    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    hist: dict = {lang: np.zeros(N_CLASSES, np.int64) for lang in totals}
-    for r in counts.filter("word is null").collect():
-        hist.setdefault(r.lang, np.zeros(N_CLASSES, np.int64))[r.cls] = r.n
-    kept = sorted(lang for lang, n in totals.items() if lang is not None and n >= rules.reference_words)
-    few = sorted(lang for lang, n in totals.items() if lang is not None and 0 < n < rules.reference_words)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.filter("lang is not null").select("lang", "word", "n").withColumn("rank", rank).filter(F.col("rank") <= rules.common_words)
+    sizes = words.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    kept = sorted(r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(rules.most_references).collect())
+    own = F.coalesce(F.col("lang").isin(kept), F.lit(False))
+    # the reference that a row counts for: one of the kept, "" for the others, or none
+    ref = F.when(own, F.concat(F.lit("="), "lang")).when(F.col("lang").isNotNull() if kept else F.lit(True), "")
+    of = counts.withColumn("ref", ref).filter("ref is not null").groupBy("ref", "word", "cls").agg(F.sum("n").alias("n"))
+    hist = defaultdict(lambda: np.zeros(N_CLASSES, np.int64))
+    for r in of.filter("word is null").collect():  # N_CLASSES rows for each reference
+        hist[r.ref][r.cls] = r.n
+    found = of.filter("word is not null")
+    totals = {r.ref: r.n for r in found.groupBy("ref").agg(F.sum("n").alias("n")).collect()}
+    rank = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("n"), "word"))
     common = defaultdict(list)
-    for r in sorted(top.collect(), key=lambda r: r.rank):
-        common[r.lang].append(r)
-    if not kept:
-        # under null, which no language of ``common`` has
-        kept, totals[None], hist[None] = [None], sum(totals.values()), sum(hist.values(), np.zeros(N_CLASSES, np.int64))
-        pooled = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(rules.common_words)
-        common[None] = sorted(pooled.collect(), key=lambda r: (-r.n, bytes(r.word)))
-
-    def shares_of(lang):
-        found = [r.n / max(1, totals[lang]) for r in common[lang]]
+    for r in sorted(found.withColumn("rank", rank).filter(F.col("rank") <= rules.common_words).collect(), key=lambda r: r["rank"]):
+        common[r.ref].append(r)
+    names = sorted(totals, key=lambda x: (x == "", x)) or [""]
+
+    def shares_of(name):
+        found = [r.n / max(1, totals.get(name, 0)) for r in common[name]]
         return np.r_[1 - sum(found), found, np.zeros(rules.common_words - len(found))]
 
-    def classes_of(lang):
-        counts = hist[lang].astype(float)
+    for r in counts.filter("word is null").groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        hist[None][r.cls] = r.n  # the whole corpus
+
+    def classes_of(name):
+        counts = hist[name].astype(float)
         counts[0] = 0  # continuation bytes
         return counts / max(counts.sum(), 1)
 
-    everything = sum(hist.values(), np.zeros(N_CLASSES)) * (np.arange(N_CLASSES) > 0)
-    everything /= max(1, everything.sum())
-
-    small = {
-        lang: (np.stack([classes_of(lang), everything]), {bytes(r.word): i + 1 for i, r in enumerate(common[lang])}, shares_of(lang), totals[lang], int(hist[lang][2:].sum())) for lang in few
-    }
-    return References(np.array([classes_of(x) for x in kept]), [[bytes(r.word) for r in common[x]] for x in kept], np.array([shares_of(x) for x in kept]), small)
+    return References(
+        np.array([classes_of(x) for x in [*names, None]]), [[bytes(r.word) for r in common[x]] for x in names], np.array([shares_of(x) for x in names]),
+        np.array([totals.get(x, 0) for x in names]), np.array([int(hist[x][2:].sum()) for x in names]), [x[1:] or None for x in names],
+    )
 
 
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+#: Documents that are compared at once.
+ROWS = 1024
 
 
-def distance_to_few(hist: np.ndarray, words: list[bytes], few: tuple, rules: Rules) -> tuple[float, float, float, float]:
-    """(class distance, its further tolerance, word distance, its further tolerance) by a reference of few words."""
-    classes, rank, shares, n_words, n_chars = few
-    hist = np.r_[0, hist[1:]]
-    found = Counter(words)
-    row = np.zeros(len(shares))
-    for w in found.keys() & rank.keys():
-        row[rank[w]] = found[w]
-    row[0] = found.total() - row.sum()
-    # nothing at the bound, where the language gives a reference for all
-    lack = max(0.0, 1 - (n_words / rules.reference_words) ** 0.5)
-    class_d, word_d = min(distances(hist[None, :], c)[0] for c in classes), distances(row[None, :], shares)[0]
-    return class_d, rules.class_noise * lack / max(1, n_chars) ** 0.5, word_d, rules.word_noise * lack / max(1, n_words) ** 0.5
+def _term(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What a value of share p here and q there adds to twice the squared distance."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
+
+
+class CommonWords:
+    """Word -> the references that have it among their common words, with its share there."""
+
+    def __init__(self, refs: References):
+        self.table: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        for k, words in enumerate(refs.words):
+            for w, share in zip(words, refs.shares[k, 1:].tolist()):
+                self.table[w].append((k, share))
+        self.rest = refs.shares[:, 0]
+
+    def distances(self, counts: list[Counter]) -> np.ndarray:
+        """References x documents. A common word that a document lacks adds its share, so only words that it has are looked up."""
+        n_refs, n_docs = len(self.rest), len(counts)
+        at, p, q = [], [], []
+        for i, counter in enumerate(counts):
+            total = max(1, counter.total())
+            for w in counter.keys() & self.table.keys():
+                share = counter[w] / total
+                for k, of in self.table[w]:
+                    at.append(k * n_docs + i)
+                    p.append(share)
+                    q.append(of)
+        at, p, q = np.array(at, np.int64), np.array(p, float), np.array(q, float)
+
+        def summed(x):
+            return np.bincount(at, x, n_refs * n_docs).reshape(n_refs, n_docs)
+
+        own = np.array([c.total() for c in counts]) > 0
+        missed = np.maximum(0, (1 - self.rest)[:, None] - summed(q))
+        twice = summed(_term(p, q)) + _term(np.maximum(0, own[None] - summed(p)), np.broadcast_to(self.rest[:, None], (n_refs, n_docs))) + missed
+        return np.where(own[None], np.minimum(np.sqrt(np.maximum(0, twice / 2)), 1), 0)
 
 
 def _judge(refs: References, rules: Rules):
-    ranks = [{w: i + 1 for i, w in enumerate(words)} for words in refs.words]
+    weight = np.minimum(1.0, np.sqrt(refs.n_words / rules.reference_words))[:, None]
+    lack = 1 - weight[:, 0]
+    class_more = (rules.class_noise * lack / np.sqrt(np.maximum(1, refs.n_chars)))[:, None]
+    word_more = (rules.word_noise * lack / np.sqrt(np.maximum(1, refs.n_words)))[:, None]
 
     def run(batches):
+        common = CommonWords(refs)
         for batch in batches:
             data, offs = utf8(batch.column(1))
-            langs = batch.column(2).to_pylist() if refs.few else []
-            parts = []
-            for a, b in row_chunks(offs):
+            langs, parts = batch.column(2).to_pylist(), []
+            for a, b in ((x, min(x + ROWS, end)) for start, end in row_chunks(offs) for x in range(start, end, ROWS)):
                 part = data[offs[a] : offs[b]]
                 local = offs[a : b + 1] - offs[a]
                 hist = class_counts(part, local)
                 raw = part.tobytes()
-                own = np.full((b - a, 4), (np.inf, 0, np.inf, 0))  # distance and tolerance by the document's language of few words
-                base, shares = np.zeros((b - a, 3), np.int64), np.zeros((len(ranks), b - a, refs.shares.shape[1]))
+                base, long, counters = np.zeros((b - a, 3), np.int64), [], []
                 for i in range(b - a):
                     text = raw[local[i] : local[i + 1]]
                     words = text.split()
                     lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
                     base[i] = len(words), len(lines) - len(set(lines)), repeated_words(words)
-                    few = refs.few.get(langs[a + i]) if refs.few else None
-                    if few:
-                        own[i] = distance_to_few(hist[i], plain_words(text), few, rules)
                     if len(words) >= rules.word_min_words:
-                        found = Counter(plain_words(text))
-                        n = found.total()
-                        for k, rank in enumerate(ranks):
-                            for w in found.keys() & rank.keys():
-                                shares[k, i, rank[w]] = found[w]
-                            shares[k, i, 0] = n - shares[k, i].sum()
+                        long.append(i)
+                        counters.append(Counter(plain_words(text)))
                 hist[:, 0] = 0
                 chars = hist.sum(1) - hist[:, 1]
-                word_d = np.array([distances(shares[k], refs.shares[k]) for k in range(len(ranks))])
-                class_d = np.array([distances(hist, refs.classes[k]) for k in range(len(ranks))])
+                word_d = np.zeros((len(refs.words), b - a))
+                if long:
+                    word_d[:, long] = common.distances(counters)
+                class_d = np.array([distances(hist, c) for c in refs.classes])
+                class_d = np.minimum(class_d[:-1], class_d[-1])
                 failed = (base[:, 0] < 50) | (100 * base[:, 2] > 50 * base[:, 0])
+                own = refs.own(langs[a:b])
                 class_most = rules.class_distance + rules.class_noise / np.sqrt(np.maximum(chars, 1))
+                class_most = np.where(own, class_most + class_more, class_most * weight)
                 word_most = rules.word_distance + rules.word_noise / np.sqrt(np.maximum(base[:, 0], 1))
+                word_most = np.where(own, word_most + word_more, word_most * weight)
                 short = chars < rules.class_min_chars, base[:, 0] < rules.word_min_words
                 like = (short[0] | (class_d <= class_most)) & (short[1] | (word_d <= word_most))  # references x documents
                 # the distances told are those of the nearest reference that takes the document, or of the nearest one
                 far = np.where(short[1], class_d, word_d) + 2 * (like.any(0) & ~like)
                 nearest, every = far.argmin(0), np.arange(b - a)
-                word_d, class_d, like = word_d[nearest, every], class_d[nearest, every], like.any(0)
-                like_own = (short[0] | (own[:, 0] <= class_most + own[:, 1])) & (short[1] | (own[:, 2] <= word_most + own[:, 3]))
-                # both distances are those of one reference: its own where only that takes the document, else the nearest
-                by_own = np.isfinite(own[:, 0]) & (like_own & ~like | ~like & (own[:, 2] < word_d))
-                class_d, word_d = np.where(by_own, own[:, 0], class_d), np.where(by_own, own[:, 2], word_d)
-                good = ~failed & (like | like_own & np.isfinite(own[:, 0]))
-                parts.append((base[:, 0], chars, hist[:, 6], base[:, 1], base[:, 2], failed, good, class_d, word_d))
+                parts.append((base[:, 0], chars, hist[:, 6], base[:, 1], base[:, 2], failed, ~failed & like.any(0), class_d[nearest, every], word_d[nearest, every]))
             columns = [pa.array(np.concatenate(c)) for c in zip(*parts)] if parts else None
             if columns:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f.split()[0] for f in OUT.split(", "))])
@@ -276,13 +313,14 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
 
     A null or empty text has no words and fails; repeated rows and rows with a null id are judged each; a null language
     is not learned from but judged like any other. Of equally near references the first in the alphabet counts. A text of
-    any length is judged whole by one task. An empty table gives an empty result; other columns are not read, so their
+    any length is judged whole by one task. Any number of languages gives a result: ``most_references`` and one
+    references are held, of ``common_words`` words each, and a document is compared with all of them by classes and by
+    the common words that it has. An empty table gives an empty result; other columns are not read, so their
     names can't clash.
     """
     refs = refs or references(docs, rules, lang_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    lang = F.col(lang_col) if refs.few else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")).mapInArrow(_judge(refs, rules), f"doc_id {kind}, {OUT}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_judge(refs, rules), f"doc_id {kind}, {OUT}")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:

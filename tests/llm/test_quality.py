@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from strandline.llm import quality
 
@@ -43,14 +45,57 @@ def test_base_counts_and_verdict(spark):
 
 
 def test_references_count_all_words(spark):
-    rows = make_rows()
-    refs = quality.references(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), quality.Rules(common_words=3, reference_words=10**9))
+    rows = [(i, t, None) for i, t, _ in make_rows()]
+    refs = quality.references(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), quality.Rules(common_words=3))
     words = Counter(w for _, t, _ in rows for w in quality.plain_words((t or "").encode()))
     top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:3]
-    assert refs.words == [[w for w, _ in top]]
+    assert refs.words == [[w for w, _ in top]] and refs.n_words.tolist() == [words.total()]
     assert np.allclose(refs.shares[0, 1:], [n / words.total() for _, n in top])
 
 
+def test_common_words_table_gives_the_distances():
+    rng = random.Random(2)
+    vocab = [f"w{i}".encode() for i in range(30)]
+    words = [rng.sample(vocab, 8) for _ in range(5)]
+    shares = np.array([np.r_[0.4, np.full(8, 0.075)] for _ in words])
+    refs = quality.References(np.ones((6, 9)) / 9, words, shares, np.ones(5), np.ones(5), list("abcde"))
+    counts = [Counter(rng.choices(vocab, k=rng.randrange(1, 60))) for _ in range(20)] + [Counter()]
+    got = quality.CommonWords(refs).distances(counts)
+    for k in range(5):
+        rows = np.array([[sum(n for w, n in c.items() if w not in words[k]), *(c[w] for w in words[k])] for c in counts])
+        assert np.allclose(got[k], quality.distances(rows, shares[k]))
+
+
+def test_thousands_of_languages(spark):
+    """Any number of values of lang gives a verdict: the largest have references, the others one together, as counted anew."""
+    rng = random.Random(4)
+    stems = "the of and to in house tree river walk light".split()
+    text = lambda n: " ".join(w + rng.choice(["", "s", "ing"]) for w in rng.choices(stems, range(10, 0, -1), k=n))
+    rows = [(i, text(60 + i % 50), f"l{i:04d}") for i in range(2100)] + [(5000 + i, text(100), "l0003") for i in range(5)] + [(6000, " ".join(f"ZQ{rng.randrange(10**6)}X!!" for _ in range(300)), "l0007")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules = quality.Rules(most_references=3)
+    refs = quality.references(docs, rules)
+    sizes = Counter()
+    for _, t, lang in rows:
+        sizes[lang] += len(quality.plain_words(t.encode()))
+    top = sorted(sizes, key=lambda x: (-sizes[x], x))[:3]
+    assert refs.n_words.tolist() == [sizes[x] for x in sorted(top)] + [sum(n for x, n in sizes.items() if x not in top)]
+    rest = Counter(w for _, t, lang in rows if lang not in top for w in quality.plain_words(t.encode()))
+    assert refs.words[3] == [w for w, _ in sorted(rest.items(), key=lambda x: (-x[1], x[0]))[:100]]
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert len(got) == len(rows) and sum(r.kept for r in got.values()) > 0.9 * sum(not r.base_failed for r in got.values())
+
+
+def test_many_short_documents_and_references_are_quick():
+    rng = random.Random(5)
+    words = [[f"w{rng.randrange(5000)}".encode() for _ in range(100)] for _ in range(300)]
+    refs = quality.References(np.ones((301, 9)) / 9, words, np.full((300, 101), 1 / 101), np.full(300, 9000), np.full(300, 50_000), [str(i) for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["one two three"] * 10_000), pa.array([str(i % 400) for i in range(10_000)])], ["doc_id", "text", "lang"])
+    began = time.perf_counter()
+    assert sum(b.num_rows for b in quality._judge(refs, quality.Rules())([batch])) == 10_000
+    assert time.perf_counter() - began < 5
+
+
 def test_distance_is_jensen_shannon():
     p, q = np.array([[3, 1, 0]]), np.array([[0.25, 0.25, 0.5]])
     a, b = p[0] / 4, q[0]
@@ -78,7 +123,7 @@ def test_verdicts_against_brute_force(spark, tmp_path):
         side = lambda x: sum(v * math.log2(v / m[k]) for k, v in x.items() if v)
         return math.sqrt(max(0, (side(p) + side(q)) / 2))
 
-    refs = []
+    refs, corpus = [], Counter(kind(ch) for _, t, _ in rows for ch in t)
     for lang in ("de", "en"):
         classes, seen = Counter(), Counter()
         for _, t, x in rows:
@@ -100,7 +145,7 @@ def test_verdicts_against_brute_force(spark, tmp_path):
         by = []
         for ref_classes, ref_words in refs:
             known = Counter(w if w in ref_words else "" for w in mine)
-            by.append((distance(known, ref_words) if n >= rules.word_min_words else 0, distance(classes, ref_classes)))
+            by.append((distance(known, ref_words) if n >= rules.word_min_words else 0, min(distance(classes, ref_classes), distance(classes, corpus))))
         chars = sum(v for k, v in classes.items() if k != "space")
         near = [x for x in by if (chars < rules.class_min_chars or x[1] <= rules.class_distance + rules.class_noise / chars**0.5) and (n < rules.word_min_words or x[0] <= rules.word_distance + rules.word_noise / n**0.5)]
         word_d, class_d = min(near or by)
