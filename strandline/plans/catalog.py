@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules whose ``QUERIES`` hold (name, function, sql or None).
-MODULES = ("reports", "vectors", "aggregates", "sequences", "relations", "sampling", "shapes", "extras", "streams", "roundtrips")
+MODULES = ("reports", "vectors", "aggregates", "sequences", "relations", "sampling", "shapes", "extras", "trajectories", "streams", "roundtrips")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
