@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from strandline.operators import contracts as C
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(_file, _line from 1, raw) of text files of any size; a file may be read by many tasks.
 
     A task numbers the lines that it reads; those of one part of a file are numbered in a row, so a line's number is its
