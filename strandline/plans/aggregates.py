@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import reports as R
+from strandline.operators import sketches as K
 from strandline.operators import stats as S
 from strandline.operators.joins import offsets
-from strandline.plans.common import FRAMES, frames
+from strandline.plans.common import FRAMES, frames, fresh_folder
 from strandline.sources.tables import table
 
 c = F.col
@@ -69,6 +70,24 @@ def adaptive(spark, root):
     return moments.join(wide, "event_type").select("event_type", "n", *r6("mean", "std", "q01", "q99"))
 
 
+def sketched(spark, root):
+    """Quantile state of each user's events, stored, and merged by event type: the answers' ranks are within the bound."""
+    at, shares = fresh_folder(spark, "sketches"), [0.01, 0.1, 0.5, 0.9, 0.99]
+    e = table(spark, root, "events")
+    K.sketched(e, ["user_id", "event_type"], {"value": c("value")}).write.parquet(at)
+    done = K.quantiles(K.merged(spark.read.parquet(at), ["event_type"], ["value"]), "value", shares)
+    asked = done.select("event_type", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("quantiles").alias("answer"))).alias("a")).select("event_type", "a.share", "a.answer")
+    # one row for each type and share
+    ranks = e.join(F.broadcast(asked), "event_type").groupBy("event_type", "share").agg(F.count("*").alias("n"), F.avg((c("value") <= c("answer")).cast("int")).alias("rank"))
+    return ranks.select("event_type", "share", "n", (F.abs(c("rank") - c("share")) <= 3 * K.rank_error()).alias("within"))
+
+
+def light_stats(spark, root):
+    """Statistics without quantiles: only the columns asked for are read."""
+    s = S.finish_moments(S.moments(table(spark, root, "lineitem"), c("l_quantity"), "l_returnflag"))
+    return s.select("l_returnflag", "n", *r6("mean", "std", "lo", "hi"))
+
+
 def histogram_quantiles(spark, root):
     e = table(spark, root, "events").select("event_type", "value")
     out = S.histogram_quantiles(S.histogram(e, "value", "event_type", 2048), "event_type", 2048, [0.01, 0.5, 0.99])
@@ -224,6 +243,8 @@ def rollup(spark, root):
 
 
 QUERIES = [
+    ("a10_v24_sketches", sketched, "SELECT event_type, share, count(*) AS n, true AS within FROM events, (SELECT unnest([0.01, 0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS share) GROUP BY 1, 2"),
+    ("v16_light_stats", light_stats, "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, round(min(l_quantity), 6) AS lo, round(max(l_quantity), 6) AS hi FROM lineitem GROUP BY 1"),
     ("a01_summary", summary, "SELECT o_orderpriority, count(*) AS episodes, CAST(sum(length) AS BIGINT) AS frames FROM orders JOIN (SELECT l_orderkey, count(*) AS length FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1"),
     ("a02_run_summary", run_summary, """
         WITH log AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events)

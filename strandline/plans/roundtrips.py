@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.plans.common import FRAMES, frames, fresh_folder
-from strandline.sources import files, sinks
+from strandline.sources import counts, files, mcap, sinks, tfrecord
+from strandline.sources.snapshots import SnapshotTable
 from strandline.sources.tables import table
 
 c = F.col
@@ -120,7 +122,7 @@ def log_lines(spark, root):
     """Success lines among other lines of a log."""
     at = fresh_folder(spark, "log")
     e = table(spark, root, "events")
-    line = F.when(c("event_id") % 4 == 0, F.format_string("checkpoints/steps_%d_run%d -> Average success: %.2f", c("event_id") * 500, c("user_id"), c("value") / 100)).otherwise(F.concat(F.lit("steps_1 loss "), c("value").cast("string")))
+    line = F.when(c("event_id") % 4 == 0, F.format_string("checkpoints/steps_%d_run%d -> Average success: %d.5", c("event_id") * 500, c("user_id"), F.floor("value"))).otherwise(F.concat(F.lit("steps_1 loss "), c("value").cast("string")))
     e.select(line.alias("value")).write.text(at)
     return files.success_lines(spark, at)
 
@@ -195,9 +197,74 @@ def tracker(spark, root):
     return sinks.tracked(logged).select("run", "step", "name", F.round("value", 6).alias("value"))
 
 
+def snapshots(spark, root):
+    """Events appended by three threads at once; a version that was pinned before everything was replaced still reads."""
+    t = SnapshotTable(spark, fresh_folder(spark, "snapshots"))
+    e = table(spark, root, "events").select("event_id", "event_type", "value")
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda part: t.append(e.filter(c("event_id") % 6 == part), token=(f"part{part}", 0)), range(6)))
+    t.append(e.filter(c("event_id") % 6 == 0), token=("part0", 0))  # a repetition adds nothing
+    pinned = t.read(t.versions()[-1])
+    t.replace(e.groupBy("event_type").agg(F.min("event_id").alias("event_id"), F.sum("value").alias("value")).select("event_id", "event_type", "value"))
+    shown = lambda df, state: df.select(F.lit(state).alias("state"), "event_id", "event_type", F.round("value", 4).alias("value"))
+    return shown(pinned, "appended").unionByName(shown(t.read(), "replaced"))
+
+
+def tfrecord_vectors(spark, root):
+    """Embeddings as TFRecord examples and back, files cut into many tasks."""
+    tfrecord.register(spark)
+    at = fresh_folder(spark, "tfrecord")
+    table(spark, root, "embeddings").write.format("tfrecord").mode("append").save(at)
+    v = spark.read.format("tfrecord").schema("vec_id long, embedding array<float>, label int").option("splitBytes", 1 << 20).load(at)
+    return v.select("vec_id", "label", F.size("embedding").cast("long").alias("n"), *[F.round(F.get("embedding", F.lit(i)).cast("double"), 6).alias(f"x{i}") for i in (0, 31, 63)])
+
+
+def tfrecord_events(spark, root):
+    at = fresh_folder(spark, "tfrecord")
+    tfrecord.register(spark)
+    e = table(spark, root, "events").select("event_id", F.unix_micros(c("ts").cast("timestamp")).alias("micros"), "event_type", F.when(c("user_id") % 5 > 0, c("user_id")).alias("user_id"), F.floor("value").cast("float").alias("value"), "props")
+    e.write.format("tfrecord").mode("append").save(at)
+    return tfrecord.read_files(spark, at, "event_id long, micros long, event_type string, user_id long, value float, props string").select("event_id", "micros", "event_type", "user_id", c("value").cast("double").alias("value"), "props")
+
+
+def messages(spark, root):
+    """Events as messages of a topic for each type; two topics of a span of time are read, by the chunk index."""
+    mcap.register(spark)
+    at = fresh_folder(spark, "mcap")
+    nanos = F.unix_micros(c("ts").cast("timestamp")) * 1000
+    e = table(spark, root, "events").select(
+        F.concat(F.lit("/"), "event_type").alias("topic"), nanos.alias("log_time"), nanos.alias("publish_time"), c("event_id").alias("sequence"), F.lit("json").alias("encoding"), F.lit("event").alias("schema"), F.encode("props", "UTF-8").alias("data")
+    )
+    e.repartitionByRange(4, "log_time").sortWithinPartitions("log_time", "sequence").write.format("mcap").option("chunkBytes", 16_384).mode("append").save(at)
+    low, high = e.agg(F.min("log_time"), F.max("log_time")).first()
+    m = spark.read.format("mcap").load(at).filter((c("log_time") >= low + (high - low) // 4) & (c("log_time") < low + (high - low) // 2) & c("topic").isin("/view", "/error"))
+    return m.select("topic", F.expr("log_time div 1000").alias("micros"), c("sequence").alias("event_id"), F.decode("data", "UTF-8").alias("props"))
+
+
+def incremental(spark, root):
+    """Row counts of a file for each nation from an index; a third of the files is written again before the second look,
+    which reads those alone."""
+    at, index = fresh_folder(spark, "counted"), SnapshotTable(spark, fresh_folder(spark, "index"))
+    lines = table(spark, root, "customer").select("c_nationkey", F.to_json(F.struct("c_custkey")).alias("value"))
+    lines.repartition("c_nationkey").write.partitionBy("c_nationkey").text(at)
+    counts.refreshed(spark, at, index)
+    again = lines.filter("c_nationkey % 3 = 0").withColumn("value", F.explode(F.array("value", "value")))
+    again.repartition("c_nationkey").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("c_nationkey").text(at)
+    found, done = counts.refreshed(spark, at, index)
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)/", 1).cast("long")
+    return found.select(nation.alias("nation"), "rows", *[F.lit(done[k]).cast("long").alias(f"files_{k}") for k in ("read", "kept", "gone")])
+
+
 META = """n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
         m AS (SELECT k, n, o_orderpriority AS p, p <> '2-HIGH' AS known FROM n JOIN orders ON o_orderkey = k)"""
+#: The events between a quarter and half of the time.
+SPAN = "n AS (SELECT min(epoch_us(ts)) * 1000 AS low, max(epoch_us(ts)) * 1000 AS high FROM events)"
 QUERIES = [
+    ("k03_k04_snapshots", snapshots, "SELECT 'appended' AS state, event_id, event_type, round(value, 4) AS value FROM events UNION ALL SELECT 'replaced', min(event_id), event_type, round(sum(value), 4) FROM events GROUP BY event_type"),
+    ("s16_k10_tfrecord_vectors", tfrecord_vectors, "SELECT vec_id, label, len(embedding) AS n, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS x{i}" for i in (0, 31, 63)) + " FROM embeddings"),
+    ("s16_k10_tfrecord_events", tfrecord_events, "SELECT event_id, epoch_us(ts) AS micros, event_type, CASE WHEN user_id % 5 > 0 THEN user_id END AS user_id, floor(value) AS value, props FROM events"),
+    ("s15_messages", messages, f"WITH {SPAN} SELECT '/' || event_type AS topic, epoch_us(ts) AS micros, event_id, props FROM events, n WHERE event_type IN ('view', 'error') AND epoch_us(ts) * 1000 >= low + (high - low) // 4 AND epoch_us(ts) * 1000 < low + (high - low) // 2"),
+    ("s21_incremental_counts", incremental, "WITH k AS (SELECT c_nationkey::BIGINT AS nation, count(*) AS n FROM customer GROUP BY 1) SELECT nation, CAST(CASE WHEN nation % 3 = 0 THEN 2 * n ELSE n END AS BIGINT) AS rows, count(*) FILTER (nation % 3 = 0) OVER () AS files_read, count(*) FILTER (nation % 3 > 0) OVER () AS files_kept, count(*) FILTER (nation % 3 = 0) OVER () AS files_gone FROM k"),
     ("s01_o01_episodes", episodes, f"""
         WITH {META} SELECT k AS episode_index, p AS text, CASE WHEN known THEN ascii(p) END::BIGINT AS task_index,
           concat_ws(',', CASE WHEN k % 13 = 0 THEN 'bounds' END, CASE WHEN abs(n / 10 + (k % 17 = 0)::INT * 0.5 - (n + (k % 13 = 0)::INT) / 10) > 0.101 THEN 'duration' END,
@@ -212,7 +279,7 @@ QUERIES = [
     ("s09_k02_document_files", document_files, "SELECT 'nation-no-' || s_nationkey AS task, lpad(s_suppkey::VARCHAR, 7, '0') AS episode, s_acctbal AS balance, 0::BIGINT AS violations FROM supplier"),
     ("s22_results", results, "SELECT 'task' || n_regionkey AS task, 'pol' AS policy, 'arm' AS embodiment, n_regionkey::BIGINT AS seed, '2024010' || n_regionkey AS timestamp, n_nationkey::BIGINT AS layout_id, n_nationkey / 25 AS score FROM nation"),
     ("s23_k13_reports", reports, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"),
-    ("s24_log_lines", log_lines, "SELECT event_id * 500 AS step, user_id AS run, CAST(printf('%.2f', value / 100) AS DOUBLE) AS success FROM events WHERE event_id % 4 = 0"),
+    ("s24_log_lines", log_lines, "SELECT event_id * 500 AS step, user_id AS run, floor(value) + 0.5::DOUBLE AS success FROM events WHERE event_id % 4 = 0"),
     ("s17_discovered", discovered, "SELECT replace(lower(r_name), ' ', '-') AS dataset, r_regionkey::BIGINT AS key FROM region"),
     ("k01_k03_artifacts", artifacts, "SELECT 'dataset' AS part, r_regionkey::BIGINT AS id, r_name AS name, true AS refused FROM region UNION ALL SELECT 'episodes', n_nationkey, n_name, true FROM nation"),
     ("k04_appended", appended, "SELECT event_id, event_type, value FROM events"),

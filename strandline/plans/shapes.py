@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
+from strandline.operators import generators
 from strandline.operators import reshape as R
+from strandline.operators import tokens as tokens_of
+from strandline.operators.extension import Registry
 from strandline.plans.common import FRAMES, frames
 from strandline.sources.tables import table
 
@@ -159,6 +162,59 @@ def tokens(spark, root):
     return d.select("item_id", F.size(F.regexp_extract_all("text", F.lit(r"(\w+|[^\w\s])"), F.lit(1))).cast("long").alias("n_tokens"))
 
 
+def real_tokens(spark, root):
+    """Ids of a model vocabulary, no more than a text has bytes, and the texts that they stand for."""
+    d, path = table(spark, root, "benchmark").select("item_id", "text"), tokens_of.default_vocabulary()
+    ids = tokens_of.encoded(d, "item_id", "text", path)
+    back = tokens_of.decoded(ids, "item_id", "ids", path).join(ids, "item_id")
+    return back.select("item_id", "text", (F.size("ids") <= F.octet_length("text")).alias("fewer"))
+
+
+def removed(spark, root):
+    """A feature and all that hangs on it removed from nested rows."""
+    n = table(spark, root, "supplier").select(F.struct(c("s_suppkey").alias("id"), F.struct(c("s_acctbal").alias("now"), F.lit(1).alias("unit")).alias("balance")).alias("state"), c("s_nationkey").alias("nation"))
+    left = R.rename_paths(n, {"state/balance/.*": None})
+    return left.select(c("state.id").alias("id"), "nation", F.lit(",".join(left.schema["state"].dataType.names)).alias("left"))
+
+
+def composed(spark, root):
+    """Transform groups: an added input comes last, an added output first; there and back, identity columns untouched."""
+    step = lambda f: lambda d: d.withColumn("x", f(c("x")))
+    there, back = R.compose([step(lambda x: x + 1)], [step(lambda x: x - 1)], [step(lambda x: x * 2)], [step(lambda x: x / 2)])
+    d = table(spark, root, "supplier").select("s_suppkey", c("s_acctbal").alias("x"))
+    done = R.keeping(["s_suppkey"], lambda inner: there(inner))(d)
+    return done.select("s_suppkey", F.round("x", 4).alias("there")).join(R.keeping(["s_suppkey"], back)(done).select("s_suppkey", F.round("x", 4).alias("back")), "s_suppkey")
+
+
+def canonical(spark, root):
+    """Names of one environment's observations turned into the common ones."""
+    o = table(spark, root, "customer").select(F.struct(c("c_custkey").alias("agent_pos"), F.struct(c("c_name").alias("top")).alias("pixels"), c("c_acctbal").alias("environment_state")).alias("obs"))
+    named = R.rename_paths(o, {"obs/agent_pos": "observation/state", "obs/environment_state": "observation/environment", "obs/pixels/(.*)": r"observation/images/\1"})
+    return named.select(c("observation.state").alias("state"), c("observation.environment").alias("environment"), c("observation.images.top").alias("top"))
+
+
+def registered(spark, root):
+    """Schemas by robot type: each priority has its own transform, found by name."""
+    known = Registry("schema")
+    for i, name in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")):
+        known.register(name)(lambda d, i=i: d.select("o_orderkey", F.array(*[c("o_totalprice") * (k + 1) for k in range(i + 1)]).alias("state")))
+    o = table(spark, root, "orders")
+    parts = [known.get(name)(o.filter(c("o_orderpriority") == name)) for name in sorted(known.found)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.select("o_orderkey", F.size("state").cast("long").alias("dims"), F.round(F.element_at("state", -1), 2).alias("last"))
+
+
+def iterated(spark, root):
+    """Samples of each user's events by the generator in SQL, its schema known at analysis."""
+    generators.register(spark)
+    table(spark, root, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "value").createOrReplaceTempView("_iterated")
+    text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("decimal(20,4)").cast("string")), ",")
+    s = spark.sql("SELECT * FROM iter_episode(TABLE(_iterated), 'user_id', 'at', 'value', 1, 2, 'none')")
+    return s.select("user_id", "step", "now", text("past").alias("past"), text("future").alias("future"))
+
+
 def derived(spark, root):
     """A constant, a dropped and a derived column, as a rewrite of every file would have."""
     d = table(spark, root, "supplier")
@@ -177,7 +233,17 @@ def inventory(spark, root):
     return n.join(s, c("n_nationkey") == c("s_nationkey"), "left").select("n_nationkey", F.coalesce("n", F.lit(0)).cast("long").alias("suppliers"), c("n").isNotNull().alias("configured"))
 
 
+FIXED = "CAST(CAST({0} AS DECIMAL(20,4)) AS VARCHAR)"
 QUERIES = [
+    ("t17_vocabulary", real_tokens, "SELECT item_id, text, true AS fewer FROM benchmark"),
+    ("p14_removed", removed, "SELECT s_suppkey AS id, s_nationkey AS nation, 'id' AS \"left\" FROM supplier"),
+    ("p15_p18_composed", composed, "SELECT s_suppkey, round((s_acctbal + 1) * 2, 4) AS there, round(s_acctbal, 4) AS back FROM supplier"),
+    ("p22_canonical", canonical, "SELECT c_custkey AS state, c_acctbal AS environment, c_name AS top FROM customer"),
+    ("v23_registered", registered, "WITH o AS (SELECT o_orderkey, o_totalprice, CAST(left(o_orderpriority, 1) AS BIGINT) AS dims FROM orders) SELECT o_orderkey, dims, round(o_totalprice * dims, 2) AS last FROM o"),
+    ("udtf_iter_episode", iterated, f"""
+        WITH e AS (SELECT user_id, value, row_number() OVER w - 1 AS step, coalesce(lag(value) OVER w, value) AS p, coalesce(lead(value) OVER w, value) AS f1, coalesce(lead(value, 2) OVER w, lead(value) OVER w, value) AS f2
+                   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT user_id, step, value AS now, {FIXED.format('p')} AS past, {FIXED.format('f1')} || ',' || {FIXED.format('f2')} AS future FROM e"""),
     ("p02_flatten", flat, "SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer"),
     ("p01_repack", repacked, "SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer"),
     ("p03_p12_p13_rename", renamed, "SELECT c_custkey, c_mktsegment AS who_segment, c_acctbal AS money_balance FROM customer"),
