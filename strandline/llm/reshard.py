@@ -12,6 +12,7 @@ writes new folders for the shards that lose or gain rows and leaves all other fo
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,8 @@ from strandline.llm._shared import fresh_path, scratch, written
 #: Rows that a block is meant to hold, and the most blocks that a shard is cut into (so block tables stay bounded; 256
 #: at least).
 BLOCK_ROWS, MOST_BLOCKS = 20_000, 4096
+#: Pairs of an old and a new shard of which a flow is solved.
+SOLVED = 4096
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -63,12 +66,24 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def moves(sizes: dict[int, int], capacities: list[int]) -> dict[int, list[tuple[int, int]]]:
-    """Old shard -> [(new shard, bytes)], what stays first; fewest bytes change shards.
+def moves(sizes: dict[int, int], capacities: list[int], cost: list[list[int]] | None = None) -> dict[int, list[tuple[int, int]]]:
+    """Old shard -> [(new shard, bytes)], what stays first: the cheapest flow from sizes to capacities.
 
-    Where staying is free and every other way costs the same, a flow is cheapest exactly if each shard keeps as many
-    bytes as it may; what is over goes to whoever has room, in order of shards. (``min_cost_flow`` finds the same cost.)
+    ``cost`` has a row for each old shard in order and a column for each new one; without it staying is free and every
+    other way costs one, so that the fewest bytes change shards. With up to ``SOLVED`` pairs of shards, or with a cost,
+    the flow is solved. For more pairs of one price it is told directly: a flow is cheapest exactly if each shard keeps
+    as many bytes as it may, whoever gets what is over.
     """
+    old = sorted(sizes)
+    if cost is None and len(old) * len(capacities) > SOLVED:
+        return _kept_moves(sizes, capacities)
+    cost = cost or [[int(i != j) for j in range(len(capacities))] for i in old]
+    flow = min_cost_flow([sizes[i] for i in old], list(capacities), cost)
+    return {i: sorted(((j, f) for j, f in enumerate(row) if f), key=lambda p, i=i: (p[0] != i, p[0])) for i, row in zip(old, flow)}
+
+
+def _kept_moves(sizes: dict[int, int], capacities: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """Each shard keeps what it may; what is over goes to whoever has room, in order of shards."""
     plan: dict[int, list[tuple[int, int]]] = {}
     room, over = list(capacities), []
     for i in sorted(sizes):
@@ -105,16 +120,21 @@ def _folders(spark: SparkSession, path: str) -> dict[int, str]:
 def read_shards(spark: SparkSession, folders: dict[int, str], like: DataFrame) -> DataFrame:
     """All rows of a shard set with ``_row`` and ``_shard``; ``like`` has the columns (of another set or of its table)."""
     schema = StructType([StructField(f.name, f.dataType) for f in like.schema.fields if f.name not in ("_row", "_shard")]).add("_row", LongType())
-    parts = [spark.read.schema(schema).parquet(folder).withColumn("_shard", F.lit(i)) for i, folder in sorted(folders.items())]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema.add("_shard", IntegerType()))
+    schema = schema.add("_shard", IntegerType())
+    sets = defaultdict(list)
+    for _, folder in sorted(folders.items()):
+        sets[folder.rsplit("/", 1)[0]].append(folder)
+    # one scan for all folders of a set that were written together: the folder's name tells the shard
+    parts = [spark.read.schema(schema).option("basePath", root).parquet(*found) for root, found in sorted(sets.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def reshard(rows: DataFrame, shards: int, capacities: list[int] | None = None, text_col: str = "text") -> DataFrame:
     """(_row, size, text_crc32, old_shard, shard, slot) for every row of a shard set (``_row``, ``_shard`` and the text).
 
     ``capacities`` are bytes per new shard and must add up to the total (by default equal). A size is the UTF-8 bytes of
-    the text (null: none) plus one; texts of any length are sized where they are read. A cut falls between documents, so
-    a shard misses its capacity by less than a document for each old shard that it takes from. Slots number each shard's
+    the text (null: none) plus one; texts of any length are sized where they are read. A cut falls at the nearest end of a
+    document, so a shard misses its capacity by half a document at most for each cut of a part that it takes. Slots number each shard's
     rows from 0, in no order that means anything. Repeated rows are rows each; empty input gives an empty result. No
     other column is read, so names can't clash.
     """
@@ -145,7 +165,9 @@ def reshard(rows: DataFrame, shards: int, capacities: list[int] | None = None, t
         inside = Window.partitionBy("old_shard", "block").orderBy("_row")
         spread = placed.join(blocks, ["old_shard", "block"])
         spread = spread.withColumn("pos", F.col("start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        spread = spread.withColumn("shard", F.filter("cuts", lambda c: (c["lo"] <= F.col("pos")) & (F.col("pos") < c["hi"]))[0]["shard"])
+        # a document goes where its middle lies
+        middle = F.col("pos") + F.floor(F.col("size") / 2)
+        spread = spread.withColumn("shard", F.filter("cuts", lambda c: (c["lo"] <= middle) & (middle < c["hi"]))[0]["shard"])
         rank = F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("_row")) - 1
         ranked = written(spread.select("_row", "size", "text_crc32", "old_shard", "block", "shard", rank.alias("rank")), "reshard-ranked")
         order = Window.partitionBy("shard").orderBy("old_shard", "block")

@@ -19,6 +19,9 @@ def test_flow_moves_the_fewest_bytes():
         cost = [[int(i != j) for j in range(len(caps))] for i in sizes]
         flow = reshard.min_cost_flow([sizes[i] for i in sizes], caps, cost)
         assert moved == sum(f * c for fr, cr in zip(flow, cost) for f, c in zip(fr, cr))
+        kept = reshard._kept_moves(sizes, caps)
+        assert moved == sum(f for i, parts in kept.items() for j, f in parts if i != j)
+        assert all(sum(f for _, f in kept[i]) == s for i, s in sizes.items()) and all(p[0][0] == i for i, p in plan.items() if any(j == i for j, _ in p))
         assert [sum(f for parts in plan.values() for j, f in parts if j == k) for k in range(len(caps))] == caps
 
 
@@ -94,3 +97,21 @@ def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert reshard.op9(spark, str(tmp_path)).count() == 0
+
+
+def test_thousands_of_shards_are_one_scan(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("text"), F.lit("s").alias("source"))
+    old = reshard.write_shards(docs.coalesce(1), F.col("doc_id") % 500, str(tmp_path / "old"))
+    live = reshard.read_shards(spark, old, docs)
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and {r._shard for r in live.select("_shard").distinct().collect()} == set(range(500))
+    got = reshard.reshard(live, 2000).groupBy("shard").agg(F.sum("size").alias("size")).collect()
+    assert sum(r["size"] for r in got) == sum(1 + i % 9 for i in range(3000)) and max(r["size"] for r in got) <= 8 + 2 * 9
+
+
+def test_small_documents_make_equal_shards(spark, tmp_path):
+    """Shards are within one hundredth where documents are small against them."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 7 % 60).cast("int")).alias("text"), F.lit("s").alias("source"))
+    old = reshard.write_shards(docs, F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % 16), str(tmp_path / "old"))
+    sizes = [r["size"] for r in reshard.reshard(reshard.read_shards(spark, old, docs), 16).groupBy("shard").agg(F.sum("size").alias("size")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.01 * sum(sizes) / 16
