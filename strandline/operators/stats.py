@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ranks import position
+from strandline.operators.scans import BLOCK, last_seen, running
+
 
 def long_form(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     """One row per element: keys, ``dim`` from 0, ``x`` double."""
@@ -65,12 +68,16 @@ def stats_cache(entries: DataFrame, config: str, made: str, values: list[str]) -
 
 
 def range_changes(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
-    """(key, k, batch, lo, hi): the batches at which the range of all values so far grows, numbered from 0 in each key."""
+    """(key, k, batch, lo, hi): the batches at which the range of all values so far grows, numbered from 0 in each key.
+
+    Batches are integers from 0; running ranges are scans over blocks of batches.
+    """
     per = df.groupBy(key, batch).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    so_far = Window.partitionBy(key).orderBy(batch)
-    runs = per.select(key, batch, F.min("_lo").over(so_far).alias("lo"), F.max("_hi").over(so_far).alias("hi"))
-    grown = runs.withColumn("_old", F.lag(F.struct("lo", "hi")).over(so_far)).filter("_old is null or _old.lo <> lo or _old.hi <> hi")
-    return grown.select(key, (F.row_number().over(so_far) - 1).cast("int").alias("k"), batch, "lo", "hi")
+    runs = running(running(per, [key], batch, F.col("_hi"), "hi", largest=True), [key], batch, -F.col("_lo"), "_low", largest=True)
+    runs = runs.select(key, batch, (-F.col("_low")).alias("lo"), "hi")
+    before = last_seen(runs, [key], F.floor(F.col(batch) / BLOCK), [batch], F.struct("lo", "hi"), "_old", own=False)
+    grown = before.filter("_old is null or _old.lo <> lo or _old.hi <> hi")
+    return position(grown, batch, [key], name="k").select(key, F.col("k").cast("int").alias("k"), batch, "lo", "hi")
 
 
 def _edge(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -88,10 +95,12 @@ def adaptive_histogram(df: DataFrame, key: str, batch: str, value: str, bins: in
     """
     changes = range_changes(df, key, batch, value)
     listed = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", batch, "lo", "hi"))).alias("_c"))
-    # the range when the value comes
-    rows = df.join(listed, key).withColumn("_k", F.size(F.filter("_c", lambda c: c[batch] <= F.col(batch))) - 1)
-    first = F.get("_c", F.col("_k"))
-    counted = rows.groupBy(key, F.col("_k"), _edge(F.col(value), first["lo"], first["hi"], bins).alias("edge")).agg(F.count("*").alias("n"))
+    # the range when a batch comes: the last widening up to it
+    seen = df.select(key, batch).distinct().join(changes, [key, batch], "left")
+    change = F.when(F.col("k").isNotNull(), F.struct("k", "lo", "hi"))
+    ranges = last_seen(seen, [key], F.floor(F.col(batch) / BLOCK), [batch], change, "_r").select(key, batch, "_r")
+    rows = df.join(ranges, [key, batch]).withColumn("_k", F.col("_r.k"))
+    counted = rows.groupBy(key, F.col("_k"), _edge(F.col(value), F.col("_r.lo"), F.col("_r.hi"), bins).alias("edge")).agg(F.count("*").alias("n"))
     later = F.filter("_c", lambda c: c["k"] > F.col("_k"))
     moved = counted.join(listed, key).withColumn("edge", F.aggregate(later, F.col("edge"), lambda at, c: _edge(at, c["lo"], c["hi"], bins)))
     return moved.groupBy(key, "edge").agg(F.sum("n").alias("n"))
