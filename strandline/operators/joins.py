@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.ranks import sums_before
+from strandline.operators.scans import last_seen
 
 
 def range_join(points: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str, width: float, how: str = "inner") -> DataFrame:
@@ -33,45 +34,59 @@ def offsets(df: DataFrame, order: str, length: str, block: int = 4096) -> DataFr
     return out.withColumn("stop", F.col("_base") + F.col("_sum")).withColumn("start", F.col("stop") - F.col(length)).drop("_block", "_sum", "_base")
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_order: str, values: list[str], allow_equal: bool = True) -> DataFrame:
+def _carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, width: float | None, ahead: bool = False) -> DataFrame:
+    """``name``: the last ``value`` at or before each row, or the first at or after it. With ``width`` a task looks at that
+    much of the first order column, else at a whole key."""
+    if width is not None:
+        return last_seen(df, keys, F.floor(F.col(order[0]) / width), order, F.col(value), name, ahead=ahead)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    if ahead:
+        return df.withColumn(name, F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return df.withColumn(name, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_order: str, values: list[str], allow_equal: bool = True, width: float | None = None) -> DataFrame:
     """Left rows with the values of the last right row of the same key at or before their time (null if none).
 
     One pass: both sides in one partition order, the last right row carried forward. Of right rows with one time the
-    one with the greatest ``right_order`` counts.
+    one with the greatest ``right_order`` counts. Where a key may be hot, ``width`` cuts it into spans of time, over which
+    the last right row is carried; times are numbers then.
     """
     first, second = (0, 1) if allow_equal else (1, 0)
     packed = F.struct(*values)
     r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(first).alias("_side"), F.col(right_order).cast("long").alias("_o"), packed.alias("_v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
     m = left.select(*keys, F.col(left_time).alias("_t"), F.lit(second).alias("_side"), F.lit(None).cast("long").alias("_o"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.struct("*").alias("_l"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    carried = r.unionByName(m).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_l is not null")
-    return carried.select("_l.*", *[F.col("_v")[v].alias(v) for v in values])
+    carried = _carried(r.unionByName(m), keys, ["_t", "_side", "_o"], "_v", "_a", width).filter("_l is not null")
+    return carried.select("_l.*", *[F.col("_a")[v].alias(v) for v in values])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_order: str, value: str) -> DataFrame:
-    """Left rows with the value of the right row of the same key nearest in time; of two equally near the earlier."""
+def _around(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, order: list[Column], value: str, width: float | None) -> DataFrame:
+    """Both sides with ``_a`` and ``_b``, the right rows (t, v) before and after each row."""
     kind = left.select(F.struct("*")).schema[0].dataType
     packed = F.struct(F.col(right_time).alias("t"), F.col(value).alias("v"))
-    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(right_order).cast("long").alias("_o"), packed.alias("_v"), F.lit(None).cast(kind).alias("_l"))
-    m = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_o"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.struct("*").alias("_l"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o")
-    both = r.unionByName(m)
-    both = both.withColumn("_a", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    names = [f"_o{i}" for i in range(len(order))]
+    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *[o.alias(n) for o, n in zip(order, names)], packed.alias("_v"), F.lit(None).cast(kind).alias("_l"))
+    m = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(r.schema[n].dataType).alias(n) for n in names], F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.struct("*").alias("_l"))
+    both = _carried(r.unionByName(m), keys, ["_t", "_side", *names], "_v", "_a", width)
+    return _carried(both, keys, ["_t", "_side", *names], "_v", "_b", width, ahead=True)
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_order: str, value: str, width: float | None = None) -> DataFrame:
+    """Left rows with the value of the right row of the same key nearest in time; of two equally near the earlier.
+
+    ``width`` as in ``asof``.
+    """
+    both = _around(left, right, keys, left_time, right_time, [F.col(right_order).cast("long")], value, width)
     before = F.col("_t") - F.col("_a.t")
     after = F.col("_b.t") - F.col("_t")
     pick = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).when(before <= after, F.col("_a.v")).otherwise(F.col("_b.v"))
     return both.filter("_l is not null").select("_l.*", pick.alias(value))
 
 
-def interpolated(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
-    """Left rows with the right value at their time by straight lines; beyond the ends the end value."""
-    kind = left.select(F.struct("*")).schema[0].dataType
-    packed = F.struct(F.col(right_time).alias("t"), F.col(value).alias("v"))
-    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), packed.alias("_v"), F.lit(None).cast(kind).alias("_l"))
-    m = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.struct("*").alias("_l"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
-    both = r.unionByName(m)
-    both = both.withColumn("_a", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+def interpolated(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, width: float | None = None) -> DataFrame:
+    """Left rows with the right value at their time by straight lines; beyond the ends the end value. ``width`` as in
+    ``asof``."""
+    both = _around(left, right, keys, left_time, right_time, [], value, width)
     gap = F.col("_b.t") - F.col("_a.t")
     between = F.when(gap > 0, F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_t") - F.col("_a.t")) / gap).otherwise(F.col("_a.v"))
     pick = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(between)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import joins as J
 from strandline.operators import scans
 from strandline.operators import windows as W
 
@@ -96,3 +97,19 @@ def test_walks_cover_first_and_last(spark, small):
     assert places[0] == 0 and places[-1] == 499 and all(2 <= s <= 4 for s in steps[:-1]) and 1 <= steps[-1] <= 4 and set(steps) == {2, 3, 4} | {steps[-1]}
     again = {(r.k, r.place) for r in scans.walk(df.coalesce(1), "k", "n", "s").collect()}
     assert again == {(k, p) for k, v in got.items() for p in v}
+
+
+@pytest.mark.parametrize("join", ["asof", "before", "nearest", "interpolated"])
+def test_joins_by_time_cut_into_spans(spark, join):
+    """A hot key that is cut into spans of time gives what the whole key gives."""
+    rng = random.Random(6)
+    left = spark.createDataFrame([(k, i, rng.randrange(500)) for i in range(300) for k in ("hot", None)], "k string, id long, t long")
+    right = spark.createDataFrame([(k, i, rng.randrange(500), rng.random()) for i in range(120) for k in ("hot", None, "other")], "k string, o long, rt long, v double").dropDuplicates(["k", "rt"])
+    f = {
+        "asof": lambda w: J.asof(left, right, ["k"], "t", "rt", "o", ["v"], width=w),
+        "before": lambda w: J.asof(left, right, ["k"], "t", "rt", "o", ["v"], allow_equal=False, width=w),
+        "nearest": lambda w: J.nearest(left, right, ["k"], "t", "rt", "o", "v", width=w),
+        "interpolated": lambda w: J.interpolated(left, right, ["k"], "t", "rt", "v", width=w),
+    }[join]
+    whole, spans = ({(r.k, r.id): r.v for r in f(w).collect()} for w in (None, 7))
+    assert whole == spans and len(whole) == 600 and any(v is not None for v in whole.values())
