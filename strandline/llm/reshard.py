@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from strandline.llm._shared import fresh_path, scratch, written
+from strandline.llm._shared import fresh_path, remove, scratch, written
 
 #: Rows that a block is meant to hold, and the most blocks that a shard is cut into (so block tables stay bounded; 256
 #: at least).
@@ -197,13 +197,19 @@ def describe(folders: dict[int, str]) -> str:
 
 
 def op9(spark, root):
-    """Query op9_reshard: from 16 shards by source to 16 shards of equal bytes, read back from the rewritten files."""
+    """Query op9_reshard: from 16 shards by source to 16 shards of equal bytes, read back from the rewritten files. Both
+    shard sets go once their rows are told."""
     docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "source")
-    old = write_shards(docs, F.pmod(F.xxhash64("source"), F.lit(16)), fresh_path(spark, "shards"))
-    assigned = reshard(read_shards(spark, old, docs), 16)
-    new = read_shards(spark, rewrite(spark, old, docs, assigned, fresh_path(spark, "shards")), docs)
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    stored = new.select("_row", "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col("_shard").alias("shard"))
-    slots = assigned.select("_row", F.col("shard").alias("_due"), "slot")
-    shard = F.when(F.col("shard") == F.col("_due"), F.col("shard")).otherwise(F.raise_error(F.lit("a row is in a shard that it was not assigned to")).cast("int"))
-    return stored.join(slots, "_row").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    paths = fresh_path(spark, "shards"), fresh_path(spark, "shards")
+    with scratch(spark) as keep:
+        old = write_shards(docs, F.pmod(F.xxhash64("source"), F.lit(16)), paths[0])
+        assigned = reshard(read_shards(spark, old, docs), 16)
+        new = read_shards(spark, rewrite(spark, old, docs, assigned, paths[1]), docs)
+        text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+        stored = new.select("_row", "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col("_shard").alias("shard"))
+        slots = assigned.select("_row", F.col("shard").alias("_due"), "slot")
+        shard = F.when(F.col("shard") == F.col("_due"), F.col("shard")).otherwise(F.raise_error(F.lit("a row is in a shard that it was not assigned to")).cast("int"))
+        rows = stored.join(slots, "_row").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+        rows = keep(rows, "resharded")
+        remove(spark, list(paths))
+        return rows

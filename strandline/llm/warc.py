@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import fresh_path, scratch, written
+from strandline.llm._shared import fresh_path, remove, scratch, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = b"\r\n\r\n"
@@ -199,10 +199,13 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1(spark, root):
-    """Query op1_warc: archive the pages, read the archive back."""
+    """Query op1_warc: archive the pages, read the archive back; the archive goes once its records are told."""
     path = fresh_path(spark, "warc")
-    archive_pages(spark.read.parquet(f"{root}/pages.parquet"), path)
-    return read_pages(spark, path)
+    with scratch(spark) as keep:
+        archive_pages(spark.read.parquet(f"{root}/pages.parquet"), path)
+        records = keep(read_pages(spark, path), "warc-records")
+        remove(spark, [path])
+        return records
 
 
 SQL = """
