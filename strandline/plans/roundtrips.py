@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.plans.common import FRAMES, frames, fresh_folder
-from strandline.sources import counts, files, mcap, sinks, tfrecord
+from strandline.sources import counts, files, mcap, sinks, tfrecord, vqa
 from strandline.sources.snapshots import SnapshotTable
 from strandline.sources.tables import table
 
@@ -257,9 +257,28 @@ def incremental(spark, root):
 
 META = """n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
         m AS (SELECT k, n, o_orderpriority AS p, p <> '2-HIGH' AS known FROM n JOIN orders ON o_orderkey = k)"""
+def questions(spark, root):
+    """Parts as questions over their brand's image, which is beside the lines for some brands, under a root for others and
+    missing for the rest."""
+    at = fresh_folder(spark, "vqa")
+    for i, r in enumerate(table(spark, root, "part").select("p_brand").distinct().orderBy("p_brand").collect()):  # 25 rows
+        if i % 3 < 2:
+            put(spark, f"{at}/{('set', 'root/data')[i % 3]}/{r.p_brand}.png", "x")
+    turns = F.array(F.struct(F.lit("human").alias("from"), F.col("p_name").alias("value")), F.struct(F.lit("gpt").alias("from"), F.col("p_type").alias("value")))
+    lines = table(spark, root, "part").select("p_partkey", F.to_json(F.struct(turns.alias("conversations"), F.concat("p_brand", F.lit(".png")).alias("image"), F.lit("data").alias("data_path"), F.col("p_partkey").cast("string").alias("source"))).alias("value"))
+    lines.select("value").write.text(f"{at}/set/lines")
+    found, _ = vqa.records(spark, f"{at}/set/lines")
+    # several files number their lines each, the source tells the part
+    found = found.withColumn("line", c("source").cast("long"))
+    done, lost = vqa.resolved(found, counts.listed(spark, at, "*.png"), f"{at}/set", f"{at}/root")
+    shown = done.select(c("line").alias("part"), F.regexp_extract(c("images")[0], "/(set|root)/", 1).alias("place"), c("conversations")[1]["value"].alias("answer"))
+    return shown.unionByName(lost.select(c("line").alias("part"), F.lit("nowhere").alias("place"), F.lit(None).cast("string").alias("answer")))
+
+
 #: The events between a quarter and half of the time.
 SPAN = "n AS (SELECT min(epoch_us(ts)) * 1000 AS low, max(epoch_us(ts)) * 1000 AS high FROM events)"
 QUERIES = [
+    ("s20_questions", questions, "WITH b AS (SELECT p_brand, (row_number() OVER (ORDER BY p_brand) - 1) % 3 AS k FROM (SELECT DISTINCT p_brand FROM part)) SELECT p_partkey AS part, CASE k WHEN 0 THEN 'set' WHEN 1 THEN 'root' ELSE 'nowhere' END AS place, CASE WHEN k < 2 THEN p_type END AS answer FROM part JOIN b USING (p_brand)"),
     ("k03_k04_snapshots", snapshots, "SELECT 'appended' AS state, event_id, event_type, round(value, 4) AS value FROM events UNION ALL SELECT 'replaced', min(event_id), event_type, round(sum(value), 4) FROM events GROUP BY event_type"),
     ("s16_k10_tfrecord_vectors", tfrecord_vectors, "SELECT vec_id, label, len(embedding) AS n, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS x{i}" for i in (0, 31, 63)) + " FROM embeddings"),
     ("s16_k10_tfrecord_events", tfrecord_events, "SELECT event_id, epoch_us(ts) AS micros, event_type, CASE WHEN user_id % 5 > 0 THEN user_id END AS user_id, floor(value) AS value, props FROM events"),
