@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.sources import storage
 from strandline.sources.tables import table
 
 
@@ -19,15 +20,29 @@ def frames(spark, root):
     )
 
 
+#: Folders that queries of this process have made.
+_made: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for the files of a query below ``spark.checkpoint.dir``; on one machine without it a temporary one."""
+    """A new folder for the files of a query below ``spark.checkpoint.dir``; on one machine without it a temporary one.
+
+    A query's result reads its folder, so it stays until ``delete_folders``.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="strandline-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def delete_folders(spark: SparkSession) -> None:
+    """Delete what queries have written so far; their results can't be read any more."""
+    while _made:
+        storage.delete(spark, _made.pop())
 
 
 #: CTE ``f``: the same frames.

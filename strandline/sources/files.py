@@ -13,7 +13,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(_file, _line from 1, raw) of text files of any size; a file may be read by many tasks.
 
     A task numbers the lines that it reads; those of one part of a file are numbered in a row, so a line's number is its
-    place in its part and the lines of the file's earlier parts.
+    place in its part and the lines of the file's earlier parts. The files are listed once, when this is called: both
+    scans cut the same listing into the same parts, and files that are added later are in neither.
     """
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("raw"))
     parts = text.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
