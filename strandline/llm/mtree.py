@@ -24,6 +24,8 @@ from strandline.llm._shared import scratch, written
 
 #: Objects of a node, vectors of a tree, entries of the topmost node, queries of a packed row and packed rows of a task.
 PAGE, TREE, MOST_PIVOTS, PACKED, ROWS = 128, 8192, 1024, 1024, 32
+#: Components that a tree, the topmost node and a packed row hold at most: fewer vectors where they are longer.
+TREE_SIZE, PIVOT_SIZE, PACKED_SIZE = 1 << 22, 1 << 20, 1 << 18
 #: Squared norms from here on are out of the range of scores.
 TOO_LONG = float(1 << 62)
 #: What float distances may be off, in norms.
@@ -181,14 +183,14 @@ ASKS_SQL = "cell int, pack long, uid binary, id binary, v binary, least binary,
 NONE = -(1 << 63)
 
 
-def _asked(pivots: np.ndarray, top: float, radii: np.ndarray | None):
+def _asked(pivots: np.ndarray, top: float, radii: np.ndarray | None, packed: int):
     """Packed questions to cells: to the nearest one alone, or with ``radii`` to all that the reach touches."""
     centres, width = lifted(pivots, top), pivots.shape[1]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, PACKED):
-                part = batch.slice(at, PACKED)
+            for at in range(0, batch.num_rows, packed):
+                part = batch.slice(at, packed)
                 uid, ident = part.column(0).to_numpy(), part.column(1).to_numpy()
                 v, least = _matrix(part.column(2), width), part.column(3).to_numpy()
                 q = np.c_[v.astype(np.float64), np.zeros(len(v))]
@@ -243,7 +245,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     Fewer candidates give fewer rows, an empty table none. Other columns are not read, so their names can't clash.
 
     Memory: a task holds a tree (``TREE`` vectors or so) and ``ROWS`` x ``PACKED`` queries at most; the driver and the
-    tasks' closures hold up to ``MOST_PIVOTS`` vectors.
+    tasks' closures hold up to ``MOST_PIVOTS`` vectors. Longer vectors make them fewer (``TREE_SIZE`` and the like).
     """
     spark = vectors.sparkSession
     with scratch(spark) as keep:
@@ -255,17 +257,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         if not queries:
             return spark.createDataFrame([], schema)
         top = float(np.sqrt(top2))
+        tree, most, packed = (max(1, min(n, size // max(1, width))) for n, size in ((TREE, TREE_SIZE), (MOST_PIVOTS, PIVOT_SIZE), (PACKED, PACKED_SIZE)))
         # a bounded sample: the rows of the least hashes
-        seeds = rows.orderBy(F.xxhash64("uid"), "uid").limit(min(MOST_PIVOTS, -(-4 * n // TREE))).select("v").collect()
+        seeds = rows.orderBy(F.xxhash64("uid"), "uid").limit(min(most, -(-4 * n // tree))).select("v").collect()
         pivots = np.unique(np.array([[*r[0], *[0] * (width - len(r[0]))] for r in seeds], np.int32).reshape(len(seeds), width), axis=0)
         cells = written(rows.select("uid", "id", "v").mapInArrow(_dealt(pivots, top), "uid long, id long, v binary, cell int, far double"), "cells")
         sizes = {r["cell"]: (r["n"], r["far"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row for each pivot
-        trees = np.array([-(-sizes[c][0] // TREE) if c in sizes else 0 for c in range(len(pivots))])
+        trees = np.array([-(-sizes[c][0] // tree) if c in sizes else 0 for c in range(len(pivots))])
         radii = np.array([sizes[c][1] if c in sizes else -np.inf for c in range(len(pivots))])
         subs = F.create_map(*[F.lit(int(x)) for c, t in enumerate(trees) for x in (c, t)])
         split = cells.withColumn("sub", F.pmod(F.xxhash64("uid"), subs[F.col("cell")]).cast("int")).select("cell", "sub", "uid", "id", "v")
         pages = written(split.groupBy("cell", "sub").applyInArrow(_pages(pivots, top), PAGES_SQL), "pages")
-        parts = -(-queries // (PACKED * ROWS))
+        parts = -(-queries // (packed * ROWS))
 
         def answers(asks: DataFrame, all_trees: bool) -> DataFrame:
             """Questions against pages, by (tree, part of the questions)."""
@@ -278,10 +281,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
 
         kinds = [F.lit(NONE).cast("long").alias("least")]
         seeking = asked.select("uid", "id", "v", *kinds)
-        first = written(answers(seeking.mapInArrow(_asked(pivots, top, None), ASKS_SQL), False), "first")
+        first = written(answers(seeking.mapInArrow(_asked(pivots, top, None, packed), ASKS_SQL), False), "first")
         floors = first.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
         known = asked.join(floors, "uid", "left").select("uid", "id", "v", F.coalesce("least", F.lit(NONE)).alias("least"))
-        rest = answers(written(known.mapInArrow(_asked(pivots, top, radii), ASKS_SQL), "asks"), True)
+        rest = answers(written(known.mapInArrow(_asked(pivots, top, radii, packed), ASKS_SQL), "asks"), True)
         order = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("id"))
         best = rest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         return keep(best.select("query_id", "rank", F.col("id").alias("vec_id"), "score"), "nearest")

@@ -89,3 +89,10 @@ def test_bounds_save_distances_and_lose_nothing():
         want = sorted(((int(s), -j) for j, s in enumerate(scores) if j != i), reverse=True)[:10]
         assert sorted(((s, b) for s, b, _ in best), reverse=True) == want
     assert spent < 0.4 * 40 * 4000
+
+
+def test_long_vectors_make_smaller_trees(spark, monkeypatch):
+    for name, value in (("TREE_SIZE", 4000), ("PIVOT_SIZE", 1000), ("PACKED_SIZE", 500)):
+        monkeypatch.setattr(mtree, name, value)
+    rows = clustered(150, 100, 7)
+    assert got(mtree.top_k(spark.createDataFrame(rows, KIND), F.col("id") % 30 == 0)) == brute(rows, every=30)
