@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ranks import position
 from strandline.operators.scans import BLOCK, last_seen, running
 
 
@@ -67,8 +66,9 @@ def stats_cache(entries: DataFrame, config: str, made: str, values: list[str]) -
     return entries.groupBy(config).agg(F.max(made).alias(made), *[F.max_by(v, made).alias(v) for v in values])
 
 
-def range_changes(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
-    """(key, k, batch, lo, hi): the batches at which the range of all values so far grows, numbered from 0 in each key.
+def batch_ranges(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
+    """(key, batch, lo, hi, grown, k): the range of all values up to each batch, whether the batch made it grow, and the
+    number of its last growth, from 0.
 
     Batches are integers from 0; running ranges are scans over blocks of batches.
     """
@@ -76,8 +76,13 @@ def range_changes(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
     runs = running(running(per, [key], batch, F.col("_hi"), "hi", largest=True), [key], batch, -F.col("_lo"), "_low", largest=True)
     runs = runs.select(key, batch, (-F.col("_low")).alias("lo"), "hi")
     before = last_seen(runs, [key], F.floor(F.col(batch) / BLOCK), [batch], F.struct("lo", "hi"), "_old", own=False)
-    grown = before.filter("_old is null or _old.lo <> lo or _old.hi <> hi")
-    return position(grown, batch, [key], name="k").select(key, F.col("k").cast("int").alias("k"), batch, "lo", "hi")
+    grown = before.withColumn("grown", F.col("_old").isNull() | (F.col("_old.lo") != F.col("lo")) | (F.col("_old.hi") != F.col("hi"))).drop("_old")
+    return running(grown, [key], batch, F.col("grown").cast("int"), "k").withColumn("k", (F.col("k") - 1).cast("int"))
+
+
+def range_changes(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
+    """(key, k, batch, lo, hi): the batches at which the range of all values so far grows, numbered from 0 in each key."""
+    return batch_ranges(df, key, batch, value).filter("grown").select(key, "k", batch, "lo", "hi")
 
 
 def _edge(value: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -93,14 +98,11 @@ def adaptive_histogram(df: DataFrame, key: str, batch: str, value: str, bins: in
     holds the old one's left edge. Where a value ends thus depends on its batch and on the later widenings only, and
     those are few, so batches are counted in parallel and each (widening, bin) is moved on its own.
     """
-    changes = range_changes(df, key, batch, value)
-    listed = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", batch, "lo", "hi"))).alias("_c"))
-    # the range when a batch comes: the last widening up to it
-    seen = df.select(key, batch).distinct().join(changes, [key, batch], "left")
-    change = F.when(F.col("k").isNotNull(), F.struct("k", "lo", "hi"))
-    ranges = last_seen(seen, [key], F.floor(F.col(batch) / BLOCK), [batch], change, "_r").select(key, batch, "_r")
-    rows = df.join(ranges, [key, batch]).withColumn("_k", F.col("_r.k"))
-    counted = rows.groupBy(key, F.col("_k"), _edge(F.col(value), F.col("_r.lo"), F.col("_r.hi"), bins).alias("edge")).agg(F.count("*").alias("n"))
+    ranges = batch_ranges(df, key, batch, value)
+    listed = ranges.filter("grown").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", batch, "lo", "hi"))).alias("_c"))
+    # the range when a batch comes
+    rows = df.select(key, batch, value).join(ranges.select(key, batch, F.col("k").alias("_k"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), [key, batch])
+    counted = rows.groupBy(key, "_k", _edge(F.col(value), F.col("_lo"), F.col("_hi"), bins).alias("edge")).agg(F.count("*").alias("n"))
     later = F.filter("_c", lambda c: c["k"] > F.col("_k"))
     moved = counted.join(listed, key).withColumn("edge", F.aggregate(later, F.col("edge"), lambda at, c: _edge(at, c["lo"], c["hi"], bins)))
     return moved.groupBy(key, "edge").agg(F.sum("n").alias("n"))
