@@ -24,14 +24,27 @@ def _with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFra
 
 def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, largest: bool = False, block: int | None = None) -> DataFrame:
     """``name``: the sum of ``value`` up to and with each row, or with ``largest`` the greatest so far."""
-    f, size = (F.max if largest else F.sum), block or BLOCK
-    rows = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(order) / size))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_block").agg(f("_value").alias("_total")).withColumn("_total", f("_total").over(before))
-    inside = f("_value").over(Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    met = _with_totals(rows.withColumn("_inside", inside), totals, keys)
-    whole = F.greatest("_inside", "_total") if largest else F.coalesce("_total", F.lit(0)) + F.col("_inside")
-    return met.withColumn(name, F.coalesce(whole, F.col("_total"))).drop("_value", "_block", "_total", "_inside")
+    return runnings(df, keys, order, {name: (value, largest, True)}, block)
+
+
+def runnings(df: DataFrame, keys: list[str], order: str, columns: dict[str, tuple[Column, bool, bool]], block: int | None = None) -> DataFrame:
+    """Several running values in one pass: name -> (value, whether the greatest or the sum, whether the row counts itself).
+
+    A pass reads its rows twice, for the blocks' totals and for the rows, so what can go together should.
+    """
+    size = block or BLOCK
+    rows = df.withColumns({f"_v{i}": v for i, (v, _, _) in enumerate(columns.values())}).withColumn("_block", F.floor(F.col(order) / size))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    f = [F.max if largest else F.sum for _, largest, _ in columns.values()]
+    totals = rows.groupBy(*keys, "_block").agg(*[g(f"_v{i}").alias(f"_t{i}") for i, g in enumerate(f)])
+    totals = totals.withColumns({f"_t{i}": g(f"_t{i}").over(earlier) for i, g in enumerate(f)})
+    own = [0 if o else -1 for _, _, o in columns.values()]
+    met = _with_totals(rows.withColumns({f"_i{i}": g(f"_v{i}").over(inside.rowsBetween(Window.unboundedPreceding, own[i])) for i, g in enumerate(f)}), totals, keys)
+    for i, (name, (_, largest, _)) in enumerate(columns.items()):
+        whole = F.greatest(f"_i{i}", f"_t{i}") if largest else F.coalesce(f"_t{i}", F.lit(0)) + F.col(f"_i{i}")
+        met = met.withColumn(name, F.coalesce(whole, F.col(f"_t{i}")))
+    return met.drop("_block", *[f"_{x}{i}" for x in "vti" for i in range(len(columns))])
 
 
 def last_seen(df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, name: str, ahead: bool = False, own: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.scans import BLOCK, last_seen, running
+from strandline.operators.scans import running, runnings
 
 
 def long_form(df: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -73,11 +73,11 @@ def batch_ranges(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
     Batches are integers from 0; running ranges are scans over blocks of batches.
     """
     per = df.groupBy(key, batch).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    runs = running(running(per, [key], batch, F.col("_hi"), "hi", largest=True), [key], batch, -F.col("_lo"), "_low", largest=True)
-    runs = runs.select(key, batch, (-F.col("_low")).alias("lo"), "hi")
-    before = last_seen(runs, [key], F.floor(F.col(batch) / BLOCK), [batch], F.struct("lo", "hi"), "_old", own=False)
-    grown = before.withColumn("grown", F.col("_old").isNull() | (F.col("_old.lo") != F.col("lo")) | (F.col("_old.hi") != F.col("hi"))).drop("_old")
-    return running(grown, [key], batch, F.col("grown").cast("int"), "k").withColumn("k", (F.col("k") - 1).cast("int"))
+    low, high = -F.col("_lo"), F.col("_hi")
+    runs = runnings(per, [key], batch, {"_low": (low, True, True), "hi": (high, True, True), "_old_low": (low, True, False), "_old_hi": (high, True, False)})
+    grown = F.col("_old_hi").isNull() | (F.col("_old_low") != F.col("_low")) | (F.col("_old_hi") != F.col("hi"))
+    runs = runs.select(key, batch, (-F.col("_low")).alias("lo"), "hi", grown.alias("grown"))
+    return running(runs, [key], batch, F.col("grown").cast("int"), "k").withColumn("k", (F.col("k") - 1).cast("int"))
 
 
 def range_changes(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
