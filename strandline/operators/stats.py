@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,38 +16,46 @@ def long_form(df: DataFrame, vector: str, *keys: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, keys: list[str], named: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """(keys, one column for each name): exact quantiles, linear between neighbours; null where a key has no value.
+    """(keys, one column for each name): exact quantiles, linear between neighbours; no row where a key has no value.
 
-    A group never meets in one task. A sketch gives two edges around each wanted quantile, one pass counts the rows
-    between the edges, and only the narrow parts that hold the wanted ranks (about 4 / ``accuracy`` of the rows) are
-    looked into, where equal values have been added up first. The edges only steer the work: any edges give the same
-    result.
+    A large group never meets in one task, and rows are read twice. A sketch gives an edge on either side of each wanted
+    quantile, at four times the sketch's error. Then values between such edges (about 8 / ``accuracy`` of the rows) and
+    all values of keys with less than 2 x ``accuracy`` rows, which the sketch holds whole as well, are counted one by
+    one, and what lies between the edges of neighbours is counted as a whole. Running counts of those give the ranks.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
-    wanted = [(F.lit(name), F.lit(float(p))) for name, p in named.items()]
-    shares = sorted({min(1.0, max(0.0, p + side * 2 / accuracy)) for p in named.values() for side in (-1, 1)})
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, accuracy).alias("_edges"))
-    found = sum(((F.get("_edges", F.lit(i)) <= F.col("_v")).cast("int") for i in range(1, len(shares))), (F.get("_edges", F.lit(0)) <= F.col("_v")).cast("int"))
-    placed = rows.join(edges, keys).select(*keys, found.alias("_bin"), "_v")
-    counts = placed.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_n")
-    counts = counts.select(*keys, "_bin", "_n", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
-    asked = counts.withColumn("_q", F.explode(F.array(*[F.struct(n.alias("name"), p.alias("p")) for n, p in wanted])))
-    asked = asked.withColumn("_at", F.col("_q.p") * (F.col("_total") - 1))
-    asked = asked.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-    asked = asked.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).select(*keys, "_bin", "_before", "_q", "_at", "_rank")
-    few = asked.select(*keys, "_bin").distinct()
-    values = placed.join(few, [*keys, "_bin"]).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
-    seen = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
-    values = values.select(*keys, "_bin", "_v", (seen - F.col("_c")).alias("_from"), seen.alias("_to"))
-    met = asked.join(values, [*keys, "_bin"]).filter((F.col("_rank") - F.col("_before") >= F.col("_from")) & (F.col("_rank") - F.col("_before") < F.col("_to")))
-    part = F.col("_at") - F.floor("_at")
-    ends = met.groupBy(*keys, F.col("_q.name").alias("_name")).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first(part).alias("_part"))
-    linear = ends.withColumn("_y", F.when(F.col("_part") == 0, F.col("_a")).otherwise((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_b")))
-    out = linear.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_y"))).alias(name) for name in named])
-    return out.drop("_all")
+    shares = [min(1.0, max(0.0, p + side * 4 / accuracy)) for p in named.values() for side in (-1, 1)]
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, accuracy).alias("_edges"), F.count("*").alias("_all_n"))
+    edge, v = [F.get("_edges", F.lit(i)) for i in range(len(shares))], F.col("_v")
+    near = reduce(lambda a, b: a | b, [(edge[i] <= v) & (v <= edge[i + 1]) for i in range(0, len(shares), 2)], F.col("_all_n") < 2 * accuracy)
+    # rises with the value, and parts the values at an edge from those on its sides
+    region = reduce(lambda a, b: a + b, [(e < v).cast("int") + (e <= v).cast("int") for e in edge])
+    counts = _met(rows, edges, keys).select(*keys, region.alias("_region"), F.when(near, v).alias("_near"))
+    counts = counts.groupBy(*keys, "_region", "_near").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    regions = counts.groupBy(*keys, "_region").agg(F.sum("_n").alias("_sum"))
+    regions = regions.select(*keys, "_region", (F.sum("_sum").over(whole.orderBy("_region")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(whole).alias("_total"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_region").orderBy("_near"))
+    ranked = _met(counts.withColumn("_upto", upto), regions, [*keys, "_region"]).withColumn("_to", F.col("_before") + F.col("_upto"))
+    found = F.coalesce("_near", F.raise_error(F.lit("a sketch of quantiles is further off than its error")))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_to") - F.col("_n") <= rank) & (rank < F.col("_to")), found))
+
+    place = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in named.items()}
+    ends = ranked.groupBy(*keys).agg(*[c for i, x in enumerate(place.values()) for c in (at(F.floor(x)).alias(f"_a{i}"), at(F.ceil(x)).alias(f"_b{i}"))], F.first("_total").alias("_total"))
+    part = {name: x - F.floor(x) for name, x in place.items()}
+    linear = [F.when(part[name] == 0, F.col(f"_a{i}")).otherwise((1 - part[name]) * F.col(f"_a{i}") + part[name] * F.col(f"_b{i}")).alias(name) for i, name in enumerate(named)]
+    return ends.select(*keys, *linear).drop("_all")
+
+
+def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key; null keys are equal."""
+    named = table.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in table.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(named[f"_key{i}"]) for i, k in enumerate(keys)])
+    return rows.join(named, same).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def vector_stats(df: DataFrame, vector: str, *keys: str) -> DataFrame:
