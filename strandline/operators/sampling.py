@@ -223,6 +223,7 @@ def greedy_balance(df: DataFrame, order: str, ident: str, size: str, shards: int
     """(ident, shard, before): items in order, each to the shard that is shortest so far (the first of equals).
 
     Each choice depends on all before it, so one task reads (ident, size) in order; it remembers ``shards`` numbers.
+    The rows come to it by an exchange, so what makes them still runs on all tasks.
     Items are whole episodes or files, not their rows.
     """
 
@@ -238,5 +239,5 @@ def greedy_balance(df: DataFrame, order: str, ident: str, size: str, shards: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard, pa.int64()), pa.array(before, pa.int64())], [ident, "shard", "before"])
 
     kind = dict(df.dtypes)[ident]
-    items = df.select(order, F.col(ident), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")).coalesce(1).sortWithinPartitions(order, ident)
+    items = df.select(order, F.col(ident), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")).repartition(1).sortWithinPartitions(order, ident)
     return items.select(ident, "_size").mapInArrow(run, f"{ident} {kind}, shard long, before long")
