@@ -56,3 +56,14 @@ def test_routes_of_long_keys(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     got = catalog.queries()["t01_routes"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted(con.execute(catalog.oracle_sql()["t01_routes"]).fetchall())
+
+
+def test_log_lines_keep_hundredths(spark, tmp_path):
+    """Every value that differs in hundredths, ties such as 0.5 / 100 among them; nothing is cut to whole numbers."""
+    rows = [(4 * i, i % 7, i / 100) for i in range(20_000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in catalog.queries()["s24_log_lines"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.oracle_sql()["s24_log_lines"]).fetchall())
+    assert got == [(i * 500, u, float("%.2f" % (v / 100))) for i, u, v in rows]
