@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import slug
 from strandline.operators.joins import offsets
+from strandline.sources import storage
 
 
 def build_artifacts(path: str, **tables: DataFrame) -> None:
@@ -15,10 +16,15 @@ def build_artifacts(path: str, **tables: DataFrame) -> None:
         df.write.mode("errorifexists").json(f"{path}/{name}.jsonl")
 
 
+def by_folder(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a folder in one partition, folders spread over many: small files take time by their number, not by bytes."""
+    return df.repartition(storage.tasks(df.sparkSession), *columns)
+
+
 def document_files(df: DataFrame, path: str, task: str = "task", episode: str = "episode") -> None:
     """Documents in folders by task slug and episode: task=<slug>/episode=<number>/."""
     rows = df.withColumn("task", slug(F.col(task))).withColumn("episode", F.lpad(F.col(episode).cast("string"), 7, "0"))
-    rows.repartition("task", "episode").write.mode("errorifexists").partitionBy("task", "episode").json(path)
+    by_folder(rows, "task", "episode").write.mode("errorifexists").partitionBy("task", "episode").json(path)
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -26,7 +32,7 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def episode_files(frames: DataFrame, path: str, episode: str = "episode") -> None:
-    frames.repartition(episode).sortWithinPartitions(episode, "frame").write.mode("errorifexists").partitionBy(episode).parquet(path)
+    by_folder(frames, episode).sortWithinPartitions(episode, "frame").write.mode("errorifexists").partitionBy(episode).parquet(path)
 
 
 def with_global_index(frames: DataFrame, episode: str, frame: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import SparkSession
@@ -67,6 +69,26 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
         delete(spark, beside)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks that share work which is counted in files rather than bytes: Spark would join partitions of few bytes."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Readers that are made inside list their folders by a few tasks.
+
+    Spark takes a task for each folder, up to 10,000, and starting one costs more than many listings.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def local(path: str) -> str:
     """The path of a mounted file system without its scheme; other schemes raise."""
     parts = urlsplit(path)

@@ -66,3 +66,26 @@ def test_sinks(spark, tmp_path):
     sinks.summary(df, str(tmp_path / "s"))
     sinks.convert(df, {"state": "array(v)", "episode_index": "cast(episode as long)"}, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).columns == ["state", "episode_index"]
+
+
+def test_small_files_are_spread_over_tasks(spark, tmp_path):
+    df = spark.range(40).selectExpr("'Go' task", "id episode", "0L frame", "id / 2 balance")
+    sinks.document_files(df, str(tmp_path / "d"))
+    names = [p.name for p in (tmp_path / "d").glob("*/*/*.json")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 4  # task numbers
+
+
+def test_lines_are_read_once_and_numbered_in_files_of_any_size(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"i={i}").mkdir()
+        (tmp_path / f"i={i}" / "a.jsonl").write_text("".join(f'{{"id": {j}}}\n' for j in range(1, i + 1)) + "x\n" * (i == 3))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    for whole in (4 << 20, 100, 0):  # all files at once, some, each in parts
+        monkeypatch.setattr(files, "WHOLE", whole)
+        lines = files.checked_lines(spark, str(tmp_path), "id long", ["id"])
+        got = [(r._line, r.r and r.r.id, r.reason) for r in lines.collect()]
+        assert len(got) == 781 and all(line == n for line, n, reason in got if not reason)
+        assert [g for g in got if g[2]] == [(4, None, "bad JSON")]
+        assert files.one_record_violations(lines) == 39  # 38 files of several records, a bad line
+    assert spark.conf.get(key) == before
