@@ -89,3 +89,9 @@ def test_lines_are_read_once_and_numbered_in_files_of_any_size(spark, tmp_path,
         assert [g for g in got if g[2]] == [(4, None, "bad JSON")]
         assert files.one_record_violations(lines) == 39  # 38 files of several records, a bad line
     assert spark.conf.get(key) == before
+
+
+def test_episodes_are_spread_over_tasks(spark, tmp_path):
+    sinks.episode_files(spark.range(40).selectExpr("id episode", "0L frame"), str(tmp_path / "f"))
+    names = [p.name for p in (tmp_path / "f").glob("*/*.parquet")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 4  # task numbers
