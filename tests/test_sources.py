@@ -3,6 +3,7 @@ import json
 import pytest
 
 from strandline.operators import contracts as C
+from strandline.plans import catalog
 from strandline.sources import files, sinks
 
 
@@ -95,3 +96,10 @@ def test_episodes_are_spread_over_tasks(spark, tmp_path):
     sinks.episode_files(spark.range(40).selectExpr("id episode", "0L frame"), str(tmp_path / "f"))
     names = [p.name for p in (tmp_path / "f").glob("*/*.parquet")]
     assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 4  # task numbers
+
+
+def test_json_lines_query_reads_its_files_in_one_pass(spark):
+    """One scan of small files and two of large ones; a scan for each of records and violations doubled that."""
+    df = catalog.queries()["s08_s21_json_lines"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("Relation [") <= 3
