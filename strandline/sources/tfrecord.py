@@ -28,6 +28,8 @@ from strandline.sources.storage import local
 
 #: Bytes of one step of many checksums at once, and records of one batch.
 STRIDE, RECORDS = 64, 2000
+#: Bytes after which a task begins another file, so that readers of whole files hold a bounded number of bytes.
+FILE_BYTES = 64 << 20
 MASK = 0xA282EAD8
 
 
@@ -42,6 +44,7 @@ def _byte_table() -> np.ndarray:
 
 
 TABLE = _byte_table()
+_TABLE = TABLE.tolist()
 
 
 def _advance(columns: list[int], steps: int) -> list[int]:
@@ -250,7 +253,12 @@ def framed(records: list[bytes]) -> bytes:
 
 
 def _is_head(head: bytes) -> bool:
-    return len(head) == 12 and masked(checksums([head[:8]])[0]) == struct.unpack("<I", head[8:])[0]
+    if len(head) < 12:
+        return False
+    state = 0xFFFFFFFF
+    for b in head[:8]:  # of one header faster than ``checksums``
+        state = _TABLE[(state ^ b) & 255] ^ state >> 8
+    return masked(state ^ 0xFFFFFFFF) == struct.unpack("<I", head[8:])[0]
 
 
 def _first_record(stream, start: int, end: int, size: int) -> int:
@@ -281,11 +289,11 @@ def _first_record(stream, start: int, end: int, size: int) -> int:
 def read_records(stream, name: str, start: int, end: int, size: int) -> Iterator[list[bytes]]:
     """Lists of records that begin in [start, end); a record that is damaged or cut short raises."""
     at = _first_record(stream, start, end, size)
-    held, heads, sums, held_bytes = [], [], [], 0
+    held, sums, held_bytes = [], [], 0
 
     def checked():
-        for h, r, (a, b), x, y in zip(heads, held, sums, checksums(heads), checksums(held)):
-            if masked(x) != a or masked(y) != b:
+        for a, x in zip(sums, checksums(held)):
+            if masked(x) != a:
                 raise ValueError(f"{name} holds a damaged record")
         return held
 
@@ -298,13 +306,12 @@ def read_records(stream, name: str, start: int, end: int, size: int) -> Iterator
         body = stream.read(n + 4) if at + 16 + n <= size else b""
         if len(body) < n + 4:
             raise ValueError(f"{name} is cut short at byte {at}")
-        heads.append(head[:8])
         held.append(body[:n])
-        sums.append((struct.unpack("<I", head[8:])[0], struct.unpack("<I", body[n:])[0]))
+        sums.append(struct.unpack("<I", body[n:])[0])
         at, held_bytes = at + 16 + n, held_bytes + n
         if len(held) == RECORDS or held_bytes > 32 << 20:
             yield checked()
-            held, heads, sums, held_bytes = [], [], [], 0
+            held, sums, held_bytes = [], [], 0
     if held:
         yield checked()
 
@@ -345,8 +352,7 @@ class Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    beside: str
-    name: str
+    files: list[tuple[str, str]]
 
 
 class Writer(DataSourceArrowWriter):
@@ -360,23 +366,33 @@ class Writer(DataSourceArrowWriter):
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        ident = uuid.uuid4().hex
-        beside = os.path.join(self.path, f".part-{ident}.tmp")
-        with open(beside, "wb") as out:
+        done, out = [], None
+        try:
             for batch in batches:
+                if out is None or out.tell() >= FILE_BYTES:
+                    if out is not None:
+                        out.close()
+                    ident = uuid.uuid4().hex
+                    done.append((os.path.join(self.path, f".part-{ident}.tmp"), os.path.join(self.path, f"part-{ident}.tfrecord")))
+                    out = open(done[-1][0], "wb")
                 out.write(framed(from_batch(batch, self.schema)))
-        return Written(beside, os.path.join(self.path, f"part-{ident}.tfrecord"))
+        finally:
+            if out is not None:
+                out.close()
+        return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
         for m in filter(None, messages):
-            os.rename(m.beside, m.name)
+            for beside, name in m.files:
+                os.rename(beside, name)
         for n in self.old:
             os.remove(os.path.join(self.path, n))
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in filter(None, messages):
-            if os.path.exists(m.beside):
-                os.remove(m.beside)
+            for beside, _ in m.files:
+                if os.path.exists(beside):
+                    os.remove(beside)
 
 
 class TfRecords(DataSource):

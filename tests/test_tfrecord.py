@@ -5,6 +5,7 @@ import os
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from strandline.sources import tfrecord as R
@@ -96,3 +97,24 @@ def test_damage_raises(spark, tmp_path, where):
     path.write_bytes(bytes(data))
     with pytest.raises(Exception, match="damaged|cut short"):
         spark.read.format("tfrecord").schema("i long").load(str(path)).collect()
+
+
+def test_records_are_checked_together(monkeypatch):
+    """A pass over arrays for each header took fifty times as long as the rest of reading."""
+    calls, sums = [], R.checksums
+    data = R.framed([b"abc"] * 5000)
+    monkeypatch.setattr(R, "checksums", lambda records: calls.append(len(records)) or sums(records))
+    assert sum(map(len, R.read_records(io.BytesIO(data), "x", 0, len(data), len(data)))) == 5000
+    assert len(calls) < 20
+
+
+def test_tasks_write_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "FILE_BYTES", 5000)
+    path = str(tmp_path / "t")
+    kind = spark.range(0).schema
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100))], ["id"]) for i in range(0, 3000, 100)]
+    writer = R.Writer(kind, {"path": path}, False)
+    writer.commit([writer.write(iter(batches)), writer.write(iter([])), None])
+    sizes = [os.path.getsize(os.path.join(path, n)) for n in os.listdir(path)]
+    assert len(sizes) > 5 and max(sizes) < 10_000
+    assert sorted(r.id for r in R.read_files(spark, path, "id long").collect()) == list(range(3000))
