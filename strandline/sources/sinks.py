@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import slug
 from strandline.operators.joins import offsets
-from strandline.sources import storage
+from strandline.sources import folders, storage
 
 
 def build_artifacts(path: str, **tables: DataFrame) -> None:
@@ -32,7 +34,17 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def episode_files(frames: DataFrame, path: str, episode: str = "episode") -> None:
-    by_folder(frames, episode).sortWithinPartitions(episode, "frame").write.mode("errorifexists").partitionBy(episode).parquet(path)
+    """A folder with one Parquet file for each episode: <episode>=<number>/."""
+    spark = frames.sparkSession
+    rows = by_folder(frames, episode).sortWithinPartitions(episode, "frame")
+    at = storage.mounted(spark, path)
+    if at is None or not folders.serves(frames.schema, episode):
+        rows.write.mode("errorifexists").partitionBy(episode).parquet(path)
+        return
+    if os.path.exists(at):
+        raise FileExistsError(f"{path} already exists")
+    folders.register(spark)
+    rows.write.format("parquet_folders").option("key", episode).mode("append").save(at)
 
 
 def with_global_index(frames: DataFrame, episode: str, frame: str) -> DataFrame:

@@ -89,6 +89,12 @@ def listing(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path without its scheme if Spark takes it for one of the local file system, else None."""
+    place, system = _place(spark, path)
+    return local(system.makeQualified(place).toUri().toString()) if system.getScheme() == "file" else None
+
+
 def local(path: str) -> str:
     """The path of a mounted file system without its scheme; other schemes raise."""
     parts = urlsplit(path)
